@@ -59,6 +59,11 @@ def parse_iso(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00"))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Number with a fixed count of decimals, ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
+
+
 def format_iso(ts: Column) -> Column:
     """ISO-8601 in UTC, fraction only when there is one."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

@@ -132,9 +132,9 @@ RULES: list[RuleInfo] = [
 INFO: dict[str, RuleInfo] = {r.rule_id: r for r in RULES}
 ORDINAL: dict[str, int] = {r.rule_id: i + 1 for i, r in enumerate(RULES)}
 
-# finding_seq = rule ordinal | target (20 bits) | pattern of the rule (4 bits) | position (28 bits).
+# finding_seq = rule ordinal | target (24 bits) | pattern of the rule (4 bits) | match number (24 bits).
 # Admitted applications hold at most 10 000 targets of at most 50 MiB, so nothing wraps.
-RULE_SHIFT, TARGET_SHIFT, PART_SHIFT = 52, 32, 28
+RULE_SHIFT, TARGET_SHIFT, PART_SHIFT = 52, 28, 24
 
 
 def pack_seq(rule_ordinal: Column, target: Column, part: Column, pos: Column) -> Column:

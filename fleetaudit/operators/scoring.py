@@ -15,6 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.classify import literal_case, rating_band
+from ..functions.metrics import fixed
 from ..functions.text import strip
 from .ordinals import seq_bucket, with_ordinal
 
@@ -173,7 +174,7 @@ def score_report(findings: DataFrame, apps: DataFrame | None = None, model: Scor
     """
     scored = scored_findings(findings, model)
     per_category = category_scores(scored, model)
-    one = lambda c: F.format_string("%.1f", c.cast("double"))
+    one = lambda c: fixed(c, 1)
     capped = F.col("category_sum") > _dec(model.category_cap)
     cat_line = F.when(capped, F.concat(
         F.lit("Category Cap: Category '"), F.col("category"), F.lit("' sum ("), one(F.col("category_sum")),

@@ -1 +1,6 @@
+"""All named queries; importing the modules registers them."""
 
+from . import findings, rules  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.metrics import format_iso
+from ..functions.metrics import fixed, format_iso
 from ..functions.text import neutralize_formula
 from ..operators.history import upsert_scans
 
@@ -47,10 +47,10 @@ def batch_summary(items: DataFrame) -> DataFrame:
     """
     has_result = F.col("risk_score").isNotNull()
     count = lambda c: F.when(has_result, F.coalesce(F.col(c), F.lit(0)).cast("string"))
-    seconds = F.concat(F.format_string("%.2f", F.coalesce("duration", F.lit(0.0))), F.lit("s"))
+    seconds = F.concat(fixed(F.coalesce("duration", F.lit(0.0)), 2), F.lit("s"))
     cells = [
         F.col("filename"), F.col("package_name"), F.col("sha256"), format_iso(F.col("completed_at")),
-        F.when(has_result, F.format_string("%.1f", F.col("risk_score"))), F.col("risk_rating"),
+        F.when(has_result, fixed(F.col("risk_score"), 1)), F.col("risk_rating"),
         count("critical"), count("high"), count("medium"), count("low"),
         F.when(has_result | (F.coalesce("duration", F.lit(0.0)) > 0), seconds),
     ]
