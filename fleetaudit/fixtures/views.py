@@ -179,6 +179,29 @@ VIEWS: dict[str, str] = {
     "fx_scan_permissions": f"""
         SELECT CAST(l_orderkey AS STRING) AS scan_id, {case(f"l_partkey % {len(FX_PERMISSIONS)}", FX_PERMISSIONS)} AS permission
         FROM {{lineitem}} WHERE l_linenumber % 2 = 0""",
+    "fx_names": """
+        SELECT p_partkey AS k, CASE p_partkey % 12
+            WHEN 0 THEN concat('..', chr(92), 'dir/', p_name, '.apk') WHEN 1 THEN concat('/abs/', p_name)
+            WHEN 2 THEN 'CON.apk' WHEN 3 THEN concat('a..b...', p_name, '. ') WHEN 4 THEN concat(chr(7), p_name, chr(9), 'x', chr(10))
+            WHEN 5 THEN '..' WHEN 6 THEN concat('lpt1.', CAST(p_partkey AS STRING)) WHEN 7 THEN ''
+            WHEN 8 THEN concat('C:', chr(92), p_name, '.apk') WHEN 9 THEN NULL
+            WHEN 10 THEN concat('dir/', p_name, chr(127), '.tar.gz') ELSE concat(p_name, '.apk') END AS name
+        FROM {part}""",
+    "fx_values": """
+        SELECT p_partkey AS k, CASE p_partkey % 9
+            WHEN 0 THEN md5(p_name) WHEN 1 THEN concat('your_api_key_', md5(p_name)) WHEN 2 THEN 'aaaaaaaaaaaa'
+            WHEN 3 THEN 'abababababab' WHEN 4 THEN substr(md5(p_name), 1, 5) WHEN 5 THEN concat(' ', substr(md5(p_name), 1, 11), chr(10))
+            WHEN 6 THEN concat('Test-Key', p_name) WHEN 7 THEN 'x' ELSE p_name END AS v
+        FROM {part}""",
+    "fx_kv": """
+        SELECT p_partkey AS k, CASE p_partkey % 6
+            WHEN 0 THEN concat('user=x password = "', p_name, '", token:ab;')
+            WHEN 1 THEN concat('client_secret=', md5(p_name), ' and api_key: ', chr(39), 'k12', chr(39))
+            WHEN 2 THEN concat('AKIA', upper(substr(md5(p_name), 1, 16)), ' secret=abcde')
+            WHEN 3 THEN concat('ghp_', md5(p_name), substr(md5(p_type), 1, 8), ', xoxb-', md5(p_type))
+            WHEN 4 THEN concat('AIza', md5(p_name), ' TOKEN =', chr(10), ' abcd,Password:1234')
+            ELSE concat(p_name, ' has no secrets') END AS txt
+        FROM {part}""",
     "fx_batch": f"""
         SELECT CAST(event_id AS STRING) AS item_id, CAST(user_id AS STRING) AS app_id, ts AS event_time,
             CASE event_type WHEN 'view' THEN 'Waiting' WHEN 'click' THEN 'Analyzing' WHEN 'purchase' THEN 'Complete'

@@ -187,3 +187,10 @@ def printable_runs(c: Column) -> Column:
 
 def simple_name(c: Column) -> Column:
     return F.substring_index(c, ".", -1)
+
+
+def numbered_lines(c: Column) -> Column:
+    """Lines as an array without the empty piece after a final line break."""
+    ls = lines(c)
+    last = F.element_at(ls, -1)
+    return F.when(last == "", F.slice(ls, 1, F.size(ls) - 1)).otherwise(ls)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ...catalogs import CATEGORY_DEFAULT_FAMILIES, PERMISSION_TO_FAMILY, SDKS
 from ...functions.classify import literal_case
+from ...functions.text import strip
 from .catalog import INFO, ORDINAL, pack_seq
 
 
@@ -64,18 +65,15 @@ def sdk_findings(detected: DataFrame, catalog: list[tuple] | None = None) -> Dat
     )
 
 
-def family_of(permission):
-    """Privacy family of a permission name; null for the rest."""
-    return literal_case(permission, PERMISSION_TO_FAMILY, None)
-
-
 def permission_families(permissions: DataFrame) -> DataFrame:
-    """(app_id, family, permission) for the 26 mapped permissions; no shuffle."""
-    clean = F.trim("permission")
-    return (
-        permissions.select("app_id", clean.alias("permission"), family_of(clean).alias("family"))
-        .where(F.col("family").isNotNull())
-    )
+    """(app_id, family, permission) for the 26 mapped permissions.
+
+    The map is a fixed list, so it is broadcast; the declared permissions do not move.
+    """
+    mapped = permissions.sparkSession.createDataFrame(
+        list(PERMISSION_TO_FAMILY.items()), "permission string, family string")
+    declared = permissions.select("app_id", strip(F.col("permission")).alias("permission"))
+    return declared.join(F.broadcast(mapped), "permission").select("app_id", "family", "permission")
 
 
 def family_map(permissions: DataFrame) -> DataFrame:
