@@ -103,7 +103,7 @@ VIEWS: dict[str, str] = {
                 ["AndroidManifest.xml", "classes.dex", "assets/data.json", "res/icon.png", "lib/libx.so",
                  "conf/app.properties", "docs/readme.txt", "src/Main.java", "a\\b/notes.TXT".replace("\\", "/")][i % 9]
                 for i in range(86)])} AS entry_name,
-            CAST(l_extendedprice * 600 AS BIGINT) AS file_size,
+            CAST(floor(l_extendedprice * 600) AS BIGINT) AS file_size,
             CAST(floor(l_extendedprice * 600 / (1 + l_quantity * 4.2)) AS BIGINT) AS compress_size
         FROM {{lineitem}}""",
     "fx_findings": f"""

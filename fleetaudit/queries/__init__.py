@@ -1,6 +1,6 @@
 """All named queries; importing the modules registers them."""
 
-from . import findings, functions, rules  # noqa: F401
+from . import findings, functions, history, rules, streams, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
