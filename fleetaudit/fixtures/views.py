@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalogs import PERMISSIONS
+from ..session import spread
 from .snippets import SNIPPETS
 
 # id, title, category of the rules that occur in the finding fixtures.
@@ -210,6 +211,12 @@ VIEWS: dict[str, str] = {
         FROM {{events}}""",
 }
 
+# Row identity of the tables whose scans do real work per row.
+ROW_KEYS = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    "documents": ["doc_id"],
+}
+
 _DOC_APP = "CAST(doc_id - doc_id % 4 AS STRING)"
 _DOC_SNIPPET = f"CAST((doc_id - doc_id % 2) / 2 AS BIGINT) % {len(SNIPPETS)}"
 _NAME = re.compile(r"\bfx_\w+")
@@ -277,18 +284,21 @@ class Fixtures:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        return spread(df, path, *ROW_KEYS[name]) if name in ROW_KEYS else df
 
     def view(self, name: str) -> DataFrame:
-        spark, sf_dir = self.spark, self.sf_dir
+        spark, fixtures = self.spark, self
 
         class Paths(dict):
             def __missing__(self, key: str) -> str:
-                return f"parquet.`{sf_dir}/{key}.parquet`"
+                name = f"source_{key}_{abs(hash(fixtures.sf_dir))}"
+                fixtures.table(key).createOrReplaceTempView(name)
+                return name
 
-        names = Paths(array="array")
-        views = {n: sql.format_map(names) for n, sql in VIEWS.items()}
-        return spark.sql(with_views(f"SELECT * FROM {name}", views))
+        needed = with_views(f"SELECT * FROM {name}", VIEWS)
+        return spark.sql(needed.format_map(Paths(array="array")))
 
     def artifacts(self) -> DataFrame:
         docs = self.table("documents")

@@ -86,6 +86,19 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return test
 
 
+def literal_forms(pattern: str) -> list[str] | None:
+    """Plain strings one of which every match contains, for patterns made of
+    literals and at most one group of literal alternatives; else None."""
+    literal = r"(?:\\.|[^\\()\[\]{}|*+?^$])*"
+    m = re.fullmatch(rf"({literal})(?:\((?:\?:)?((?:{literal}\|)*{literal})\))?({literal})", pattern)
+    if m is None:
+        return None
+    plain = lambda s: re.sub(r"\\(.)", r"\1", s)
+    if re.search(r"(?<!\\)\.|\\[a-zA-Z0-9]", pattern):
+        return None
+    return [plain(m[1] + alt + m[3]) for alt in (m[2] or "").split("|")]
+
+
 def alternation(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 

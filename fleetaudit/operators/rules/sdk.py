@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...catalogs import CATEGORY_DEFAULT_FAMILIES, PERMISSION_TO_FAMILY, SDKS
 from ...functions.classify import literal_case
-from ...functions.text import strip
+from ...functions.text import contains_any, literal_forms, strip
 from .catalog import INFO, ORDINAL, pack_seq
 
 
@@ -22,18 +22,22 @@ def unique_sdks(catalog: list[tuple] | None = None) -> list[tuple]:
 def detected_sdks(candidates: DataFrame, catalog: list[tuple] | None = None) -> DataFrame:
     """(app_id, sdk_seq, kind, matched): first candidate that shows each SDK.
 
-    The catalog is known when the plan is built, so each pattern is a literal;
-    one alternation of all patterns gates the single tests.
+    The catalog is known when the plan is built, so each pattern is a literal,
+    tried only where the plain strings of the pattern occur in the lower-case text.
     """
     sdks = unique_sdks(catalog)
-    gate = F.col("text").rlike("(?i)" + "|".join(f"(?:{r[3]})" for r in sdks))
+
+    def matched(pattern: str) -> Column:
+        found = F.regexp_extract("text", "(?i)" + pattern, 0)
+        forms = literal_forms(pattern)
+        return found if forms is None else F.when(contains_any(F.col("low"), [f.lower() for f in forms]), found)
+
     tests = F.array(*[
-        F.struct(F.lit(i).alias("sdk_seq"), F.regexp_extract("text", "(?i)" + r[3], 0).alias("matched"))
-        for i, r in enumerate(sdks)
+        F.struct(F.lit(i).alias("sdk_seq"), matched(r[3]).alias("matched")) for i, r in enumerate(sdks)
     ])
     first = Window.partitionBy("app_id", "sdk_seq").orderBy("cand_seq")
     return (
-        candidates.where(gate)
+        candidates.select("app_id", "cand_seq", "kind", "text", F.lower("text").alias("low"))
         .select("app_id", "cand_seq", "kind", F.explode(tests).alias("t"))
         .where(F.col("t.matched") != "")
         .select("app_id", "cand_seq", "kind", "t.sdk_seq", "t.matched")

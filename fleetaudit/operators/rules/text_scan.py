@@ -175,8 +175,10 @@ def specs() -> list[Spec]:
     out = [
         Spec("SEC-001", 0, P.GOOGLE_KEY, _secret("SEC-001", 0, "Google API key"), ["AIza"]),
         Spec("SEC-002", 0, P.AWS_KEY, _secret("SEC-002", 0, "AWS access key", None, (6, 2)), ["AKIA"]),
-        Spec("SEC-003", 0, P.GITHUB_TOKEN, _secret("SEC-003", 0, "GitHub token", None, (6, 3)), ["gh"]),
-        Spec("SEC-003", 1, P.SLACK_TOKEN, _secret("SEC-003", 1, "Slack token", None, (6, 3)), ["xox"]),
+        Spec("SEC-003", 0, P.GITHUB_TOKEN, _secret("SEC-003", 0, "GitHub token", None, (6, 3)),
+             ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]),
+        Spec("SEC-003", 1, P.SLACK_TOKEN, _secret("SEC-003", 1, "Slack token", None, (6, 3)),
+             ["xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"]),
         Spec("SEC-004", 0, P.TOKEN_ASSIGNMENT,
              _secret("SEC-004", 0, "Token", P.TOKEN_ASSIGNMENT, (4, 3), 2.8), ["key", "token", "secret"], True),
         Spec("SEC-005", 0, P.PASSWORD_ASSIGNMENT,
@@ -268,12 +270,17 @@ URL_RULES = ("NET-001", "NET-007", "NET-008")
 
 
 def tracking_domain_words(text: Column, low: Column, domains: list[str]) -> Column:
-    """Catalog domains that occur as whole words, one literal pattern per domain."""
+    """Catalog domains that occur as whole words, one literal pattern per domain.
+
+    Two plain gates come first: the endings the domains share, then the domains.
+    """
+    endings = list(dict.fromkeys(d[d.rfind("."):] for d in domains))
+    gate = tx.contains_any(low, endings) & tx.contains_any(low, domains)
     words = [
         F.when(F.contains(low, F.lit(d)), F.when(text.rlike(rf"(?i)\b{re.escape(d)}\b"), F.lit(d)))
         for d in domains
     ]
-    return F.when(low.rlike(tx.alternation(domains)), F.array(*words))
+    return F.when(gate, F.array(*words))
 
 
 def _url_findings(h: Hit, rules: set[str], domains: list[str]) -> Column:
