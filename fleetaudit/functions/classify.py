@@ -8,8 +8,25 @@ from ..catalogs import CANONICAL_CATEGORIES, CATEGORY_PATTERNS, SEVERITIES
 from .text import strip
 
 
-def literal_case(key: Column, table: dict, default=None) -> Column:
-    """CASE over plan-time pairs; stays inside generated code."""
+def sql_literal(v: object) -> str:
+    """A Python value as a SQL literal."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else str(v)
+
+
+def literal_case(key: Column | str, table: dict, default=None) -> Column:
+    """CASE over plan-time pairs; stays inside generated code.
+
+    `key` is a column, or SQL text, which builds the whole CASE in one step.
+    """
+    if isinstance(key, str):
+        whens = " ".join(f"WHEN {sql_literal(k)} THEN {sql_literal(v)}" for k, v in table.items())
+        return F.expr(f"CASE {key} {whens} ELSE {sql_literal(default)} END")
     out = None
     for k, v in table.items():
         out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))

@@ -86,6 +86,12 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return test
 
 
+def sql_contains_any(column: str, words: list[str]) -> str:
+    """The same test as SQL text on a named column, for plans with many gates."""
+    quoted = [w.replace("\\", "\\\\").replace("'", "\\'") for w in words]
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in quoted) + ")"
+
+
 def literal_forms(pattern: str) -> list[str] | None:
     """Plain strings one of which every match contains, for patterns made of
     literals and at most one group of literal alternatives; else None."""
@@ -147,14 +153,16 @@ def is_placeholder(c: Column) -> Column:
     )
 
 
-def redact_secret(c: Column, prefix: int = 8, suffix: int = 3) -> Column:
+def redact_secret(c: Column, prefix: int | Column = 8, suffix: int | Column = 3) -> Column:
+    """Mask a value, keeping its ends: all of six characters or fewer, two and two of a short one."""
     v = strip(c)
     n = F.length(v)
-    keep = lambda p, s: F.concat(F.substring(v, 1, p), F.lit(MASK), F.right(v, F.lit(s)))
+    col = lambda k: F.lit(k) if isinstance(k, int) else k
+    keep = lambda p, s: F.concat(F.left(v, col(p)), F.lit(MASK), F.right(v, col(s)))
     short = F.when(n <= 6, F.lit(MASK)).otherwise(keep(2, 2))
     return (
         F.when(F.length(F.coalesce(c, F.lit(""))) == 0, F.lit(""))
-        .when(n <= prefix + suffix, short)
+        .when(n <= col(prefix) + col(suffix), short)
         .otherwise(keep(prefix, suffix))
     )
 

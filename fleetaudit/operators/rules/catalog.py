@@ -146,7 +146,7 @@ def pack_seq(rule_ordinal: Column, target: Column, part: Column, pos: Column) ->
     )
 
 
-def rule_column(rule_id: Column, field: str) -> Column:
+def rule_column(rule_id: str, field: str) -> Column:
     """Metadata of a rule as a CASE over the fixed rule list."""
     if field == "ordinal":
         return literal_case(rule_id, ORDINAL, 0)
@@ -160,9 +160,9 @@ def with_prose(findings: DataFrame) -> DataFrame:
     """
     return findings.select(
         "*",
-        F.coalesce(rule_column(F.col("rule_id"), "description"), F.lit("")).alias("description"),
-        rule_column(F.col("rule_id"), "impact").alias("impact"),
-        rule_column(F.col("rule_id"), "remediation").alias("remediation"),
-        rule_column(F.col("rule_id"), "owasp").alias("owasp_reference"),
+        F.coalesce(rule_column("rule_id", "description"), F.lit("")).alias("description"),
+        rule_column("rule_id", "impact").alias("impact"),
+        rule_column("rule_id", "remediation").alias("remediation"),
+        rule_column("rule_id", "owasp").alias("owasp_reference"),
         F.lit(True).alias("is_static_indicator"),
     )

@@ -172,7 +172,7 @@ class RuleRegistry:
 
         order = {r.rule_id: USER_RULE_BASE + i for i, r in enumerate(rules)}
         rows = python_rule_rows(artifacts, rules).where("error IS NULL")
-        seq = pack_seq(literal_case(F.col("rule_id"), order, 0), F.col("target_seq"), F.lit(0), F.col("position"))
+        seq = pack_seq(literal_case("rule_id", order, 0), F.col("target_seq"), F.lit(0), F.col("position"))
         return rows.select("app_id", seq.alias("finding_seq"), "rule_id", "title", "category", "severity",
                            "confidence", "evidence", "location")
 

@@ -48,7 +48,7 @@ def detected_sdks(candidates: DataFrame, catalog: list[tuple] | None = None) ->
 
 
 def _sdk_field(index: int, catalog: list[tuple] | None):
-    return literal_case(F.col("sdk_seq"), {i: r[index] for i, r in enumerate(unique_sdks(catalog))}, None)
+    return literal_case("sdk_seq", {i: r[index] for i, r in enumerate(unique_sdks(catalog))}, None)
 
 
 def sdk_findings(detected: DataFrame, catalog: list[tuple] | None = None) -> DataFrame:

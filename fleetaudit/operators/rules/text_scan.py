@@ -20,225 +20,94 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...catalogs import TRACKING_DOMAINS
 from ...functions import text as tx, urls
+from ...functions.classify import literal_case, sql_literal
 from . import patterns as P
 from .catalog import INFO, pack_seq, rule_column
 
 
-@dataclass
-class Hit:
-    """Columns of one match, as seen by an emitter."""
+# How a hit becomes a finding; see `_evidence_and_key`.
+SNIPPET, GUARDED, SECRET, PEM, NEAR, TABLE, KEY, HASH, CONFIG = range(9)
 
-    match: Column
-    location: Column
-    target_seq: Column
-    line_no: Column
-    context: Column
 
-    def key(self, *parts: Column) -> Column:
-        return F.concat_ws(":", self.location, *parts)
-
-
-Emitter = Callable[[Hit], Column]
-
-
-@dataclass
+@dataclass(frozen=True)
 class Spec:
+    """One pattern of a rule: when it is tried and how its matches are reported."""
+
     rule_id: str
     part: int
     pattern: str
-    emit: Emitter
-    gate: list[str] = field(default_factory=list)
+    gate: list[str]
+    kind: int = SNIPPET
     gate_lower: bool = False
     first_only: bool = False
     unless: list[str] = field(default_factory=list)
     requires: str | None = None
-    where: Callable[[Column], Column] | None = None
     context_lines: int | None = None
-
-
-def finding(
-    rule_id: str,
-    part: int,
-    key: Column,
-    evidence: Column,
-    location: Column,
-    title: Column | str | None = None,
-    confidence: str | None = None,
-) -> Column:
-    info_title = title if title is not None else INFO[rule_id].title
-    if isinstance(info_title, str):
-        info_title = F.lit(info_title)
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(part).alias("part"),
-        key.alias("dedupe_key"),
-        info_title.alias("title"),
-        evidence.alias("evidence"),
-        location.alias("location"),
-        F.lit(confidence).cast("string").alias("confidence"),
-    )
-
-
-def _snippet(rule_id: str, part: int, title: str | None = None, prefix: str = "", fixed: str | None = None,
-             confidence: str | None = None, guard: Callable[[Column], Column] | None = None) -> Emitter:
-    """Emitter for the usual case: key (location, snippet), evidence = snippet."""
-
-    def emit(h: Hit) -> Column:
-        s = tx.strip(h.match)
-        evidence = F.lit(fixed) if fixed is not None else F.concat(F.lit(prefix), s)
-        out = finding(rule_id, part, h.key(s), evidence, h.location, title, confidence)
-        return F.when(guard(h.match), out) if guard else out
-
-    return emit
-
-
-def _near_sensitive(rule_id: str) -> Emitter:
-    def emit(h: Hit) -> Column:
-        word = F.regexp_extract(h.context, P.SENSITIVE_WORD, 0)
-        s = tx.strip(h.match)
-        out = finding(
-            rule_id, 0, h.key(s, word),
-            F.concat(s, F.lit(" (keyword: "), word, F.lit(")")),
-            F.concat(h.location, F.lit(":line "), h.line_no.cast("string")),
-        )
-        return F.when(word != "", out)
-
-    return emit
-
-
-def _schema_table(h: Hit) -> Column:
-    word = F.regexp_extract(F.regexp_extract(h.match, P.CREATE_TABLE, 1), P.SENSITIVE_WORD, 0)
-    evidence = F.concat(F.lit("Schema with '"), word, F.lit("': "), tx.strip(h.match))
-    return F.when(word != "", finding("STO-004", 0, h.key(word), evidence, h.location))
-
-
-def _key_spec(h: Hit) -> Column:
-    raw = F.regexp_extract(h.match, P.KEY_SPEC, 1)
-    algorithm = F.regexp_extract(h.match, P.KEY_SPEC, 3)
-    redacted = F.when(raw != "", tx.redact_secret(raw, 2, 2)).otherwise("[STATIC_BYTE_ARRAY]")
-    evidence = F.when(
-        raw != "", F.concat(F.lit('new SecretKeySpec("'), redacted, F.lit('".getBytes(), "'), algorithm, F.lit('")'))
-    ).otherwise(F.concat(F.lit("new SecretKeySpec(new byte[] { "), redacted, F.lit(' }, "'), algorithm, F.lit('")')))
-    return finding("CRY-004", 0, h.key(algorithm, redacted), evidence, h.location)
-
-
-def _weak_hash(h: Hit) -> Column:
-    algorithm = F.upper(F.regexp_extract(h.match, P.HASH_CALL, 1))
-    low = F.lower(h.context)
-    word = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in P.HASH_CONTEXT_WORDS])
-    out = finding(
-        "CRY-005", 0, h.key(algorithm, word),
-        F.concat(tx.strip(h.match), F.lit(" (context: '"), word, F.lit("')")),
-        F.concat(h.location, F.lit(":line "), h.line_no.cast("string")),
-        F.concat(F.lit("Obsolete Hash Algorithm in Security Context: "), algorithm),
-    )
-    return F.when(word.isNotNull(), out)
-
-
-def _secret(rule_id: str, part: int, label: str, pattern: str | None = None, keep: tuple[int, int] = (8, 3),
-            min_entropy: float | None = None) -> Emitter:
-    """Secret value, not a sample, evidence masked; `pattern` group 1 is the value."""
-
-    def emit(h: Hit) -> Column:
-        value = F.regexp_extract(h.match, pattern, 1) if pattern else h.match
-        good = ~tx.is_placeholder(value)
-        if min_entropy is not None:
-            good = good & (tx.shannon_entropy(value) > min_entropy)
-        evidence = F.concat(F.lit(label + ": "), tx.redact_secret(value, *keep))
-        return F.when(good, finding(rule_id, part, h.key(F.sha2(value, 256)), evidence, h.location))
-
-    return emit
-
-
-def _private_key(h: Hit) -> Column:
-    return finding("SEC-008", 0, h.key(h.match), h.match, h.location)
-
-
-def _config_location(location: Column) -> Column:
-    low = F.lower(location)
-    return F.contains(low, F.lit("network_security_config")) | F.contains(low, F.lit("res/xml"))
-
-
-def _cleartext_config(h: Hit) -> Column:
-    return finding(
-        "NET-002", 1, h.target_seq.cast("string"), F.lit('cleartextTrafficPermitted="true"'), h.location,
-        "Cleartext Traffic Permitted in Network Security Config",
-    )
-
-
-def _sensitive_argument(pattern: str) -> Callable[[Column], Column]:
-    return lambda m: F.regexp_extract(m, pattern, 1).rlike(P.SENSITIVE_WORD)
+    title: str | None = None
+    prefix: str = ""
+    fixed: str | None = None
+    confidence: str | None = None
+    keep: tuple[int, int] = (0, 0)
+    min_entropy: float = -1.0
+    grouped: bool = False
 
 
 def specs() -> list[Spec]:
     """Every text pattern except URLs and tracking domains."""
-    out = [
-        Spec("SEC-001", 0, P.GOOGLE_KEY, _secret("SEC-001", 0, "Google API key"), ["AIza"]),
-        Spec("SEC-002", 0, P.AWS_KEY, _secret("SEC-002", 0, "AWS access key", None, (6, 2)), ["AKIA"]),
-        Spec("SEC-003", 0, P.GITHUB_TOKEN, _secret("SEC-003", 0, "GitHub token", None, (6, 3)),
-             ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]),
-        Spec("SEC-003", 1, P.SLACK_TOKEN, _secret("SEC-003", 1, "Slack token", None, (6, 3)),
-             ["xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"]),
-        Spec("SEC-004", 0, P.TOKEN_ASSIGNMENT,
-             _secret("SEC-004", 0, "Token", P.TOKEN_ASSIGNMENT, (4, 3), 2.8), ["key", "token", "secret"], True),
-        Spec("SEC-005", 0, P.PASSWORD_ASSIGNMENT,
-             _secret("SEC-005", 0, "Password", P.PASSWORD_ASSIGNMENT, (2, 2)), ["passw", "pwd"], True),
-        Spec("SEC-006", 0, P.CLIENT_SECRET,
-             _secret("SEC-006", 0, "Client secret", P.CLIENT_SECRET, (4, 3)), ["client"], True),
-        Spec("SEC-007", 0, P.CONNECTION_STRING,
-             _secret("SEC-007", 0, "Connection password", P.CONNECTION_STRING, (2, 2)), ["://"]),
-        Spec("SEC-008", 0, P.PRIVATE_KEY, _private_key, ["PRIVATE KEY-----"]),
-        Spec("NET-002", 1, P.CLEARTEXT_CONFIG, _cleartext_config, ["cleartexttrafficpermitted"], True,
-             first_only=True, where=_config_location),
-        Spec("NET-003", 0, P.EMPTY_SERVER_CHECK, _snippet("NET-003", 0), ["checkServerTrusted"]),
-        Spec("NET-003", 1, P.SMALI_SERVER_CHECK,
-             _snippet("NET-003", 1, fixed="Smali return-void in checkServerTrusted"), ["checkServerTrusted"]),
-        Spec("NET-003", 2, P.TRUST_ALL_CLASS,
-             _snippet("NET-003", 2, "Trust-All Certificate Manager Reference", "Class reference: "), ["Trust"]),
-        Spec("NET-004", 0, P.VERIFIER_CONSTANT, _snippet("NET-004", 0, None, "Verifier identifier: "),
-             ["HOSTNAME_VERIFIER", "HostnameVerifier"]),
-        Spec("NET-004", 1, P.VERIFY_TRUE, _snippet("NET-004", 1), ["verify"], first_only=True),
-        Spec("NET-004", 2, P.LAMBDA_TRUE, _snippet("NET-004", 2), ["->"], first_only=True),
-        Spec("NET-005", 0, P.SSL_PROCEED, _snippet("NET-005", 0, "WebView SSL Error Bypass (handler.proceed)"),
-             ["onReceivedSslError"], first_only=True),
-        Spec("NET-005", 1, P.SSL_CONTEXT, _snippet("NET-005", 1, "SSLContext Custom TrustManager Initialization"),
-             ["TrustManager[]"], first_only=True),
-    ]
-    for i, (title, gate, pattern) in enumerate(P.WEBVIEW_SETTINGS):
-        out.append(Spec("NET-006", i, pattern, _snippet("NET-006", i, f"Insecure WebView Setting: {title}"),
-                        [gate], first_only=True))
-    out += [
-        Spec("STO-001", 0, P.WORLD_MODE, _snippet("STO-001", 0), ["MODE_WORLD_"]),
-        Spec("STO-001", 1, P.WORLD_MODE_NUMBER, _snippet("STO-001", 1),
-             ["openFileOutput", "getSharedPreferences", "openOrCreateDatabase"]),
-        Spec("STO-002", 0, P.EXTERNAL_STORAGE, _near_sensitive("STO-002"), P.EXTERNAL_STORAGE_GATES, context_lines=3),
-        Spec("STO-003", 0, P.PREFERENCE_PUT,
-             _snippet("STO-003", 0, guard=_sensitive_argument(P.PREFERENCE_PUT)), [".put"], True,
-             unless=P.ENCRYPTED_PREFERENCE_MARKS),
-        Spec("STO-003", 1, P.PREFERENCE_FILE, _snippet("STO-003", 1, confidence="MEDIUM"),
-             ["getsharedpreferences"], True, unless=P.ENCRYPTED_PREFERENCE_MARKS),
-        Spec("STO-004", 0, P.CREATE_TABLE, _schema_table, ["create"], True, unless=P.CIPHER_DATABASE_MARKS),
-        Spec("STO-005", 0, P.LOG_CALL, _snippet("STO-005", 0, guard=_sensitive_argument(P.LOG_CALL)),
-             ["log.", "system."], True),
-        Spec("STO-006", 0, P.CACHE_STORAGE, _near_sensitive("STO-006"), P.CACHE_STORAGE_GATES, context_lines=3),
+    return [
+        Spec("SEC-001", 0, P.GOOGLE_KEY, ["AIza"], SECRET, prefix="Google API key: ", keep=(8, 3)),
+        Spec("SEC-002", 0, P.AWS_KEY, ["AKIA"], SECRET, prefix="AWS access key: ", keep=(6, 2)),
+        Spec("SEC-003", 0, P.GITHUB_TOKEN, ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], SECRET,
+             prefix="GitHub token: ", keep=(6, 3)),
+        Spec("SEC-003", 1, P.SLACK_TOKEN, ["xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"], SECRET,
+             prefix="Slack token: ", keep=(6, 3)),
+        Spec("SEC-004", 0, P.TOKEN_ASSIGNMENT, ["key", "token", "secret"], SECRET, True,
+             prefix="Token: ", keep=(4, 3), min_entropy=2.8, grouped=True),
+        Spec("SEC-005", 0, P.PASSWORD_ASSIGNMENT, ["passw", "pwd"], SECRET, True,
+             prefix="Password: ", keep=(2, 2), grouped=True),
+        Spec("SEC-006", 0, P.CLIENT_SECRET, ["client"], SECRET, True,
+             prefix="Client secret: ", keep=(4, 3), grouped=True),
+        Spec("SEC-007", 0, P.CONNECTION_STRING, ["://"], SECRET,
+             prefix="Connection password: ", keep=(2, 2), grouped=True),
+        Spec("SEC-008", 0, P.PRIVATE_KEY, ["PRIVATE KEY-----"], PEM),
+        Spec("NET-002", 1, P.CLEARTEXT_CONFIG, ["cleartexttrafficpermitted"], CONFIG, True, first_only=True,
+             title="Cleartext Traffic Permitted in Network Security Config", fixed='cleartextTrafficPermitted="true"'),
+        Spec("NET-003", 0, P.EMPTY_SERVER_CHECK, ["checkServerTrusted"]),
+        Spec("NET-003", 1, P.SMALI_SERVER_CHECK, ["checkServerTrusted"], fixed="Smali return-void in checkServerTrusted"),
+        Spec("NET-003", 2, P.TRUST_ALL_CLASS, ["Trust"], title="Trust-All Certificate Manager Reference",
+             prefix="Class reference: "),
+        Spec("NET-004", 0, P.VERIFIER_CONSTANT, ["HOSTNAME_VERIFIER", "HostnameVerifier"], prefix="Verifier identifier: "),
+        Spec("NET-004", 1, P.VERIFY_TRUE, ["verify"], first_only=True),
+        Spec("NET-004", 2, P.LAMBDA_TRUE, ["->"], first_only=True),
+        Spec("NET-005", 0, P.SSL_PROCEED, ["onReceivedSslError"], first_only=True,
+             title="WebView SSL Error Bypass (handler.proceed)"),
+        Spec("NET-005", 1, P.SSL_CONTEXT, ["TrustManager[]"], first_only=True,
+             title="SSLContext Custom TrustManager Initialization"),
+        *[Spec("NET-006", i, pattern, [gate], first_only=True, title=f"Insecure WebView Setting: {title}")
+          for i, (title, gate, pattern) in enumerate(P.WEBVIEW_SETTINGS)],
+        Spec("STO-001", 0, P.WORLD_MODE, ["MODE_WORLD_"]),
+        Spec("STO-001", 1, P.WORLD_MODE_NUMBER, ["openFileOutput", "getSharedPreferences", "openOrCreateDatabase"]),
+        Spec("STO-002", 0, P.EXTERNAL_STORAGE, P.EXTERNAL_STORAGE_GATES, NEAR, context_lines=3),
+        Spec("STO-003", 0, P.PREFERENCE_PUT, [".put"], GUARDED, True, unless=P.ENCRYPTED_PREFERENCE_MARKS, grouped=True),
+        Spec("STO-003", 1, P.PREFERENCE_FILE, ["getsharedpreferences"], SNIPPET, True,
+             unless=P.ENCRYPTED_PREFERENCE_MARKS, confidence="MEDIUM"),
+        Spec("STO-004", 0, P.CREATE_TABLE, ["create"], TABLE, True, unless=P.CIPHER_DATABASE_MARKS, grouped=True),
+        Spec("STO-005", 0, P.LOG_CALL, ["log.", "system."], GUARDED, True, grouped=True),
+        Spec("STO-006", 0, P.CACHE_STORAGE, P.CACHE_STORAGE_GATES, NEAR, context_lines=3),
+        *[Spec("CRY-001", i, pattern, ["cipher.getinstance"], SNIPPET, True, title=f"Broken / Deprecated Cipher: {name}")
+          for i, (name, pattern) in enumerate(P.BROKEN_CIPHERS)],
+        Spec("CRY-002", 0, P.EXPLICIT_ECB, ["cipher.getinstance"], SNIPPET, True),
+        Spec("CRY-002", 1, P.BARE_AES, ["Cipher.getInstance"],
+             title="Insecure Cipher Mode: Unspecified Mode Defaults to ECB"),
+        Spec("CRY-003", 0, P.INLINE_IV, ["IvParameterSpec"]),
+        Spec("CRY-003", 1, P.ZERO_IV, ["IvParameterSpec"], title="Zero-Initialized Static IV Pattern"),
+        Spec("CRY-004", 0, P.KEY_SPEC, ["SecretKeySpec"], KEY),
+        Spec("CRY-005", 0, P.HASH_CALL, ["messagedigest.getinstance"], HASH, True, context_lines=5, grouped=True),
+        Spec("CRY-006", 0, P.SET_SEED, [".setSeed"], requires="SecureRandom",
+             title="Static Seed Configured on SecureRandom"),
+        Spec("CRY-006", 1, P.UTIL_RANDOM, ["random"], SNIPPET, True,
+             title="Insecure java.util.Random Used in Security Context"),
     ]
-    for i, (name, pattern) in enumerate(P.BROKEN_CIPHERS):
-        out.append(Spec("CRY-001", i, pattern, _snippet("CRY-001", i, f"Broken / Deprecated Cipher: {name}"),
-                        ["cipher.getinstance"], True))
-    out += [
-        Spec("CRY-002", 0, P.EXPLICIT_ECB, _snippet("CRY-002", 0), ["cipher.getinstance"], True),
-        Spec("CRY-002", 1, P.BARE_AES,
-             _snippet("CRY-002", 1, "Insecure Cipher Mode: Unspecified Mode Defaults to ECB"), ["Cipher.getInstance"]),
-        Spec("CRY-003", 0, P.INLINE_IV, _snippet("CRY-003", 0), ["IvParameterSpec"]),
-        Spec("CRY-003", 1, P.ZERO_IV, _snippet("CRY-003", 1, "Zero-Initialized Static IV Pattern"), ["IvParameterSpec"]),
-        Spec("CRY-004", 0, P.KEY_SPEC, _key_spec, ["SecretKeySpec"]),
-        Spec("CRY-005", 0, P.HASH_CALL, _weak_hash, ["messagedigest.getinstance"], True, context_lines=5),
-        Spec("CRY-006", 0, P.SET_SEED, _snippet("CRY-006", 0, "Static Seed Configured on SecureRandom"),
-             [".setSeed"], requires="SecureRandom"),
-        Spec("CRY-006", 1, P.UTIL_RANDOM, _snippet("CRY-006", 1, "Insecure java.util.Random Used in Security Context"),
-             ["random"], True),
-    ]
-    return out
 
 
 def line_hits(text: Column, pattern: str, k: int) -> Column:
@@ -269,57 +138,45 @@ def line_hits(text: Column, pattern: str, k: int) -> Column:
 URL_RULES = ("NET-001", "NET-007", "NET-008")
 
 
-def tracking_domain_words(text: Column, low: Column, domains: list[str]) -> Column:
-    """Catalog domains that occur as whole words, one literal pattern per domain.
+def tracking_domain_words(domains: list[str]) -> str:
+    """Catalog domains that occur as whole words, one literal pattern per domain, as SQL text.
 
     Two plain gates come first: the endings the domains share, then the domains.
     """
     endings = list(dict.fromkeys(d[d.rfind("."):] for d in domains))
-    gate = tx.contains_any(low, endings) & tx.contains_any(low, domains)
-    words = [
-        F.when(F.contains(low, F.lit(d)), F.when(text.rlike(rf"(?i)\b{re.escape(d)}\b"), F.lit(d)))
-        for d in domains
-    ]
-    return F.when(gate, F.array(*words))
+    gate = tx.sql_contains_any("low", endings) + " AND " + tx.sql_contains_any("low", domains)
+    words = ", ".join(
+        f"CASE WHEN contains(low, {sql_literal(d)}) AND text RLIKE {sql_literal('(?i)' + chr(92) + 'b' + re.escape(d) + chr(92) + 'b')} "
+        f"THEN {sql_literal(d)} END"
+        for d in domains)
+    return f"CASE WHEN {gate} THEN array({words}) END"
 
 
-def _url_findings(h: Hit, rules: set[str], domains: list[str]) -> Column:
-    """Findings of one URL: cleartext, third party, and one per catalog domain in it."""
-    url = urls.clean_url(h.match)
-    host, path = urls.url_host(url), urls.url_path(url)
-    out = []
+def _url_findings(rules: set[str], domains: list[str]) -> Column:
+    """Findings of one URL as an array: cleartext, third party, and one per catalog domain in it.
+
+    Works on columns url, host, spec (host and path) and location.
+    """
+    def made(rule: str, key: str, evidence: str) -> str:
+        return (f"named_struct('rule_id', '{rule}', 'part', 0, 'dedupe_key', {key}, 'title', '{INFO[rule].title}', "
+                f"'evidence', {evidence}, 'location', location, 'confidence', CAST(NULL AS STRING))")
+
+    url, host = F.col("url"), F.col("host")
+    outside = ~urls.is_schema_url(url, host) & ~urls.is_test_host(host)
+    singles = []
     if "NET-001" in rules:
-        plain = F.startswith(F.lower(url), F.lit("http://"))
-        good = plain & ~urls.is_schema_url(url, host) & ~urls.is_test_host(host)
-        out.append(F.when(good, finding("NET-001", 0, url, F.concat(F.lit("Static URL: "), url), h.location)))
+        plain = F.expr("startswith(lower(url), 'http://')")
+        singles.append(F.when(plain & outside, F.expr(made("NET-001", "url", "concat('Static URL: ', url)"))))
     if "NET-008" in rules:
-        good = (
-            (host != "")
-            & ~urls.is_schema_url(url, host)
-            & ~urls.is_test_host(host)
-            & ~urls.is_platform_host(host)
-            & ~urls.in_domains(host, domains)
-        )
-        evidence = F.concat(F.lit("Static endpoint reference: "), url)
-        out.append(F.when(good, finding("NET-008", 0, host, evidence, h.location)))
-    singles = F.array(*out) if out else None
+        foreign = (host != "") & outside & ~urls.in_domains(host, [*urls.PLATFORM_DOMAINS, *domains])
+        singles.append(F.when(foreign, F.expr(made("NET-008", "host", "concat('Static endpoint reference: ', url)"))))
     if "NET-007" not in rules:
-        return singles
-    spec = F.concat(host, path)
-    tracked = F.transform(
-        F.filter(F.array(*[F.lit(d) for d in domains]), lambda d: F.contains(spec, d)),
-        lambda d: finding(
-            "NET-007", 0, d,
-            F.concat(F.lit("Static evidence: URL: "), url, F.lit(" (matches "), d, F.lit(")")),
-            h.location,
-        ),
-    )
-    return F.concat(singles, tracked) if singles is not None else tracked
-
-
-def _domain_finding(h: Hit) -> Column:
-    evidence = F.concat(F.lit("Static evidence: Domain string: "), h.match)
-    return finding("NET-007", 1, h.match, evidence, h.location)
+        return F.array(*singles)
+    listed = ", ".join(sql_literal(d) for d in domains)
+    evidence = "concat('Static evidence: URL: ', url, ' (matches ', d, ')')"
+    tracked = F.expr(
+        f"transform(filter(array({listed}), d -> contains(spec, d)), d -> {made('NET-007', 'd', evidence)})")
+    return F.concat(F.array(*singles), tracked) if singles else tracked
 
 
 def tracking_domains(catalog: list[tuple[str, str, str]] | None = None) -> list[str]:
@@ -327,54 +184,138 @@ def tracking_domains(catalog: list[tuple[str, str, str]] | None = None) -> list[
     return list(dict.fromkeys(r[0].lower() for r in rows if r[0]))
 
 
+def _matches(s: Spec) -> str | Column:
+    """Array of matches of one pattern behind its gates, null when a gate is closed."""
+    gate = tx.sql_contains_any("low" if s.gate_lower else "text", s.gate)
+    if s.unless:
+        gate += f" AND NOT {tx.sql_contains_any('text', s.unless)}"
+    if s.requires:
+        gate += f" AND contains(text, {sql_literal(s.requires)})"
+    if s.kind == CONFIG:
+        gate += " AND (contains(lower(location), 'network_security_config') OR contains(lower(location), 'res/xml'))"
+    if s.context_lines is not None:
+        return F.when(F.expr(gate), line_hits(F.col("text"), s.pattern, s.context_lines))
+    pattern = sql_literal(s.pattern)
+    if s.first_only:
+        return f"CASE WHEN {gate} THEN array(nullif(regexp_extract(text, {pattern}, 0), '')) END"
+    return f"CASE WHEN {gate} THEN regexp_extract_all(text, {pattern}, 0) END"
+
+
+_LINE_TYPE = "array<struct<m:string,line_no:int,context:string>>"
+
+
 def text_hits(artifacts: DataFrame, rules: set[str], domains: list[str]) -> tuple[DataFrame, list[Spec]]:
-    """One row per pattern match: (app_id, target_seq, location, spec, pos, hit)."""
+    """One row per pattern match: (app_id, target_seq, location, spec, pos, m, line_no, context)."""
     chosen = [s for s in specs() if s.rule_id in rules]
-    text, low = F.col("text"), F.col("low")
-    entries = []
+    entries: list[Column] = []
 
-    def entry(matches: Column | None, lines: Column | None) -> None:
-        entries.append(F.struct(
-            F.lit(len(entries)).alias("spec"),
-            (F.lit(None) if matches is None else matches).cast("array<string>").alias("matches"),
-            (F.lit(None) if lines is None else lines)
-            .cast("array<struct<m:string,line_no:int,context:string>>").alias("lines"),
-        ))
+    def plain(sql: str) -> None:
+        entries.append(F.expr(f"named_struct('spec', {len(entries)}, 'matches', {sql}, 'lines', CAST(NULL AS {_LINE_TYPE}))"))
 
     for s in chosen:
-        open_gate = tx.contains_any(low if s.gate_lower else text, s.gate)
-        if s.unless:
-            open_gate = open_gate & ~tx.contains_any(text, s.unless)
-        if s.requires:
-            open_gate = open_gate & F.contains(text, F.lit(s.requires))
-        if s.where is not None:
-            open_gate = s.where(F.col("location")) & open_gate
-        if s.context_lines is not None:
-            entry(None, F.when(open_gate, line_hits(text, s.pattern, s.context_lines)))
-        elif s.first_only:
-            entry(F.when(open_gate, F.array(F.nullif(F.regexp_extract(text, s.pattern, 0), F.lit("")))), None)
+        found = _matches(s)
+        if isinstance(found, str):
+            plain(found)
         else:
-            entry(F.when(open_gate, F.regexp_extract_all(text, F.lit(s.pattern), F.lit(0))), None)
+            entries.append(F.struct(F.lit(len(entries)).alias("spec"), F.lit(None).cast("array<string>").alias("matches"),
+                                    found.cast(_LINE_TYPE).alias("lines")))
     if rules & set(URL_RULES):
-        gate = F.contains(low, F.lit("http://")) | F.contains(low, F.lit("https://"))
-        entry(F.when(gate, urls.extract_urls(text)), None)
+        gate = tx.sql_contains_any("low", ["http://", "https://"])
+        plain(f"CASE WHEN {gate} THEN regexp_extract_all(text, {sql_literal(urls.URL_PATTERN)}, 0) END")
     if "NET-007" in rules:
-        entry(tracking_domain_words(text, low, domains), None)
-
+        plain(tracking_domain_words(domains))
     found = (
         artifacts.select("app_id", "target_seq", "location", "text", F.lower("text").alias("low"))
         .select("app_id", "target_seq", "location", F.explode(F.array(*entries)).alias("e"))
-        .where((F.coalesce(F.size("e.matches"), F.lit(0)) > 0) | (F.coalesce(F.size("e.lines"), F.lit(0)) > 0))
-    )
-    plain = F.transform(
-        F.col("e.matches"),
-        lambda m: F.struct(m.alias("m"), F.lit(0).alias("line_no"), F.lit("").alias("context")),
+        .where("coalesce(size(e.matches), 0) > 0 OR coalesce(size(e.lines), 0) > 0")
     )
     hits = found.select(
-        "app_id", "target_seq", "location", F.col("e.spec").alias("spec"),
-        F.posexplode(F.coalesce(F.col("e.lines"), plain)).alias("pos", "hit"),
-    ).where(F.col("hit.m").isNotNull())
-    return hits, chosen
+        "app_id", "target_seq", "location", "e.spec",
+        F.posexplode(F.expr(
+            "coalesce(e.lines, transform(e.matches, x -> named_struct('m', x, 'line_no', 0, 'context', '')))"
+        )).alias("pos", "hit"),
+    ).where("hit.m IS NOT NULL")
+    return hits.select("app_id", "target_seq", "location", "spec", "pos", "hit.*"), chosen
+
+
+def _spec_case(chosen: list[Spec], value: Callable[[Spec], object], default: object = None) -> Column:
+    return literal_case("spec", {i: value(s) for i, s in enumerate(chosen)}, default)
+
+
+def _pattern_hits(hits: DataFrame, chosen: list[Spec]) -> DataFrame:
+    """Hits with the attributes of their pattern, the captured value and the context word."""
+    groups = None
+    for i, s in enumerate(chosen):
+        if s.grouped:
+            value = F.regexp_extract("m", s.pattern, 1)
+            groups = F.when(F.col("spec") == i, value) if groups is None else groups.when(F.col("spec") == i, value)
+    m = F.col("m")
+    return hits.select(
+        "*",
+        _spec_case(chosen, lambda s: s.rule_id).alias("rule_id"),
+        _spec_case(chosen, lambda s: s.part, 0).alias("part"),
+        _spec_case(chosen, lambda s: s.kind, -1).alias("kind"),
+        _spec_case(chosen, lambda s: s.title or INFO[s.rule_id].title).alias("title"),
+        _spec_case(chosen, lambda s: s.prefix, "").alias("prefix"),
+        _spec_case(chosen, lambda s: s.fixed).cast("string").alias("fixed"),
+        _spec_case(chosen, lambda s: s.confidence).cast("string").alias("confidence"),
+        _spec_case(chosen, lambda s: s.keep[0], 0).alias("keep_first"),
+        _spec_case(chosen, lambda s: s.keep[1], 0).alias("keep_last"),
+        _spec_case(chosen, lambda s: s.min_entropy, -1.0).alias("min_entropy"),
+        (m if groups is None else groups.otherwise(m)).alias("value"),
+        tx.strip(m).alias("snippet"),
+    )
+
+
+def _finding_columns(kinds: set[int]) -> tuple[Column, Column, Column, Column, Column]:
+    """(keep, dedupe_key, title, evidence, location) of a hit, by kind."""
+    kind, value, snippet = F.col("kind"), F.col("value"), F.col("snippet")
+    keep, key, title, evidence, location = F.lit(True), F.expr("concat_ws(':', location, snippet)"), F.col("title"), None, None
+    # Start from the plain snippet and lay the other kinds over it.
+    evidence = F.expr("coalesce(fixed, concat(prefix, snippet))")
+    location = F.col("location")
+    numbered = F.expr("concat(location, ':line ', CAST(line_no AS STRING))")
+    if GUARDED in kinds:
+        keep = F.when(kind == GUARDED, value.rlike(P.SENSITIVE_WORD)).otherwise(keep)
+    if SECRET in kinds:
+        good = ~tx.is_placeholder(value) & (
+            (F.col("min_entropy") < 0) | (tx.shannon_entropy(value) > F.col("min_entropy")))
+        masked = tx.redact_secret(value, F.col("keep_first"), F.col("keep_last"))
+        keep = F.when(kind == SECRET, good).otherwise(keep)
+        key = F.when(kind == SECRET, F.concat_ws(":", "location", F.sha2(value, 256))).otherwise(key)
+        evidence = F.when(kind == SECRET, F.concat("prefix", masked)).otherwise(evidence)
+    if CONFIG in kinds:
+        key = F.when(kind == CONFIG, F.col("target_seq").cast("string")).otherwise(key)
+    if NEAR in kinds:
+        word = F.regexp_extract("context", P.SENSITIVE_WORD, 0)
+        keep = F.when(kind == NEAR, word != "").otherwise(keep)
+        key = F.when(kind == NEAR, F.concat_ws(":", "location", snippet, word)).otherwise(key)
+        evidence = F.when(kind == NEAR, F.concat(snippet, F.lit(" (keyword: "), word, F.lit(")"))).otherwise(evidence)
+        location = F.when(kind == NEAR, numbered).otherwise(location)
+    if TABLE in kinds:
+        word = F.regexp_extract(value, P.SENSITIVE_WORD, 0)
+        keep = F.when(kind == TABLE, word != "").otherwise(keep)
+        key = F.when(kind == TABLE, F.concat_ws(":", "location", word)).otherwise(key)
+        evidence = F.when(kind == TABLE, F.concat(F.lit("Schema with '"), word, F.lit("': "), snippet)).otherwise(evidence)
+    if KEY in kinds:
+        raw, algorithm = F.regexp_extract("m", P.KEY_SPEC, 1), F.regexp_extract("m", P.KEY_SPEC, 3)
+        masked = F.when(raw != "", tx.redact_secret(raw, 2, 2)).otherwise("[STATIC_BYTE_ARRAY]")
+        call = F.when(raw != "", F.concat(F.lit('"'), masked, F.lit('".getBytes()'))).otherwise(
+            F.concat(F.lit("new byte[] { "), masked, F.lit(" }")))
+        key = F.when(kind == KEY, F.concat_ws(":", "location", algorithm, masked)).otherwise(key)
+        evidence = F.when(kind == KEY, F.concat(
+            F.lit("new SecretKeySpec("), call, F.lit(', "'), algorithm, F.lit('")'))).otherwise(evidence)
+    if HASH in kinds:
+        algorithm = F.upper(value)
+        words = ", ".join(f"CASE WHEN contains(lower(context), '{w}') THEN '{w}' END" for w in P.HASH_CONTEXT_WORDS)
+        word = F.expr(f"coalesce({words})")
+        keep = F.when(kind == HASH, word.isNotNull()).otherwise(keep)
+        key = F.when(kind == HASH, F.concat_ws(":", "location", algorithm, word)).otherwise(key)
+        evidence = F.when(kind == HASH, F.concat(snippet, F.lit(" (context: '"), word, F.lit("')"))).otherwise(evidence)
+        location = F.when(kind == HASH, numbered).otherwise(location)
+        title = F.when(kind == HASH, F.concat(
+            F.lit("Obsolete Hash Algorithm in Security Context: "), algorithm)).otherwise(title)
+    return keep, key, title, evidence, location
 
 
 def text_findings(
@@ -390,41 +331,47 @@ def text_findings(
     wanted = set(rules) if rules is not None else {s.rule_id for s in specs()} | set(URL_RULES)
     domains = tracking_domains(tracking_catalog)
     hits, chosen = text_hits(artifacts, wanted, domains)
-    h = Hit(F.col("hit.m"), F.col("location"), F.col("target_seq"), F.col("hit.line_no"), F.col("hit.context"))
-
-    single = None
-    extra = len(chosen)
-    for i, s in enumerate(chosen):
-        test = F.col("spec") == i
-        single = F.when(test, s.emit(h)) if single is None else single.when(test, s.emit(h))
     url_rules = wanted & set(URL_RULES)
-    if "NET-007" in wanted:
-        test = F.col("spec") == extra + 1
-        single = F.when(test, _domain_finding(h)) if single is None else single.when(test, _domain_finding(h))
+    n = len(chosen)
+    rows = _pattern_hits(hits, chosen) if chosen else hits
+    found = None
+    if chosen:
+        keep, key, title, evidence, location = _finding_columns({s.kind for s in chosen})
+        made = F.struct("rule_id", "part", key.alias("dedupe_key"), title.alias("title"),
+                        evidence.alias("evidence"), location.alias("location"), "confidence")
+        found = F.array(F.when(keep, made))
     if url_rules:
-        url_array = _url_findings(h, url_rules, domains)
-        is_url = F.col("spec") == extra
-        found = F.when(is_url, url_array) if single is None else F.when(is_url, url_array).otherwise(F.array(single))
-    else:
-        found = F.array(single)
-
-    rows = (
-        hits.select("app_id", "target_seq", "pos", F.explode(found).alias("f"))
-        .where(F.col("f").isNotNull())
+        url = urls.clean_url(F.col("m"))
+        is_url = F.col("spec") == n
+        rows = rows.select("*", F.when(is_url, url).alias("url")).select(
+            "*", urls.url_host(F.col("url")).alias("host"),
+            F.concat(urls.url_host(F.col("url")), urls.url_path(F.col("url"))).alias("spec_text"))
+        rows = rows.withColumnRenamed("spec", "spec_no").withColumnRenamed("spec_text", "spec")
+        is_url = F.col("spec_no") == n
+        from_url = _url_findings(url_rules, domains)
+        if "NET-007" in url_rules:
+            word = F.expr(
+                f"array(named_struct('rule_id', 'NET-007', 'part', 1, 'dedupe_key', m, 'title', '{INFO['NET-007'].title}', "
+                "'evidence', concat('Static evidence: Domain string: ', m), 'location', location, 'confidence', CAST(NULL AS STRING)))")
+            from_url = F.when(is_url, from_url).otherwise(word)
+        found = from_url if found is None else F.when(F.col("spec_no") < n, found).otherwise(from_url)
+    emitted = (
+        rows.select("app_id", "target_seq", "pos", F.explode(found).alias("f"))
+        .where("f IS NOT NULL")
         .select("app_id", "target_seq", "pos", "f.*")
     )
     first = Window.partitionBy("app_id", "rule_id", "dedupe_key").orderBy("target_seq", "part", "pos")
-    rows = rows.withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    kept = emitted.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     if apps is not None and "NET-008" in wanted:
         package = apps.select("app_id", "package_name")
         own = (F.col("rule_id") == "NET-008") & urls.is_first_party(F.col("dedupe_key"), F.col("package_name"))
-        rows = rows.join(package, "app_id", "left").where(~own)
-    return finish(rows)
+        kept = kept.join(package, "app_id", "left").where(~own)
+    return finish(kept)
 
 
 def finish(rows: DataFrame) -> DataFrame:
     """Common finding columns from (rule_id, part, pos, target_seq, ...) rows."""
-    rule = F.col("rule_id")
+    rule = "rule_id"
     return rows.select(
         "app_id",
         pack_seq(rule_column(rule, "ordinal"), F.col("target_seq"), F.col("part"), F.col("pos")).alias("finding_seq"),

@@ -73,14 +73,14 @@ def duplicate_counts(findings: DataFrame) -> DataFrame:
 
 
 def base_points(model: ScoreModel) -> Column:
-    weight = literal_case(F.col("severity"), {k: Decimal(str(v)) for k, v in model.severity_weights.items()}, Decimal("0"))
-    factor = literal_case(F.col("confidence"), {k: Decimal(str(v)) for k, v in model.confidence_multipliers.items()}, Decimal("1"))
+    weight = literal_case("severity", {k: Decimal(str(v)) for k, v in model.severity_weights.items()}, Decimal("0"))
+    factor = literal_case("confidence", {k: Decimal(str(v)) for k, v in model.confidence_multipliers.items()}, Decimal("1"))
     return (weight.cast("decimal(10,4)") * factor.cast("decimal(6,4)")).cast(POINTS)
 
 
 def _decay(model: ScoreModel) -> Column:
     table = {i + 1: Decimal(str(d)) for i, d in enumerate(model.decay)}
-    return literal_case(F.col("occurrence"), table, Decimal("0")).cast("decimal(6,4)")
+    return literal_case("occurrence", table, Decimal("0")).cast("decimal(6,4)")
 
 
 def scored_findings(findings: DataFrame, model: ScoreModel = ScoreModel(), deduplicated: bool = False) -> DataFrame:
@@ -153,15 +153,15 @@ def itemized_breakdown(findings: DataFrame, model: ScoreModel = ScoreModel()) ->
         ["app_id", "rule_id"], [F.col("finding_seq")], [seq_bucket("finding_seq")], "occurrence",
     )
     points = scored_findings(unique, model, deduplicated=True).select("app_id", "finding_seq", "adjusted")
-    weight = literal_case(F.col("severity"), dict(model.severity_weights), 0.0)
-    factor = literal_case(F.col("confidence"), dict(model.confidence_multipliers), 1.0)
+    weight = literal_case("severity", dict(model.severity_weights), 0.0)
+    factor = literal_case("confidence", dict(model.confidence_multipliers), 1.0)
     table = {i + 1: d for i, d in enumerate(model.decay)}
     return numbered.join(points, ["app_id", "finding_seq"], "left").select(
         "app_id", "finding_seq", "rule_id", "title", "category", "severity", "confidence",
         weight.alias("base_weight"),
         factor.alias("confidence_multiplier"),
         F.col("occurrence").alias("occurrence_index"),
-        literal_case(F.col("occurrence"), table, 0.0).alias("decay_factor"),
+        literal_case("occurrence", table, 0.0).alias("decay_factor"),
         base_points(model).cast("double").alias("raw_calculated"),
         F.coalesce("adjusted", _dec(0)).cast("double").alias("adjusted_score"),
     )
