@@ -30,7 +30,10 @@ def normalize(rows: DataFrame, hash_col: str, category: str, name: str) -> DataF
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    return rows.where("normalized_name != ''").select("apk_hash", "finding_category", "normalized_name").distinct()
+    # A name without letters or digits normalises to nothing; testing the raw name
+    # keeps the optimizer from running the normaliser twice per row.
+    named = F.lower("finding_name").rlike("[a-z0-9]")
+    return rows.where(named).select("apk_hash", "finding_category", "normalized_name").distinct()
 
 
 def common_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
