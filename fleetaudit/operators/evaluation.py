@@ -10,7 +10,7 @@ from .rows import side_by_side
 
 
 def match_truth(apps: DataFrame, truth: DataFrame) -> DataFrame:
-    """(app_id, gt_key): truth entry by filename, else content hash, else package.
+    """(app_id, gt_key, prio, expected_rules): truth entry by filename, else content hash, else package.
 
     Each application offers its keys in order of precedence; one equi-join finds
     the entries and the best offer wins, so neither side has to be small.
@@ -21,23 +21,22 @@ def match_truth(apps: DataFrame, truth: DataFrame) -> DataFrame:
     )
     best = Window.partitionBy("app_id").orderBy("prio")
     return (
-        offers.join(truth.select("gt_key"), "gt_key")
+        offers.join(truth.select("gt_key", "expected_rules"), "gt_key")
         .withColumn("rn", F.row_number().over(best))
         .where("rn = 1")
-        .select("app_id", "gt_key", "prio")
+        .select("app_id", "gt_key", "prio", "expected_rules")
     )
 
 
-def confusion(detected: DataFrame, matched: DataFrame, truth: DataFrame) -> DataFrame:
+def confusion(detected: DataFrame, matched: DataFrame) -> DataFrame:
     """(app_id, rule_id, tp, fp, fn) over applications with a truth entry."""
-    pairs = matched.select("app_id", "gt_key")
     expected = (
-        pairs.join(truth, "gt_key").select("app_id", F.explode("expected_rules").alias("rule_id")).distinct()
+        matched.select("app_id", F.explode("expected_rules").alias("rule_id")).distinct()
         .withColumn("expected", F.lit(True))
     )
     found = (
         detected.select("app_id", "rule_id").distinct()
-        .join(pairs.select("app_id"), "app_id", "left_semi")
+        .join(matched.select("app_id"), "app_id", "left_semi")
         .withColumn("found", F.lit(True))
     )
     e, d = F.coalesce("expected", F.lit(False)), F.coalesce("found", F.lit(False))

@@ -157,9 +157,11 @@ class RuleRegistry:
             parts.append(manifest.manifest_cleartext(inputs.apps))
         if inputs.candidates is not None and {"SDK-001", "SDK-002"} & set(native):
             found = sdk.detected_sdks(inputs.candidates, inputs.sdk_catalog)
-            if "SDK-001" in native:
+            if {"SDK-001", "SDK-002"} <= set(native) and inputs.permissions is not None:
+                parts.append(sdk.all_sdk_findings(found, inputs.permissions, inputs.sdk_catalog))
+            elif "SDK-001" in native:
                 parts.append(sdk.sdk_findings(found, inputs.sdk_catalog))
-            if "SDK-002" in native and inputs.permissions is not None:
+            elif inputs.permissions is not None:
                 parts.append(sdk.exposure_findings(found, inputs.permissions, inputs.sdk_catalog))
         user = [r for r in rules if r.evaluate is not None]
         if user and inputs.artifacts is not None:

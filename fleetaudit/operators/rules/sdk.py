@@ -51,24 +51,6 @@ def _sdk_field(index: int, catalog: list[tuple] | None):
     return literal_case("sdk_seq", {i: r[index] for i, r in enumerate(unique_sdks(catalog))}, None)
 
 
-def sdk_findings(detected: DataFrame, catalog: list[tuple] | None = None) -> DataFrame:
-    """SDK-001."""
-    info = INFO["SDK-001"]
-    name, category = _sdk_field(1, catalog), _sdk_field(2, catalog)
-    return detected.select(
-        "app_id",
-        pack_seq(F.lit(ORDINAL["SDK-001"]), F.col("sdk_seq"), F.lit(0), F.lit(0)).alias("finding_seq"),
-        F.lit("SDK-001").alias("rule_id"),
-        F.concat(F.lit("Third-Party SDK Detected: "), name, F.lit(" ("), category, F.lit(")")).alias("title"),
-        F.lit(info.category).alias("category"),
-        F.lit(info.severity).alias("severity"),
-        F.lit(info.confidence).alias("confidence"),
-        F.concat(F.lit("SDK: "), name, F.lit(" (Category: "), category, F.lit(", Matched: "),
-                 F.col("matched"), F.lit(" in "), F.col("kind"), F.lit(")")).alias("evidence"),
-        F.col("kind").alias("location"),
-    )
-
-
 def permission_families(permissions: DataFrame) -> DataFrame:
     """(app_id, family, permission) for the 26 mapped permissions.
 
@@ -89,11 +71,13 @@ def family_map(permissions: DataFrame) -> DataFrame:
     )
 
 
-def sdk_families(detected: DataFrame, catalog: list[tuple] | None = None) -> DataFrame:
-    """One row per detected SDK and family it may reach."""
+def sdk_families(
+    detected: DataFrame, catalog: list[tuple] | None = None, with_sdk: bool = False
+) -> DataFrame:
+    """One row per detected SDK and family it may reach; `with_sdk` adds a row with an empty family."""
     sdks = unique_sdks(catalog)
     table = {
-        i: list(dict.fromkeys(r[5] or CATEGORY_DEFAULT_FAMILIES.get(r[2], [])))
+        i: [""] * with_sdk + list(dict.fromkeys(r[5] or CATEGORY_DEFAULT_FAMILIES.get(r[2], [])))
         for i, r in enumerate(sdks)
     }
     families = None
@@ -104,23 +88,48 @@ def sdk_families(detected: DataFrame, catalog: list[tuple] | None = None) -> Dat
     return detected.select("*", F.posexplode(families).alias("family_seq", "family"))
 
 
+def _as_findings(rows: DataFrame, catalog: list[tuple] | None) -> DataFrame:
+    """Findings of (detected SDK, family) rows; the empty family stands for the SDK itself."""
+    name, category, kind = _sdk_field(1, catalog), _sdk_field(2, catalog), F.col("kind")
+    shown = F.initcap(F.replace(F.col("family"), F.lit("_"), F.lit(" ")))
+    is_sdk = F.col("family") == ""
+    one, two = INFO["SDK-001"], INFO["SDK-002"]
+    pick = lambda a, b: F.when(is_sdk, a).otherwise(b)
+    return rows.select(
+        "app_id",
+        pack_seq(pick(F.lit(ORDINAL[one.rule_id]), F.lit(ORDINAL[two.rule_id])), F.col("sdk_seq"), F.lit(0),
+                 F.col("family_seq")).alias("finding_seq"),
+        pick(F.lit(one.rule_id), F.lit(two.rule_id)).alias("rule_id"),
+        pick(F.concat(F.lit("Third-Party SDK Detected: "), name, F.lit(" ("), category, F.lit(")")),
+             F.concat(F.lit("SDK Permission Exposure: "), name, F.lit(" with "), shown, F.lit(" Access"))).alias("title"),
+        F.lit(one.category).alias("category"),
+        pick(F.lit(one.severity), F.lit(two.severity)).alias("severity"),
+        pick(F.lit(one.confidence), F.lit(two.confidence)).alias("confidence"),
+        pick(F.concat(F.lit("SDK: "), name, F.lit(" (Category: "), category, F.lit(", Matched: "), F.col("matched"),
+                      F.lit(" in "), kind, F.lit(")")),
+             F.concat(F.lit("SDK '"), name, F.lit("' ("), category, F.lit(") detected in "), kind,
+                      F.lit(" + Host permissions: ["), F.array_join("permissions", ", "), F.lit("]"))).alias("evidence"),
+        pick(kind, F.concat(kind, F.lit(":<uses-permission>"))).alias("location"),
+    )
+
+
+def sdk_findings(detected: DataFrame, catalog: list[tuple] | None = None) -> DataFrame:
+    """SDK-001."""
+    no_family = detected.select(
+        "*", F.lit("").alias("family"), F.lit(0).alias("family_seq"), F.array().cast("array<string>").alias("permissions"))
+    return _as_findings(no_family, catalog)
+
+
 def exposure_findings(
     detected: DataFrame, permissions: DataFrame, catalog: list[tuple] | None = None
 ) -> DataFrame:
     """SDK-002: families of a detected SDK that the host also holds."""
-    info = INFO["SDK-002"]
-    name, category = _sdk_field(1, catalog), _sdk_field(2, catalog)
-    shown = F.initcap(F.replace(F.col("family"), F.lit("_"), F.lit(" ")))
-    joined = sdk_families(detected, catalog).join(family_map(permissions), ["app_id", "family"])
-    return joined.select(
-        "app_id",
-        pack_seq(F.lit(ORDINAL["SDK-002"]), F.col("sdk_seq"), F.lit(0), F.col("family_seq")).alias("finding_seq"),
-        F.lit("SDK-002").alias("rule_id"),
-        F.concat(F.lit("SDK Permission Exposure: "), name, F.lit(" with "), shown, F.lit(" Access")).alias("title"),
-        F.lit(info.category).alias("category"),
-        F.lit(info.severity).alias("severity"),
-        F.lit(info.confidence).alias("confidence"),
-        F.concat(F.lit("SDK '"), name, F.lit("' ("), category, F.lit(") detected in "), F.col("kind"),
-                 F.lit(" + Host permissions: ["), F.array_join("permissions", ", "), F.lit("]")).alias("evidence"),
-        F.concat("kind", F.lit(":<uses-permission>")).alias("location"),
-    )
+    return _as_findings(sdk_families(detected, catalog).join(family_map(permissions), ["app_id", "family"]), catalog)
+
+
+def all_sdk_findings(
+    detected: DataFrame, permissions: DataFrame, catalog: list[tuple] | None = None
+) -> DataFrame:
+    """SDK-001 and SDK-002 from one pass over the candidates."""
+    rows = sdk_families(detected, catalog, with_sdk=True).join(family_map(permissions), ["app_id", "family"], "left")
+    return _as_findings(rows.where("family = '' OR permissions IS NOT NULL"), catalog)

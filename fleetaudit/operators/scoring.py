@@ -115,14 +115,14 @@ def scored_findings(findings: DataFrame, model: ScoreModel = ScoreModel(), dedup
     return kept.withColumn("adjusted", F.when(over, scaled).otherwise(F.col("before_low"))).drop("cum", "points")
 
 
-def category_scores(scored: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
+def _category_score(model: ScoreModel) -> Column:
     cap = _dec(model.category_cap, "decimal(20,2)")
-    return (
-        scored.groupBy("app_id", "category")
-        .agg(F.sum("adjusted").alias("category_sum"))
-        .withColumn("category_score", F.when(F.col("category_sum") > cap, cap)
-                    .otherwise(F.bround("category_sum", 2).cast("decimal(20,2)")))
-    )
+    return F.when(F.col("category_sum") > cap, cap).otherwise(F.bround("category_sum", 2).cast("decimal(20,2)"))
+
+
+def category_scores(scored: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
+    sums = scored.groupBy("app_id", "category").agg(F.sum("adjusted").alias("category_sum"))
+    return sums.withColumn("category_score", _category_score(model))
 
 
 def rule_contributions(scored: DataFrame) -> DataFrame:
@@ -172,24 +172,33 @@ def score_report(findings: DataFrame, apps: DataFrame | None = None, model: Scor
 
     Maps and lines are bounded by the number of categories and rules.
     """
-    scored = scored_findings(findings, model)
-    per_category = category_scores(scored, model)
+    # The scored rows are placed by application, so the three levels of grouping
+    # below (rule, category, application) follow each other without a shuffle.
     one = lambda c: fixed(c, 1)
-    capped = F.col("category_sum") > _dec(model.category_cap)
-    cat_line = F.when(capped, F.concat(
+    per_rule = scored_findings(findings, model).groupBy("app_id", "category", "rule_id").agg(
+        F.sum("adjusted").alias("adjusted"), F.sum("before_low").alias("before_low"), F.max("low_total").alias("low_total"))
+    per_category = per_rule.groupBy("app_id", "category").agg(
+        F.sum("adjusted").alias("category_sum"), F.max("low_total").alias("low_total"),
+        F.collect_list(F.struct("rule_id", "before_low")).alias("rules"),
+    ).withColumn("category_score", _category_score(model))
+    cat_line = F.when(F.col("category_sum") > _dec(model.category_cap), F.concat(
         F.lit("Category Cap: Category '"), F.col("category"), F.lit("' sum ("), one(F.col("category_sum")),
         F.lit(f" pts) capped at {model.category_cap:.1f} pts."),
     ))
-    cats = per_category.groupBy("app_id").agg(
-        F.sum("category_score").alias("total"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.col("category_score").cast("double"))))).alias("category_scores"),
+    per_app = per_category.groupBy("app_id").agg(
+        F.sum("category_score").alias("total"), F.max("low_total").alias("low_total"),
+        F.map_from_entries(F.array_sort(F.collect_list(
+            F.struct("category", F.col("category_score").cast("double"))))).alias("category_scores"),
         F.array_sort(F.collect_list(cat_line)).alias("cap_lines"),
+        F.flatten(F.collect_list("rules")).alias("rules"),
     )
-    rules = rule_contributions(scored).groupBy("app_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", F.col("contribution").cast("double"))))).alias("rule_contributions")
-    )
-    lows = scored.groupBy("app_id").agg(F.max("low_total").alias("low_total"))
-    out = cats.join(rules, "app_id").join(lows, "app_id").join(duplicate_counts(findings), "app_id")
+    points_of = lambda r: F.aggregate(
+        F.filter("rules", lambda x: x["rule_id"] == r), F.lit(0).cast("decimal(28,6)"),
+        lambda acc, x: (acc + x["before_low"]).cast("decimal(28,6)"))
+    contributions = F.map_from_entries(F.transform(
+        F.array_sort(F.array_distinct(F.col("rules.rule_id"))),
+        lambda r: F.struct(r, F.bround(points_of(r), 2).cast("double"))))
+    out = per_app.withColumn("rule_contributions", contributions).join(duplicate_counts(findings), "app_id")
     if apps is not None:
         out = apps.select("app_id").join(out, "app_id", "left")
     score = F.least(_dec(100), F.greatest(_dec(0), F.bround(F.coalesce("total", _dec(0)), 1).cast(POINTS))).cast("double")

@@ -135,12 +135,12 @@ def _matched(fx: Fixtures):
 
 
 def _flags(fx: Fixtures):
-    return ev.confusion(fx.findings, _matched(fx), fx.truth)
+    return ev.confusion(fx.findings, _matched(fx))
 
 
 @query("j_10", MATCHED + "SELECT app_id, gt_key, prio FROM matched")
 def j_10(fx: Fixtures):
-    return _matched(fx)
+    return _matched(fx).select("app_id", "gt_key", "prio")
 
 
 @query("j_11", MATCHED + "SELECT * FROM flags")
@@ -154,7 +154,7 @@ APP_METRICS = f"SELECT *, {_PRF} FROM (SELECT app_id, {_COUNTS} FROM flags GROUP
 @query("agg_8", MATCHED + APP_METRICS)
 def agg_8(fx: Fixtures):
     m = _matched(fx)
-    return ev.app_metrics(ev.confusion(fx.findings, m, fx.truth), m)
+    return ev.app_metrics(ev.confusion(fx.findings, m), m)
 
 
 @query("agg_9", MATCHED + f"SELECT *, {_PRF} FROM (SELECT rule_id, {_COUNTS} FROM flags GROUP BY 1)")

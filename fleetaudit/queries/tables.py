@@ -20,7 +20,7 @@ from ..sources import archives, catalogs, external, manifest as mf, targets
 from .base import query, quote
 from .findings import _RANK, SCORE
 from .functions import canonical_sql, name_sql
-from .history import APP_METRICS, COMPARE, MATCHED, SIDES, _flags, _matched, sides
+from .history import APP_METRICS, COMPARE, MATCHED, SIDES, _matched, sides
 from .rules import CLASSIFIED, _LEVEL
 
 c = F.col
@@ -355,7 +355,7 @@ def snk_3(fx: Fixtures):
 def snk_5(fx: Fixtures):
     base = work_dir(fx.spark)
     matched = _matched(fx)
-    flags = ev.confusion(fx.findings, matched, fx.truth)
+    flags = ev.confusion(fx.findings, matched)
     scores = scoring.app_scores(fx.findings, fx.finding_apps).select("app_id", c("score").alias("risk_score"), c("rating").alias("risk_rating"))
     perms = fx.finding_apps.select("app_id", F.lit(0).alias("number_of_permissions"))
     records = ev.evaluation_records(scores, fnd.detected_sets(fx.findings), fnd.severity_counts(fx.findings), perms, ev.app_metrics(flags, matched))
