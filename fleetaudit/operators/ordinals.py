@@ -30,14 +30,11 @@ def with_ordinal(
     )
     inside = Window.partitionBy(*keys, *marks).orderBy(*order)
     numbered = rows.withColumn("__rn", F.row_number().over(inside))
-    joined = numbered.alias("r").join(
-        offsets.alias("o"),
-        [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, *marks]],
-    )
-    return joined.select(
-        *[F.col(f"r.{c}") for c in df.columns],
-        (F.col("__before") + F.col("__rn")).cast("bigint").alias(name),
-    )
+    # Both sides are placed by (group, bucket), so the join moves only the offsets;
+    # a left join keeps a row whose group is null.
+    joined = numbered.join(offsets, [*keys, *marks], "left")
+    position = F.coalesce(F.col("__before"), F.lit(0)) + F.col("__rn")
+    return joined.select(*df.columns, position.cast("bigint").alias(name))
 
 
 def seq_bucket(seq: str, bits: int = 16) -> Column:

@@ -14,13 +14,11 @@ SCAN_TABLES = ["apps", "scans", "permissions", "findings"]
 def append_scan(base: str, tables: dict[str, DataFrame]) -> None:
     """Append a batch of scans to the four tables, partitioned by `created_date`.
 
-    Rows are first gathered by date and a salt, so a busy day writes several
-    files in parallel and a quiet one does not write a file per task.
+    Rows are rebalanced by date: small dates share a task and write one file,
+    and a date that holds much of the data is split over many tasks at run time.
     """
     for name in SCAN_TABLES:
-        df = tables[name]
-        spread = df.repartition("created_date", F.pmod(F.xxhash64(*df.columns[:2]), F.lit(16)))
-        spread.write.mode("append").partitionBy("created_date").parquet(f"{base}/{name}")
+        tables[name].hint("rebalance", "created_date").write.mode("append").partitionBy("created_date").parquet(f"{base}/{name}")
 
 
 def read_scan_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
@@ -30,7 +28,8 @@ def read_scan_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
 def replace_scans(spark: SparkSession, base: str, incoming: DataFrame, out: str) -> None:
     """Newest row per scan id over stored and incoming rows, written as a new table version."""
     stored = spark.read.parquet(f"{base}/scans")
-    upsert_scans(stored, incoming.select(*stored.columns)).write.mode("overwrite").partitionBy("created_date").parquet(out)
+    merged = upsert_scans(stored, incoming.select(*stored.columns)).hint("rebalance", "created_date")
+    merged.write.mode("overwrite").partitionBy("created_date").parquet(out)
 
 
 BATCH_COLUMNS = [

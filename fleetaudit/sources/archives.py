@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import printable_runs
+from ..operators.admission import ARCHIVE_TEXT, BINARY_SUFFIXES, Limits
+from .targets import POOL_LOCATION
 
 ENTRY_SCHEMA = (
     "app_id string, archive_size bigint, entry_seq bigint, entry_name string, "
@@ -61,7 +63,84 @@ def archive_entries(archives: DataFrame) -> DataFrame:
     return archives.select("app_id", "content").mapInPandas(list_batches, ENTRY_SCHEMA)
 
 
-def string_pool(binaries: DataFrame, content: str = "content") -> DataFrame:
-    """Distinct printable ASCII runs of at least four characters per application."""
+CONTENT_SCHEMA = "app_id string, entry_seq bigint, entry_name string, text string, dex binary"
+
+
+def _wanted(name: str, size: int, limits: Limits) -> str | None:
+    """`text`, `dex` or nothing, from the name and the declared size alone."""
+    path = name.replace("\\", "/")
+    if not path or "\0" in path or path.startswith("/") or path[1:2] == ":" or ".." in path.split("/"):
+        return None
+    if name.lower().endswith(tuple(BINARY_SUFFIXES)):
+        return None
+    if name.endswith(".dex"):
+        return "dex" if size <= limits.scanned_file_bytes * limits.dex_factor else None
+    text = name.endswith(tuple(ARCHIVE_TEXT)) or name == "AndroidManifest.xml"
+    return "text" if text and size <= limits.scanned_file_bytes else None
+
+
+def archive_contents(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Text entries and dex entries of each archive, one row per entry.
+
+    Entries leave the task one at a time, so a batch never holds more than one
+    archive and one decompressed entry.  An unreadable entry is skipped, as is
+    an archive that is no archive (see `archive_entries` for its error row).
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for app, content in zip(pdf["app_id"], pdf["content"]):
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(bytes(content)))
+                except Exception:
+                    continue
+                with z:
+                    for i, e in enumerate(z.infolist()):
+                        kind = _wanted(e.filename, e.file_size, limits)
+                        if kind is None:
+                            continue
+                        try:
+                            data = z.read(e)
+                        except Exception:
+                            continue
+                        text = data.decode("utf-8", "replace") if kind == "text" else None
+                        yield pd.DataFrame({"app_id": [app], "entry_seq": [i], "entry_name": [e.filename],
+                                            "text": [text], "dex": [None if kind == "text" else data]})
+
+    return archives.select("app_id", "content").mapInPandas(read, CONTENT_SCHEMA)
+
+
+def string_pool(binaries: DataFrame, content: str = "content", order: str | None = None) -> DataFrame:
+    """Distinct printable ASCII runs of at least four characters per application.
+
+    `string_seq` is the first position of the string, after `order` if several
+    binaries of an application are read.
+    """
     text = F.decode(F.col(content), "ISO-8859-1")
-    return binaries.select("app_id", F.explode(printable_runs(text)).alias("string")).distinct()
+    base = F.shiftleft(F.col(order).cast("bigint"), 32) if order else F.lit(0).cast("bigint")
+    return (
+        binaries.select("app_id", base.alias("base"), F.posexplode(printable_runs(text)).alias("pos", "string"))
+        .groupBy("app_id", "string")
+        .agg(F.min(F.col("base") + F.col("pos")).alias("string_seq"))
+    )
+
+
+# Archive entries follow the string pools of the same application in scan order.
+ENTRY_BLOCK = 2**15
+
+
+def artifacts_from_archives(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Scan table of a set of archives, in one pass and without a shuffle.
+
+    Each dex file gives one string-pool target, each text entry one file target.
+    A string that two dex files share is scanned in both; the first hit per key
+    keeps it a single finding.
+    """
+    is_text = F.col("text").isNotNull()
+    pool = F.array_join(F.array_distinct(printable_runs(F.decode("dex", "ISO-8859-1"))), "\n")
+    return archive_contents(archives, limits).select(
+        "app_id",
+        F.when(is_text, F.col("entry_seq") + ENTRY_BLOCK).otherwise(F.col("entry_seq")).alias("target_seq"),
+        F.when(is_text, F.col("entry_name")).otherwise(POOL_LOCATION).alias("location"),
+        F.when(is_text, F.col("text")).otherwise(pool).alias("text"),
+    )

@@ -19,7 +19,7 @@ def pool_targets(strings: DataFrame, chunk: int = POOL_CHUNK) -> DataFrame:
     """String pools as newline-joined texts, ordered by first offset.
 
     `strings` is (app_id, string_seq, string).  A pool is joined in runs of
-    `chunk` strings that all carry the pool's location, so the largest pool is
+    `chunk` positions that all carry the pool's location, so the largest pool is
     many rows.  A pool is a set of unrelated strings: every string is scanned
     whole, and a match across two of them would only reflect their chance order.
     """

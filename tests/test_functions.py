@@ -107,6 +107,24 @@ def test_archives_on_disk(spark, tmp_path):
     assert files.where("filename = 'b.apk'").first()["sha256"] is not None
 
 
+def test_archive_contents_to_findings(spark, tmp_path):
+    from fleetaudit.operators.rules import text_scan
+
+    with zipfile.ZipFile(tmp_path / "a.apk", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("assets/conf.json", '{"u": "http://api.real-host.io/x"}')
+        z.writestr("classes.dex", b"\x00\x01Cipher.getInstance(\"DES\")\x00ab\x00Cipher.getInstance(\"DES\")\xff")
+        z.writestr("res/icon.png", "http://api.hidden.io/x")
+        z.writestr("../up.txt", "http://api.hidden.io/x")
+        z.writestr("big.txt", "x" * 100)
+    files = archives.read_archives(spark, str(tmp_path))
+    art = archives.artifacts_from_archives(files, adm.Limits(scanned_file_bytes=90))
+    assert {r["location"] for r in art.collect()} == {"DEX:StringPool", "assets/conf.json"}
+    found = text_scan.text_findings(art, ["NET-001", "CRY-001"]).collect()
+    assert {(r["rule_id"], r["location"]) for r in found} == {("NET-001", "assets/conf.json"), ("CRY-001", "DEX:StringPool")}
+    pool = archives.string_pool(spark.createDataFrame([("a", bytearray(b"zzzz\x00aaaa\x00zzzz"))], "app_id string, content binary"))
+    assert {(r["string"], r["string_seq"]) for r in pool.collect()} == {("zzzz", 0), ("aaaa", 1)}
+
+
 def test_admission_order(spark):
     rows = [("a", i, f"f{i}", 1, 1) for i in range(5)] + [("b", 0, "x.dex", 400 * adm.MIB, 200 * adm.MIB), ("b", 1, "y", 200 * adm.MIB, 200 * adm.MIB)] + [
         ("c", 0, "classes.dex", 20 * adm.MIB, 1000)]
