@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..fixtures.views import FX_RULES, Fixtures
 from ..functions.classify import severity_rank
 from ..operators import findings as ops, scoring
-from ..operators.rules.catalog import RULES
 from .base import WS, query
 
 _TRIM = f"trim(coalesce({{}}, ''), {WS})"
@@ -265,5 +264,3 @@ def set_4(fx: Fixtures):
              tag(fx.scan_findings, "c")]
     return ops.concatenate(parts).groupBy("source", "category").agg(F.count("*").alias("findings"))
 
-
-ALL_RULE_IDS = [r.rule_id for r in RULES]

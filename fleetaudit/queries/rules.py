@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalogs import (
-    CATEGORY_DEFAULT_FAMILIES, PERMISSION_TO_FAMILY, PERMISSIONS, SDKS, TRACKING_DOMAINS, TRACKING_INDICATORS,
+    CATEGORY_DEFAULT_FAMILIES, PERMISSION_TO_FAMILY, PERMISSIONS, TRACKING_DOMAINS, TRACKING_INDICATORS,
 )
 from ..fixtures.views import Fixtures
 from ..functions import text as tx, urls
@@ -14,7 +14,6 @@ from ..operators import permissions as prm
 from ..operators.rules import manifest, patterns as P, sdk, text_scan
 from ..operators.rules.catalog import INFO
 from ..operators.rules.registry import Inputs, RuleRegistry
-from ..plans import audit
 from .base import WS, query, quote
 
 COLUMNS = ["app_id", "rule_id", "title", "category", "severity", "confidence", "evidence", "location"]
@@ -390,10 +389,9 @@ def net_008(fx: Fixtures):
 
 
 @query("net_009", " UNION ALL ".join(
-    f"""SELECT app_id, '{i}' AS indicator_id, {quote(n)} AS name, '{s}' AS severity, location, {quote(p)} AS pattern_text,
-    regexp_extract(text, {quote(p)}) AS match FROM fx_artifacts WHERE regexp_matches(text, {quote(p)})
-    QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY target_seq) = 1""" for i, n, p, s, _ in TRACKING_INDICATORS).replace(
-        ", location, '", ", location, '").join(["SELECT app_id, indicator_id, name, severity, location FROM (", ")"]))
+    f"""SELECT app_id, '{i}' AS indicator_id, {quote(n)} AS name, '{s}' AS severity, location FROM (
+        SELECT * FROM fx_artifacts WHERE regexp_matches(text, {quote(p)})
+        QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY target_seq) = 1)""" for i, n, p, s, _ in TRACKING_INDICATORS))
 def net_009(fx: Fixtures):
     return text_scan.indicator_hits(fx.artifacts(), TRACKING_INDICATORS).drop("evidence")
 
@@ -449,9 +447,9 @@ _SDK_FAM = ", ".join(f"({i}, '{f}')" for i, r in enumerate(_SDK_ROWS)
                      for f in dict.fromkeys(r[5] or CATEGORY_DEFAULT_FAMILIES.get(r[2], [])))
 
 
-@query("sdk_001", f"""SELECT app_id, {_meta("SDK-001").replace(" AS category", " AS fcategory").replace("category", "category")},
+@query("sdk_001", f"""SELECT app_id, 'SDK-001' AS rule_id, 'TRACKING_SDK' AS category, 'INFO' AS severity, 'HIGH' AS confidence,
     'Third-Party SDK Detected: ' || name || ' (' || category || ')' AS title,
-    'SDK: ' || name || ' (Category: ' || category || ', Matched: ' || matched || ' in ' || kind || ')' AS evidence, kind AS location FROM {_DETECTED}""".replace("AS fcategory", "AS category"))
+    'SDK: ' || name || ' (Category: ' || category || ', Matched: ' || matched || ' in ' || kind || ')' AS evidence, kind AS location FROM {_DETECTED}""")
 def sdk_001(fx: Fixtures):
     return shown(sdk.sdk_findings(sdk.detected_sdks(fx.candidates())))
 
@@ -488,9 +486,6 @@ def fleet_inputs(fx: Fixtures) -> Inputs:
     return Inputs(fx.apps, fx.components, fx.permissions, fx.artifacts(), fx.candidates())
 
 
-_FIRST_OF_SET = "SELECT DISTINCT " + ", ".join(["app_id", "rule_id", "title", "evidence", "location"])
-
-
 @query("ext_2", "SELECT rule_id, count(*) AS findings FROM (" + " UNION ALL ".join(
     f"SELECT app_id, rule_id FROM ({s})" for s in [_MAN_SQL["MAN-001"], _COMP_SQL["MAN-008"], _TEXT_SQL["CRY-002"], _TEXT_SQL["SEC-004"]]) + ") GROUP BY 1")
 def ext_2(fx: Fixtures):

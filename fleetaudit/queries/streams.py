@@ -8,11 +8,11 @@ from ..fixtures.views import Fixtures
 from ..operators.rules import registry as reg, sdk, text_scan
 from ..session import work_dir
 from ..streaming import incremental as inc
-from .base import query
-from .rules import COLUMNS, _COMP_SQL, _MAN_SQL, _NET_002, _NET_008, _PAIR_SQL, _TEXT_SQL, _WORDS, fleet_inputs, shown  # noqa: F401
-from .rules import _EXPOSED, _DETECTED, _TITLE_FAM
 from ..plans import audit
-from ..operators import scoring
+from .base import query
+from .rules import (
+    _COMP_SQL, _DETECTED, _EXPOSED, _MAN_SQL, _NET_002, _NET_008, _PAIR_SQL, _TEXT_SQL, _TITLE_FAM, fleet_inputs, shown,
+)
 
 c = F.col
 

@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..catalogs import PERMISSIONS, SDKS
+from ..catalogs import PERMISSIONS
 from ..fixtures.views import Fixtures
 from ..functions import metrics as M, paths
-from ..operators import admission as adm, comparison as cmp, evaluation as ev, findings as fnd, history as h
+from ..operators import admission as adm, comparison as cmp, evaluation as ev, findings as fnd
 from ..operators import permissions as prm, scoring
 from ..session import work_dir
 from ..sinks import reports, tables as sink
