@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import work_dir
 from .exact_dedup import exact_duplicates
 from .packing import pack_documents
+from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
         table(spark, sf_dir, "documents"), work_dir(spark), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark))
