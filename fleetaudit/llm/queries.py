@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import work_dir
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .html_text import extract_text
 from .language import identify_languages
+from .licenses import license_digest
 from .packing import pack_documents
 from .quality import classify_quality
 from .simhash import near_duplicates
@@ -70,3 +72,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), work_dir(spark))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
