@@ -182,6 +182,18 @@ def quality_scores(docs: DataFrame, weights: Weights) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
 
 
+def drop_low_quality(docs: DataFrame, weights: Weights) -> DataFrame:
+    """The documents that the classifier accepts, with all their columns; no row moves."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_slices(batches, "text"):
+            texts = [chunk_bytes(t) for t in batch.column("text").to_pylist()]
+            starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
+            yield batch.filter(pa.array(score_chunks(weights, np.concatenate(texts), starts) >= KEEP_FROM))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
     scored = quality_scores(docs, fit_quality(docs, labels, sample))

@@ -13,6 +13,8 @@ from .exact_dedup import exact_duplicates
 from .html_text import extract_text
 from .language import identify_languages
 from .licenses import license_digest
+from .line_dedup import LEAST_PAGES, RATIO, drop_boilerplate
+from .lm_score import pseudo_likelihood
 from .packing import pack_documents
 from .quality import classify_quality
 from .simhash import near_duplicates
@@ -82,3 +84,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_dedup", f"""
+WITH l AS (
+    SELECT doc_id, coalesce(source, '') AS host, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents),
+c AS (SELECT host, trim(line) AS line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
+t AS (SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1),
+b AS (SELECT host, line FROM c JOIN t USING (host) WHERE pages >= {LEAST_PAGES} AND pages > {RATIO} * host_pages)
+SELECT l.doc_id, l.host, count(*) AS n_lines, count(b.line) AS n_dropped,
+       coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text
+FROM l LEFT JOIN b ON l.host = b.host AND trim(l.line) = b.line
+GROUP BY l.doc_id, l.host""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents"), "source")
