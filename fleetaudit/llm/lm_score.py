@@ -238,7 +238,7 @@ def score_documents(docs: DataFrame, tokens: dict[bytes, int], w: Weights) -> Da
         for batch in small_slices(batches, "text"):
             near, token, sizes = windows(batch.column("text").to_pylist(), known)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            total = np.bincount(owner, log_probs(w, near, token), len(sizes))
+            total = np.bincount(owner, log_probs(w, near, token), len(sizes)).astype(float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(total), pa.array(total / np.maximum(sizes, 1))],
                 names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
