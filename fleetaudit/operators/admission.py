@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import is_safe_entry
-from .ordinals import seq_bucket, with_ordinal
 
 MIB = 1024 * 1024
 
@@ -48,7 +47,8 @@ def admission_verdicts(
     (app_id, archive_size) for the checks on the file itself.
     """
     name = F.col("entry_name")
-    bad = F.when(~is_safe_entry(name), "unsafe path").when(
+    error = F.col("error") if "error" in entries.columns else F.lit(None)
+    bad = F.when(error.isNotNull(), None).when(~is_safe_entry(name), "unsafe path").when(
         is_compression_bomb(F.col("file_size"), F.col("compress_size"), limits), "compression bomb"
     )
     per_app = entries.groupBy("app_id").agg(
@@ -56,6 +56,7 @@ def admission_verdicts(
         F.sum("file_size").alias("total"),
         F.min(F.when(bad.isNotNull(), F.struct("entry_seq", bad.alias("why"), name.alias("entry_name")))).alias("first_bad"),
         F.coalesce(F.bool_or((name == "AndroidManifest.xml") | F.endswith(name, F.lit(".dex"))), F.lit(False)).alias("android"),
+        F.coalesce(F.bool_or(error.isNotNull()), F.lit(False)).alias("unreadable"),
     )
     size = F.lit(None).cast("bigint")
     if archives is not None:
@@ -64,6 +65,7 @@ def admission_verdicts(
     reason = (
         F.when(size == 0, "empty archive")
         .when(size > limits.archive_bytes, "archive too large")
+        .when(F.coalesce("unreadable", F.lit(False)), "not a valid archive")
         .when(F.coalesce("n", F.lit(0)) > limits.entries, "too many entries")
         .when(F.col("first_bad").isNotNull(), F.concat_ws(": ", F.col("first_bad.why"), F.col("first_bad.entry_name")))
         .when(F.coalesce("total", F.lit(0)) > limits.total_bytes, "uncompressed size too large")
@@ -94,9 +96,26 @@ def harvestable(entries: DataFrame, origin: str = "archive", limits: Limits = Li
 
 
 def first_entries(entries: DataFrame, limit: int = Limits().entries) -> DataFrame:
-    """The first `limit` entries of each application: a limit of the feature itself."""
-    ranked = with_ordinal(entries, ["app_id"], [F.col("entry_seq")], [seq_bucket("entry_seq")], "position")
-    return ranked.where(F.col("position") <= limit).drop("position")
+    """The first `limit` entries of each application: a limit of the feature itself.
+
+    Spark applies the limit before the shuffle too, so a task gets `limit` entries of an
+    application from each task before it at most.  `skipped_entries` lists the others.
+    """
+    first = Window.partitionBy("app_id").orderBy("entry_seq")
+    return entries.withColumn("position", F.row_number().over(first)).where(F.col("position") <= limit).drop("position")
+
+
+def skipped_entries(entries: DataFrame, origin: str = "archive", limits: Limits = Limits()) -> DataFrame:
+    """Entries that are not read although their name asks for it: (app_id, entry_seq, entry_name, reason).
+
+    A row for each limit that cuts something: the size of an entry and the number of entries.
+    """
+    wanted = harvestable(entries, origin, replace(limits, scanned_file_bytes=2**62 // limits.dex_factor))
+    large = wanted.join(harvestable(entries, origin, limits).select("app_id", "entry_seq"), ["app_id", "entry_seq"], "left_anti")
+    last = first_entries(entries, limits.entries).groupBy("app_id").agg(F.max("entry_seq").alias("last"))
+    beyond = entries.join(last, "app_id").where("entry_seq > last")
+    shown = lambda df, why: df.select("app_id", "entry_seq", "entry_name", F.lit(why).alias("reason"))
+    return shown(large, "entry too large").unionByName(shown(beyond, "too many entries"))
 
 
 def _blank(c: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..catalogs import SEVERITIES
 from ..functions.classify import display_category, severity_rank
-from .ordinals import seq_bucket, with_ordinal
+from .ordinals import with_ordinal
 from .rows import side_by_side
 
 # Display categories.
@@ -144,18 +144,11 @@ def report_order(findings: DataFrame) -> DataFrame:
 def report_ordinals(findings: DataFrame) -> DataFrame:
     """Number of each finding in its report, by severity rank then rule."""
     rank = severity_rank(F.col("severity"))
-    return with_ordinal(
-        findings, ["app_id"],
-        [F.col("finding_seq")],
-        [rank, F.col("rule_id"), seq_bucket("finding_seq")],
-        "finding_no",
-    )
+    return with_ordinal(findings, ["app_id"], "finding_seq", "finding_no", [rank, F.col("rule_id")])
 
 
 def rule_occurrences(findings: DataFrame) -> DataFrame:
-    return with_ordinal(
-        findings, ["app_id", "rule_id"], [F.col("finding_seq")], [seq_bucket("finding_seq")], "occurrence"
-    )
+    return with_ordinal(findings, ["app_id", "rule_id"], "finding_seq", "occurrence")
 
 
 def rule_dimension(spark: SparkSession, rule_ids: list[str], disabled: list[str] = ()) -> DataFrame:

@@ -1,42 +1,57 @@
 """Skew-safe numbering of the rows of a group.
 
 `row_number()` puts a whole group into one task.  When one application holds a
-third of all rows that task never ends, so numbering is done in two levels: the
-order key is coarsened to a bucket, rows are numbered inside (group, bucket),
-and each bucket is shifted by the number of rows in the buckets before it.  Only
-the bucket counts - one short row per bucket - are ever brought together.
+third of all rows that task never ends, so large groups are numbered in pieces:
+order keys picked by their hash cut such a group into at most `PIECES` ranges of
+about equal size, rows are numbered inside (group, piece), and each piece is
+shifted by the number of rows in the pieces before it.  Small groups are one piece.
+The cuts depend on the data alone, so every evaluation of the plan finds the same.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Groups above this many rows are cut.
+HOT_ROWS = 1 << 18
+PIECES = 256
+#: One of so many order keys may become a cut.
+SAMPLE = 1 << 10
+
+
+def _cuts(rows: DataFrame, group: list[str], order: str, hot_rows: int, sample: int) -> DataFrame:
+    """The cuts of each large group; groups combine before they move."""
+    picked = F.when(F.pmod(F.xxhash64(order), F.lit(sample)) == 0, F.col(order))
+    large = rows.groupBy(*group).agg(F.count("*").alias("__n"), F.array_sort(F.collect_set(picked)).alias("__all")).where(
+        F.col("__n") > hot_rows)
+    every = F.greatest(F.lit(1), F.ceil(F.size("__all") / PIECES))
+    return large.select(*group, F.filter("__all", lambda _, i: i % every == 0).alias("__cuts"))
+
 
 def with_ordinal(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: list[Column], name: str = "ordinal"
+    df: DataFrame, keys: list[str], order: str, name: str = "ordinal", coarse: list[Column] = (),
+    hot_rows: int = HOT_ROWS, sample: int = SAMPLE,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group.
+    """Add the 1-based position of each row in its group, by the `coarse` columns and then by `order`.
 
-    `bucket` must be a coarsening of `order`: rows of a smaller bucket come
-    first.  Choose it so that one (group, bucket) pair fits a task.
+    `order` is one column, unique in its group (rows with equal keys are numbered in any order).
     """
-    marks = [f"__b{i}" for i in range(len(bucket))]
-    rows = df.select("*", *[b.alias(m) for b, m in zip(bucket, marks)])
-    before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
+    marks = [f"__b{i}" for i in range(len(coarse))]
+    rows = df.select("*", *[b.alias(m) for b, m in zip(coarse, marks)])
+    group = [*keys, *marks]
+    cut = rows.join(_cuts(rows, group, order, hot_rows, sample), group, "left")
+    piece = F.coalesce(F.size(F.filter("__cuts", lambda x: x <= F.col(order))), F.lit(0))
+    rows = cut.withColumn("__piece", F.when(F.col("__cuts").isNull(), 0).otherwise(piece)).drop("__cuts")
+    before = Window.partitionBy(*keys).orderBy(*marks, "__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*keys, *marks)
+        rows.groupBy(*group, "__piece")
         .agg(F.count("*").alias("__n"))
-        .select(*keys, *marks, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        .select(*group, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     )
-    inside = Window.partitionBy(*keys, *marks).orderBy(*order)
+    inside = Window.partitionBy(*group, "__piece").orderBy(order)
     numbered = rows.withColumn("__rn", F.row_number().over(inside))
-    # Both sides are placed by (group, bucket), so the join moves only the offsets;
+    # Both sides are placed by (group, piece), so the join moves only the offsets;
     # a left join keeps a row whose group is null.
-    joined = numbered.join(offsets, [*keys, *marks], "left")
+    joined = numbered.join(offsets, [*group, "__piece"], "left")
     position = F.coalesce(F.col("__before"), F.lit(0)) + F.col("__rn")
     return joined.select(*df.columns, position.cast("bigint").alias(name))
-
-
-def seq_bucket(seq: str, bits: int = 16) -> Column:
-    """Coarsening of a unique integer order key: at most 2**bits rows per bucket."""
-    return F.shiftright(F.col(seq).cast("bigint"), bits)

@@ -133,19 +133,25 @@ INFO: dict[str, RuleInfo] = {r.rule_id: r for r in RULES}
 ORDINAL: dict[str, int] = {r.rule_id: i + 1 for i, r in enumerate(RULES)}
 
 # finding_seq = rule ordinal | target (24 bits) | pattern of the rule (4 bits) | match number (24 bits).
-# Admitted applications hold at most 10 000 targets of at most 50 MiB, so nothing wraps.
+# A value beyond its field keeps the largest one and never runs into the next field.
 RULE_SHIFT, TARGET_SHIFT, PART_SHIFT = 52, 28, 24
 
 
 def pack_seq(rule_ordinal: Column, target: Column, part: Column, pos: Column) -> Column:
+    field = lambda value, bits: F.least(value.cast("bigint"), F.lit(2**bits - 1).cast("bigint"))
     return (
         F.shiftleft(rule_ordinal.cast("bigint"), RULE_SHIFT)
-        + F.shiftleft(target.cast("bigint"), TARGET_SHIFT)
-        + F.shiftleft(part.cast("bigint"), PART_SHIFT)
-        + pos.cast("bigint")
+        + F.shiftleft(field(target, RULE_SHIFT - TARGET_SHIFT), TARGET_SHIFT)
+        + F.shiftleft(field(part, TARGET_SHIFT - PART_SHIFT), PART_SHIFT)
+        + field(pos, PART_SHIFT)
     )
 
 
+def pack_row_seq(rule_ordinal: Column, row: Column) -> Column:
+    """finding_seq of a rule with one finding for each row of a table: the row number has 52 bits."""
+    return F.shiftleft(rule_ordinal.cast("bigint"), RULE_SHIFT) + row.cast("bigint")
+
+
 def rule_column(rule_id: str, field: str) -> Column:
     """Metadata of a rule as a CASE over the fixed rule list."""
     if field == "ordinal":

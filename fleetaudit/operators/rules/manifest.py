@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.metrics import sdk_level
 from ...functions.text import alternation, simple_name
-from .catalog import INFO, ORDINAL, pack_seq
+from .catalog import INFO, ORDINAL, pack_row_seq
 
 APPLICATION = "AndroidManifest.xml:<application>"
 
@@ -62,7 +62,7 @@ def _emit(rows: DataFrame, candidates: list[Column], target: Column) -> DataFram
         .where(F.col("f").isNotNull())
         .select(
             "app_id",
-            pack_seq(F.col("f.ordinal"), F.col("target"), F.lit(0), F.lit(0)).alias("finding_seq"),
+            pack_row_seq(F.col("f.ordinal"), F.col("target")).alias("finding_seq"),
             "f.rule_id", "f.title", "f.category", "f.severity", "f.confidence", "f.evidence", "f.location",
         )
     )
@@ -173,7 +173,7 @@ def permission_combinations(permissions: DataFrame) -> DataFrame:
         .where(F.size("g.m") > 0)
         .select(
             "app_id",
-            pack_seq(F.lit(ORDINAL["MAN-010"]), F.col("g.i"), F.lit(0), F.lit(0)).alias("finding_seq"),
+            pack_row_seq(F.lit(ORDINAL["MAN-010"]), F.col("g.i")).alias("finding_seq"),
             F.lit("MAN-010").alias("rule_id"),
             F.concat("g.label", F.lit(": "), simple_name(names)).alias("title"),
             F.lit(info.category).alias("category"),

@@ -18,10 +18,13 @@ SENSITIVE_WORD = (
 # Network rules.
 CLEARTEXT_CONFIG = r"(?i)cleartextTrafficPermitted\s*=\s*[\"']true[\"']"
 EMPTY_SERVER_CHECK = (
-    r"void\s+checkServerTrusted\s*\([^)]*\)\s*\{\s*(?://[^\n]*\s*|/\*[^\n]*?\*/\s*)*\}"
+    # Whole comment lines are possessive: giving them back one by one recurses once a line.
+    r"void\s+checkServerTrusted\s*\([^)]*\)\s*\{\s*(?:"
+    r"(?://[^\n]*\n\s*|/\*[^\n]*?\*/\s*)*+(?://[^\n]*)?\}"
+    r"|(?://[^\n}]*\n\s*|/\*[^\n]*?\*/\s*)*+//[^\n]*\})"
 )
 SMALI_SERVER_CHECK = (
-    r"\.method\s+[^\n]*checkServerTrusted[^\n]*\n(?:\s*\.[a-zA-Z0-9_-]+[^\n]*\n)*"
+    r"\.method\s+[^\n]*checkServerTrusted[^\n]*\n(?:\s*\.[a-zA-Z0-9_-]+[^\n]*\n)*+"
     r"\s*return-void\s*\n\s*\.end\s+method"
 )
 TRUST_ALL_CLASS = (

@@ -157,8 +157,8 @@ def _url_findings(rules: set[str], domains: list[str]) -> Column:
 
     Works on columns url, host, spec (host and path) and location.
     """
-    def made(rule: str, key: str, evidence: str) -> str:
-        return (f"named_struct('rule_id', '{rule}', 'part', 0, 'dedupe_key', {key}, 'title', '{INFO[rule].title}', "
+    def made(rule: str, key: str, evidence: str, sub: str = "0") -> str:
+        return (f"named_struct('rule_id', '{rule}', 'part', 0, 'sub', {sub}, 'dedupe_key', {key}, 'title', '{INFO[rule].title}', "
                 f"'evidence', {evidence}, 'location', location, 'confidence', CAST(NULL AS STRING))")
 
     url, host = F.col("url"), F.col("host")
@@ -175,7 +175,7 @@ def _url_findings(rules: set[str], domains: list[str]) -> Column:
     listed = ", ".join(sql_literal(d) for d in domains)
     evidence = "concat('Static evidence: URL: ', url, ' (matches ', d, ')')"
     tracked = F.expr(
-        f"transform(filter(array({listed}), d -> contains(spec, d)), d -> {made('NET-007', 'd', evidence)})")
+        f"transform(filter(array({listed}), d -> contains(spec, d)), (d, i) -> {made('NET-007', 'd', evidence, 'i')})")
     return F.concat(F.array(*singles), tracked) if singles else tracked
 
 
@@ -337,7 +337,7 @@ def text_findings(
     found = None
     if chosen:
         keep, key, title, evidence, location = _finding_columns({s.kind for s in chosen})
-        made = F.struct("rule_id", "part", key.alias("dedupe_key"), title.alias("title"),
+        made = F.struct("rule_id", "part", F.lit(0).alias("sub"), key.alias("dedupe_key"), title.alias("title"),
                         evidence.alias("evidence"), location.alias("location"), "confidence")
         found = F.array(F.when(keep, made))
     if url_rules:
@@ -351,7 +351,7 @@ def text_findings(
         from_url = _url_findings(url_rules, domains)
         if "NET-007" in url_rules:
             word = F.expr(
-                f"array(named_struct('rule_id', 'NET-007', 'part', 1, 'dedupe_key', m, 'title', '{INFO['NET-007'].title}', "
+                f"array(named_struct('rule_id', 'NET-007', 'part', 1, 'sub', 0, 'dedupe_key', m, 'title', '{INFO['NET-007'].title}', "
                 "'evidence', concat('Static evidence: Domain string: ', m), 'location', location, 'confidence', CAST(NULL AS STRING)))")
             from_url = F.when(is_url, from_url).otherwise(word)
         found = from_url if found is None else F.when(F.col("spec_no") < n, found).otherwise(from_url)
@@ -360,7 +360,7 @@ def text_findings(
         .where("f IS NOT NULL")
         .select("app_id", "target_seq", "pos", "f.*")
     )
-    first = Window.partitionBy("app_id", "rule_id", "dedupe_key").orderBy("target_seq", "part", "pos")
+    first = Window.partitionBy("app_id", "rule_id", "dedupe_key").orderBy("target_seq", "part", "pos", "sub")
     kept = emitted.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     if apps is not None and "NET-008" in wanted:
         package = apps.select("app_id", "package_name")
@@ -372,6 +372,9 @@ def text_findings(
 def finish(rows: DataFrame) -> DataFrame:
     """Common finding columns from (rule_id, part, pos, target_seq, ...) rows."""
     rule = "rule_id"
+    if "sub" in rows.columns:  # several catalog domains can match one URL
+        wide = F.least(F.col("pos").cast("bigint"), F.lit(2**18 - 1).cast("bigint")) * 64 + F.col("sub")
+        rows = rows.withColumn("pos", F.when(F.col(rule) == "NET-007", wide).otherwise(F.col("pos")))
     return rows.select(
         "app_id",
         pack_seq(rule_column(rule, "ordinal"), F.col("target_seq"), F.col("part"), F.col("pos")).alias("finding_seq"),

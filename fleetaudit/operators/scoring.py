@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.classify import literal_case, rating_band
 from ..functions.metrics import fixed
 from ..functions.text import strip
-from .ordinals import seq_bucket, with_ordinal
+from .ordinals import with_ordinal
 
 POINTS = "decimal(18,6)"
 
@@ -145,18 +145,19 @@ def itemized_breakdown(findings: DataFrame, model: ScoreModel = ScoreModel()) ->
     """One row per unique finding; the rows beyond the decay table carry zero points.
 
     Occurrence numbers of unlimited groups use two-level numbering, the points
-    come from the bounded scored rows by a join on the finding.
+    come from the bounded scored rows by a join on the occurrence, which is unique.
     """
     unique = unique_findings(findings)
     numbered = with_ordinal(
         unique.select("app_id", "finding_seq", "rule_id", "title", "category", "severity", "confidence"),
-        ["app_id", "rule_id"], [F.col("finding_seq")], [seq_bucket("finding_seq")], "occurrence",
+        ["app_id", "rule_id"], "finding_seq", "occurrence",
     )
-    points = scored_findings(unique, model, deduplicated=True).select("app_id", "finding_seq", "adjusted")
+    points = scored_findings(unique, model, deduplicated=True).select(
+        "app_id", "rule_id", F.col("occurrence").cast("bigint").alias("occurrence"), "adjusted")
     weight = literal_case("severity", dict(model.severity_weights), 0.0)
     factor = literal_case("confidence", dict(model.confidence_multipliers), 1.0)
     table = {i + 1: d for i, d in enumerate(model.decay)}
-    return numbered.join(points, ["app_id", "finding_seq"], "left").select(
+    return numbered.join(points, ["app_id", "rule_id", "occurrence"], "left").select(
         "app_id", "finding_seq", "rule_id", "title", "category", "severity", "confidence",
         weight.alias("base_weight"),
         factor.alias("confidence_multiplier"),

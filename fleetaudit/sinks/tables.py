@@ -78,5 +78,4 @@ COMPARISON_COLUMNS = [
 
 def comparison_summary(rows: DataFrame, tools: DataFrame) -> DataFrame:
     """Comparison rows with the tool list; `tools` is a single short string."""
-    names = tools.limit(1).collect()[0][0]
-    return rows.withColumn("comparison_tool", F.lit(names)).select(*COMPARISON_COLUMNS)
+    return rows.withColumn("comparison_tool", tools.limit(1).scalar()).select(*COMPARISON_COLUMNS)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import printable_runs
 from ..operators.admission import ARCHIVE_TEXT, BINARY_SUFFIXES, Limits
-from .targets import POOL_LOCATION
+from .targets import pool_targets, text_targets
 
 ENTRY_SCHEMA = (
     "app_id string, archive_size bigint, entry_seq bigint, entry_name string, "
@@ -63,7 +63,7 @@ def archive_entries(archives: DataFrame) -> DataFrame:
     return archives.select("app_id", "content").mapInPandas(list_batches, ENTRY_SCHEMA)
 
 
-CONTENT_SCHEMA = "app_id string, entry_seq bigint, entry_name string, text string, dex binary"
+CONTENT_SCHEMA = "app_id string, entry_seq bigint, entry_name string, text string, dex binary, error string"
 
 
 def _wanted(name: str, size: int, limits: Limits) -> str | None:
@@ -83,16 +83,21 @@ def archive_contents(archives: DataFrame, limits: Limits = Limits()) -> DataFram
     """Text entries and dex entries of each archive, one row per entry.
 
     Entries leave the task one at a time, so a batch never holds more than one
-    archive and one decompressed entry.  An unreadable entry is skipped, as is
-    an archive that is no archive (see `archive_entries` for its error row).
+    archive and one decompressed entry.  What cannot be read is a row with `error`
+    set; an archive that is no archive has no entry in it.
     """
 
+    def row(app: str, seq: int | None, name: str | None, text: str | None, dex: bytes | None, error: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"app_id": [app], "entry_seq": pd.array([seq], "Int64"), "entry_name": [name], "text": [text],
+                             "dex": [dex], "error": [error]})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for app, content in zip(pdf["app_id"], pdf["content"]):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(bytes(content)))
-                except Exception:
+                except Exception as exc:
+                    yield row(app, None, None, None, None, f"{type(exc).__name__}: {exc}")
                     continue
                 with z:
                     for i, e in enumerate(z.infolist()):
@@ -101,11 +106,11 @@ def archive_contents(archives: DataFrame, limits: Limits = Limits()) -> DataFram
                             continue
                         try:
                             data = z.read(e)
-                        except Exception:
+                        except Exception as exc:
+                            yield row(app, i, e.filename, None, None, f"{type(exc).__name__}: {exc}")
                             continue
                         text = data.decode("utf-8", "replace") if kind == "text" else None
-                        yield pd.DataFrame({"app_id": [app], "entry_seq": [i], "entry_name": [e.filename],
-                                            "text": [text], "dex": [None if kind == "text" else data]})
+                        yield row(app, i, e.filename, text, None if kind == "text" else data, None)
 
     return archives.select("app_id", "content").mapInPandas(read, CONTENT_SCHEMA)
 
@@ -125,22 +130,19 @@ def string_pool(binaries: DataFrame, content: str = "content", order: str | None
     )
 
 
-# Archive entries follow the string pools of the same application in scan order.
-ENTRY_BLOCK = 2**15
-
-
 def artifacts_from_archives(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Scan table of a set of archives, in one pass and without a shuffle.
+    """Scan table of a set of archives; only the strings of the pools are shuffled.
 
-    Each dex file gives one string-pool target, each text entry one file target.
-    A string that two dex files share is scanned in both; the first hit per key
-    keeps it a single finding.
+    All dex files of an application give one string-pool target, each text entry one
+    file target.  Entries that cannot be read are listed by `unreadable_entries`.
     """
-    is_text = F.col("text").isNotNull()
-    pool = F.array_join(F.array_distinct(printable_runs(F.decode("dex", "ISO-8859-1"))), "\n")
-    return archive_contents(archives, limits).select(
-        "app_id",
-        F.when(is_text, F.col("entry_seq") + ENTRY_BLOCK).otherwise(F.col("entry_seq")).alias("target_seq"),
-        F.when(is_text, F.col("entry_name")).otherwise(POOL_LOCATION).alias("location"),
-        F.when(is_text, F.col("text")).otherwise(pool).alias("text"),
-    )
+    contents = archive_contents(archives, limits)
+    pools = pool_targets(string_pool(contents.where("dex IS NOT NULL"), "dex", "entry_seq"))
+    files = contents.where("text IS NOT NULL").select(
+        "app_id", F.col("entry_seq").alias("file_seq"), F.col("entry_name").alias("location"), "text")
+    return text_targets(files, pools)
+
+
+def unreadable_entries(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(app_id, entry_seq, entry_name, error) of archives and entries that could not be read."""
+    return archive_contents(archives, limits).where("error IS NOT NULL").select("app_id", "entry_seq", "entry_name", "error")

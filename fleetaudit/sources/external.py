@@ -12,9 +12,17 @@ OUR_TOOL = "fleetaudit"
 
 
 def read_external_csv(spark: SparkSession, path: str) -> DataFrame:
-    """External findings: headers in any case, BOM tolerated, rows without hash dropped."""
-    raw = spark.read.csv(path, header=True, multiLine=False, enforceSchema=False, escape='"')
-    return external_findings(raw.toDF(*[c.replace("\ufeff", "").strip().lower() for c in raw.columns]))
+    """External findings: headers in any case, BOM tolerated, rows without hash dropped.
+
+    A quoted cell may hold line breaks, so a file is read by one task.
+    """
+    raw = _csv(spark, path)
+    return external_findings(raw)
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.csv(path, header=True, multiLine=True, enforceSchema=False, escape='"')
+    return raw.toDF(*[c.replace("\ufeff", "").strip().lower() for c in raw.columns])
 
 
 def external_findings(raw: DataFrame) -> DataFrame:
@@ -74,8 +82,29 @@ RESULT_SCHEMA = (
 )
 
 
-def read_own_results(spark: SparkSession, path: str) -> DataFrame:
-    return own_findings(spark.read.schema(RESULT_SCHEMA).json(path))
+def read_own_results(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Findings of result files: CSV, whole JSON documents, or JSON lines.
+
+    `multi_line` says that each file is one document, indented or not; by default that
+    holds for a path that ends in `.json`, while folders and `.jsonl` hold a record a line.
+    """
+    if path.lower().endswith(".csv"):
+        return own_findings_csv(_csv(spark, path))
+    whole = path.lower().endswith(".json") if multi_line is None else multi_line
+    return own_findings(spark.read.schema(RESULT_SCHEMA).json(path, multiLine=whole))
+
+
+def own_findings_csv(raw: DataFrame) -> DataFrame:
+    """Findings of our flat result table; a column that is absent counts as empty."""
+    cell = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) if c in raw.columns else F.lit("")
+    either = lambda *names: F.coalesce(*[F.nullif(cell(n), F.lit("")) for n in names])
+    name = F.coalesce(either("finding_name", "title", "rule_id"), F.lit("Finding"))
+    return raw.select(
+        F.lower(either("sha256", "apk_hash")).alias("apk_hash"), F.lit(OUR_TOOL).alias("tool"),
+        canonical_category(either("finding_category", "category")).alias("finding_category"), name.alias("finding_name"),
+        normalize_name(name).alias("normalized_name"), F.upper(F.coalesce(either("severity"), F.lit("MEDIUM"))).alias("severity"),
+        either("rule_id").alias("rule_id"),
+    ).where("apk_hash IS NOT NULL")
 
 
 def own_findings(results: DataFrame) -> DataFrame:

@@ -12,20 +12,17 @@ from ..operators.ordinals import with_ordinal
 # Order of the sources inside one application; each gets its own block of sequence numbers.
 POOL_BLOCK, FILE_BLOCK, MANIFEST_BLOCK, RAW_BLOCK = 0, 1, 2**19, 2**19 + 1
 POOL_LOCATION, MANIFEST_LOCATION = "DEX:StringPool", "AndroidManifest.xml"
-POOL_CHUNK = 10_000
 
 
-def pool_targets(strings: DataFrame, chunk: int = POOL_CHUNK) -> DataFrame:
+def pool_targets(strings: DataFrame) -> DataFrame:
     """String pools as newline-joined texts, ordered by first offset.
 
-    `strings` is (app_id, string_seq, string).  A pool is joined in runs of
-    `chunk` positions that all carry the pool's location, so the largest pool is
-    many rows.  A pool is a set of unrelated strings: every string is scanned
-    whole, and a match across two of them would only reflect their chance order.
+    `strings` is (app_id, string_seq, string).  The pool of an application is one
+    target: suppression marks, gates and line windows of a rule see all of it.  Its
+    size is that of the application's code, so a row stays bounded.
     """
-    run = F.floor(F.col("string_seq") / chunk)
     return (
-        strings.groupBy("app_id", run.alias("run"))
+        strings.groupBy("app_id")
         .agg(F.array_sort(F.collect_list(F.struct("string_seq", "string"))).alias("s"))
         .select(
             "app_id", F.lit(POOL_BLOCK).cast("bigint").alias("target_seq"), F.lit(POOL_LOCATION).alias("location"),
@@ -76,8 +73,7 @@ def sdk_candidates(
     block = lambda n, pos: (F.lit(n * _KIND_BLOCK) + pos).cast("bigint").alias("cand_seq")
     parts = []
     if classes is not None:
-        named = with_ordinal(
-            classes, ["app_id"], [F.col("class_name")], [F.substring("class_name", 1, 12)], "n")
+        named = with_ordinal(classes, ["app_id"], "class_name", "n")
         parts.append(named.select("app_id", block(0, F.col("n")), F.lit("Class").alias("kind"), F.col("class_name").alias("text")))
         parts.append(named.where(F.contains("class_name", F.lit("."))).select(
             "app_id", block(1, F.col("n")), F.lit("Package").alias("kind"),

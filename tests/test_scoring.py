@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetaudit.operators import findings as fnd, scoring
-from fleetaudit.operators.ordinals import seq_bucket, with_ordinal
+from fleetaudit.operators.ordinals import with_ordinal
 from fleetaudit.schemas import FINDINGS
 
 
@@ -111,7 +111,7 @@ def hot(spark, n=60_000):
 
 def test_hot_application_keeps_every_row_and_spreads(spark):
     df = hot(spark)
-    ranked = with_ordinal(df, ["app_id"], [F.col("finding_seq")], [seq_bucket("finding_seq", 10)], "n")
+    ranked = with_ordinal(df, ["app_id"], "finding_seq", "n", hot_rows=1000, sample=50)
     got = ranked.where("app_id = 'hot'").agg(
         F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("n").alias("d")).first()
     assert tuple(got) == (20_000, 1, 20_000, 20_000)
