@@ -6,41 +6,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import metrics as M
 from ..functions.text import strip
-from .rows import side_by_side
 
 
 def match_truth(apps: DataFrame, truth: DataFrame) -> DataFrame:
     """(app_id, gt_key, prio, expected_rules): truth entry by filename, else content hash, else package.
 
-    Each application offers its keys in order of precedence; one equi-join finds
+    Each application offers the keys it has in order of precedence; one equi-join finds
     the entries and the best offer wins, so neither side has to be small.
     """
     norm = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
     offers = apps.select(
         "app_id", F.posexplode(F.array(norm("filename"), norm("sha256"), norm("package_name"))).alias("prio", "gt_key")
-    )
-    best = Window.partitionBy("app_id").orderBy("prio")
-    return (
-        offers.join(truth.select("gt_key", "expected_rules"), "gt_key")
-        .withColumn("rn", F.row_number().over(best))
-        .where("rn = 1")
-        .select("app_id", "gt_key", "prio", "expected_rules")
-    )
+    ).where("gt_key <> ''")
+    best = F.min_by(F.struct("gt_key", "prio", "expected_rules"), "prio").alias("best")
+    return offers.join(truth.select("gt_key", "expected_rules"), "gt_key").groupBy("app_id").agg(best).select("app_id", "best.*")
 
 
-def confusion(detected: DataFrame, matched: DataFrame) -> DataFrame:
-    """(app_id, rule_id, tp, fp, fn) over applications with a truth entry."""
-    expected = (
-        matched.select("app_id", F.explode("expected_rules").alias("rule_id")).distinct()
-        .withColumn("expected", F.lit(True))
-    )
-    found = (
-        detected.select("app_id", "rule_id").distinct()
-        .join(matched.select("app_id"), "app_id", "left_semi")
-        .withColumn("found", F.lit(True))
-    )
-    e, d = F.coalesce("expected", F.lit(False)), F.coalesce("found", F.lit(False))
-    return expected.join(found, ["app_id", "rule_id"], "full_outer").select(
+def outcomes(detected: DataFrame, matched: DataFrame) -> DataFrame:
+    """(app_id, expected, found): sets of rules of each application with a truth entry.
+
+    Detected rules are combined before they move; a set is bounded by the rule list.
+    """
+    none = F.array().cast("array<string>")
+    found = detected.groupBy("app_id").agg(F.collect_set("rule_id").alias("found"))
+    return matched.select("app_id", F.array_distinct(F.coalesce("expected_rules", none)).alias("expected")).join(
+        found, "app_id", "left").select("app_id", "expected", F.coalesce("found", none).alias("found"))
+
+
+def confusion(sets: DataFrame) -> DataFrame:
+    """(app_id, rule_id, tp, fp, fn) over the rules that are expected or found."""
+    e, d = F.array_contains("expected", F.col("rule_id")), F.array_contains("found", F.col("rule_id"))
+    return sets.select("app_id", "expected", "found", F.explode(F.array_union("expected", "found")).alias("rule_id")).select(
         "app_id", "rule_id",
         (e & d).cast("int").alias("tp"), (~e & d).cast("int").alias("fp"), (e & ~d).cast("int").alias("fn"),
     )
@@ -64,12 +60,13 @@ def _sums() -> list[Column]:
     ]
 
 
-def app_metrics(flags: DataFrame, matched: DataFrame) -> DataFrame:
+def app_metrics(sets: DataFrame) -> DataFrame:
     """Counts and metrics per matched application, also where nothing was expected or found."""
-    sums = flags.groupBy("app_id").agg(*_sums())
-    full = matched.select("app_id").join(sums, "app_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return _with_metrics(full.select("app_id", zero("true_positives"), zero("false_positives"), zero("false_negatives")))
+    size = lambda c, name: F.size(c).cast("bigint").alias(name)
+    return _with_metrics(sets.select(
+        "app_id", size(F.array_intersect("expected", "found"), "true_positives"),
+        size(F.array_except("found", "expected"), "false_positives"),
+        size(F.array_except("expected", "found"), "false_negatives")))
 
 
 def rule_metrics(flags: DataFrame) -> DataFrame:
@@ -84,53 +81,20 @@ def overall_metrics(flags: DataFrame) -> DataFrame:
     return out.select(*[F.when(any_pair, F.col(c)).alias(names.get(c, f"total_{c}")) for c in out.columns])
 
 
-def exact_median(df: DataFrame, value: str, bucket_width: float = 1.0) -> DataFrame:
-    """Exact median (one row, column `median`) without one task seeing all values.
+def timing_statistics(scans: DataFrame, column: str = "duration") -> DataFrame:
+    """Mean, median, minimum, maximum and total; nulls and 0.0 when there are no rows.
 
-    Values are counted first; the buckets that hold the middle positions are
-    found from bucket totals; only the distinct values of those one or two
-    buckets are then ranked.
+    All come from one scan: values are counted before they meet.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-        .withColumn("b", F.floor(F.col("v").cast("double") / bucket_width))
-    )
-    buckets = counts.groupBy("b").agg(F.sum("n").alias("bn"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    placed = buckets.select(
-        "b", "bn",
-        F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("start"),
-        F.sum("bn").over(whole).alias("total"),
-    )
-    lo, hi = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    holds = lambda k: (F.col("start") <= k) & (k < F.col("start") + F.col("bn"))
-    target = placed.where(holds(lo) | holds(hi))
-    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.join(target, "b").withColumn(
-        "first", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
-    covers = lambda k: (F.col("first") <= k) & (k < F.col("first") + F.col("n"))
-    return ranked.agg(
-        ((F.max(F.when(covers(lo), F.col("v"))) + F.max(F.when(covers(hi), F.col("v")))) / 2).alias("median")
-    )
-
-
-def timing_statistics(scans: DataFrame, column: str = "duration") -> DataFrame:
-    """Mean, median, minimum, maximum and total; nulls and 0.0 when there are no rows."""
-    exact = scans.select(F.col(column).cast("decimal(18,6)").alias("d"))
-    stats = side_by_side(
-        exact.agg(F.avg("d").alias("mean"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum("d").alias("sum")),
-        exact_median(exact, "d"),
-    )
+    counts = scans.select(F.col(column).cast("decimal(18,6)").alias("d")).where("d IS NOT NULL").groupBy("d").agg(F.count("*").alias("n"))
+    total = F.sum((F.col("d") * F.col("n")).cast("decimal(28,6)"))
     r = lambda c: F.bround(c, 4).cast("double")
-    return stats.select(
-        r("mean").alias("mean_analysis_time_seconds"),
-        r("median").alias("median_analysis_time_seconds"),
-        r("lo").alias("minimum_analysis_time_seconds"),
-        r("hi").alias("maximum_analysis_time_seconds"),
-        r(F.coalesce("sum", F.lit(0))).alias("total_analysis_time_seconds"),
+    return counts.agg(
+        r((total / F.sum("n")).cast("decimal(22,10)")).alias("mean_analysis_time_seconds"),
+        r(F.expr("percentile(d, 0.5, n)").cast("decimal(22,10)")).alias("median_analysis_time_seconds"),
+        r(F.min("d")).alias("minimum_analysis_time_seconds"),
+        r(F.max("d")).alias("maximum_analysis_time_seconds"),
+        r(F.coalesce(total, F.lit(0))).alias("total_analysis_time_seconds"),
     )
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ...functions.text import redact_for_log
+from ...session import work_dir
 from . import manifest, sdk, text_scan
 from .catalog import RULES
 
@@ -136,8 +137,21 @@ class RuleRegistry:
         rules = self.enabled()
         return [r for r in rules if r.category in STAGE_CATEGORIES] if by_stage else rules
 
-    def run(self, inputs: Inputs, by_stage: bool = False) -> DataFrame:
-        """Findings of all enabled rules as one DataFrame (not yet deduplicated)."""
+    def user_rows(self, inputs: Inputs, folder: str) -> DataFrame:
+        """What the enabled Python rules found or raised, evaluated once and stored in `folder`.
+
+        Hand it to `run` and `errors`.
+        """
+        rules = [r for r in self.enabled() if r.evaluate is not None]
+        python_rule_rows(inputs.artifacts, rules).write.mode("overwrite").parquet(folder)
+        return inputs.artifacts.sparkSession.read.schema(USER_SCHEMA).parquet(folder)
+
+    def run(self, inputs: Inputs, by_stage: bool = False, user_rows: DataFrame | None = None) -> DataFrame:
+        """Findings of all enabled rules as one DataFrame (not yet deduplicated).
+
+        A Python rule that raised for an application yields nothing for it.  Its rows come
+        from `user_rows`; without them they are stored in a new folder of the session.
+        """
         rules = self.routed(by_stage)
         native = [r.rule_id for r in rules if r.apply is None and r.evaluate is None]
         parts = [r.apply(inputs) for r in rules if r.apply is not None]
@@ -165,21 +179,22 @@ class RuleRegistry:
                 parts.append(sdk.exposure_findings(found, inputs.permissions, inputs.sdk_catalog))
         user = [r for r in rules if r.evaluate is not None]
         if user and inputs.artifacts is not None:
-            parts.append(self._user_findings(inputs.artifacts, user))
+            if user_rows is None:
+                user_rows = self.user_rows(inputs, work_dir(inputs.artifacts.sparkSession))
+            parts.append(self._user_findings(user_rows, user))
         return reduce(DataFrame.unionByName, parts)
 
-    def _user_findings(self, artifacts: DataFrame, rules: list[Rule]) -> DataFrame:
+    def _user_findings(self, rows: DataFrame, rules: list[Rule]) -> DataFrame:
         from ...functions.classify import literal_case
         from .catalog import pack_seq
 
         order = {r.rule_id: USER_RULE_BASE + i for i, r in enumerate(rules)}
-        rows = python_rule_rows(artifacts, rules).where("error IS NULL")
+        failed = rows.where("error IS NOT NULL").select("app_id", "rule_id").distinct()
+        rows = rows.where(F.col("rule_id").isin(list(order))).join(failed, ["app_id", "rule_id"], "left_anti")
         seq = pack_seq(literal_case("rule_id", order, 0), F.col("target_seq"), F.lit(0), F.col("position"))
         return rows.select("app_id", seq.alias("finding_seq"), "rule_id", "title", "category", "severity",
                            "confidence", "evidence", "location")
 
-    def errors(self, inputs: Inputs) -> DataFrame:
+    def errors(self, user_rows: DataFrame) -> DataFrame:
         """(app_id, rule_id, location, error) of user rules that raised."""
-        user = [r for r in self.enabled() if r.evaluate is not None]
-        rows = python_rule_rows(inputs.artifacts, user).where("error IS NOT NULL")
-        return rows.select("app_id", "rule_id", "location", "error")
+        return user_rows.where("error IS NOT NULL").select("app_id", "rule_id", "location", "error")

@@ -323,10 +323,12 @@ def text_findings(
     rules: list[str] | None = None,
     apps: DataFrame | None = None,
     tracking_catalog: list[tuple[str, str, str]] | None = None,
+    keep_key: bool = False,
 ) -> DataFrame:
     """Findings of the chosen text rules (all of them by default).
 
     `apps` supplies package names; with it, NET-008 leaves out first-party hosts.
+    `keep_key` adds `dedupe_key`, unique with app_id and rule_id, for incremental scans.
     """
     wanted = set(rules) if rules is not None else {s.rule_id for s in specs()} | set(URL_RULES)
     domains = tracking_domains(tracking_catalog)
@@ -366,10 +368,10 @@ def text_findings(
         package = apps.select("app_id", "package_name")
         own = (F.col("rule_id") == "NET-008") & urls.is_first_party(F.col("dedupe_key"), F.col("package_name"))
         kept = kept.join(package, "app_id", "left").where(~own)
-    return finish(kept)
+    return finish(kept, ["dedupe_key"] if keep_key else [])
 
 
-def finish(rows: DataFrame) -> DataFrame:
+def finish(rows: DataFrame, more: list[str] = ()) -> DataFrame:
     """Common finding columns from (rule_id, part, pos, target_seq, ...) rows."""
     rule = "rule_id"
     if "sub" in rows.columns:  # several catalog domains can match one URL
@@ -385,6 +387,7 @@ def finish(rows: DataFrame) -> DataFrame:
         F.coalesce("confidence", rule_column(rule, "confidence")).alias("confidence"),
         "evidence",
         "location",
+        *more,
     )
 
 

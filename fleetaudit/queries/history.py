@@ -135,7 +135,7 @@ def _matched(fx: Fixtures):
 
 
 def _flags(fx: Fixtures):
-    return ev.confusion(fx.findings, _matched(fx))
+    return ev.confusion(ev.outcomes(fx.findings, _matched(fx)))
 
 
 @query("j_10", MATCHED + "SELECT app_id, gt_key, prio FROM matched")
@@ -154,7 +154,7 @@ APP_METRICS = f"SELECT *, {_PRF} FROM (SELECT app_id, {_COUNTS} FROM flags GROUP
 @query("agg_8", MATCHED + APP_METRICS)
 def agg_8(fx: Fixtures):
     m = _matched(fx)
-    return ev.app_metrics(ev.confusion(fx.findings, m), m)
+    return ev.app_metrics(ev.outcomes(fx.findings, m))
 
 
 @query("agg_9", MATCHED + f"SELECT *, {_PRF} FROM (SELECT rule_id, {_COUNTS} FROM flags GROUP BY 1)")

@@ -209,6 +209,12 @@ def _first(pattern: str, where: str = "true") -> str:
 _SNIP = f"trim(m, {WS})"
 
 
+# NET-003 as plain patterns; the operator's forms do not give comment lines back.
+_EMPTY_SERVER_CHECK = r"void\s+checkServerTrusted\s*\([^)]*\)\s*\{\s*(?://[^\n]*\s*|/\*[^\n]*?\*/\s*)*\}"
+_SMALI_SERVER_CHECK = (r"\.method\s+[^\n]*checkServerTrusted[^\n]*\n(?:\s*\.[a-zA-Z0-9_-]+[^\n]*\n)*"
+                       r"\s*return-void\s*\n\s*\.end\s+method")
+
+
 def _part(rule_id: str, part: int, source: str, title: str | None = None, evidence: str = _SNIP, key: str = _SNIP,
           confidence: str | None = None, where: str = "true", location: str = "location") -> str:
     t = quote(title if title is not None else INFO[rule_id].title)
@@ -330,8 +336,8 @@ _NET_008 = f"""SELECT app_id, {_meta("NET-008")}, {quote(INFO["NET-008"].title)}
 _TEXT_SQL = {
     "NET-001": _NET_001,
     "NET-003": _dedupe(
-        _part("NET-003", 0, _all(P.EMPTY_SERVER_CHECK)),
-        _part("NET-003", 1, _all(P.SMALI_SERVER_CHECK), None, "'Smali return-void in checkServerTrusted'"),
+        _part("NET-003", 0, _all(_EMPTY_SERVER_CHECK)),
+        _part("NET-003", 1, _all(_SMALI_SERVER_CHECK), None, "'Smali return-void in checkServerTrusted'"),
         _part("NET-003", 2, _all(P.TRUST_ALL_CLASS), "Trust-All Certificate Manager Reference", "'Class reference: ' || m")),
     "NET-004": _dedupe(
         _part("NET-004", 0, _all(P.VERIFIER_CONSTANT), None, "'Verifier identifier: ' || m"),

@@ -28,10 +28,13 @@ _STR_1 = _TEXT_SQL["SEC-004"].replace("fx_artifacts", "doc_targets")
 @query("str_1", "WITH doc_targets AS (SELECT CAST(doc_id AS STRING) AS app_id, 0 AS target_seq, source AS location, text FROM documents) " + _STR_1)
 def str_1(fx: Fixtures):
     base = work_dir(fx.spark)
-    schema = fx.table("documents").schema
+    documents = fx.table("documents")
+    # Several files, one a batch, so that batches have to agree with one another.
+    documents.repartition(3, "doc_id").write.parquet(f"{base}/in")
     stream = inc.incremental_scan(
-        fx.spark, f"{fx.sf_dir}/documents*.parquet", f"{base}/out", f"{base}/checkpoint",
-        lambda batch: text_scan.text_findings(_document_targets(batch), ["SEC-004"]), schema=schema)
+        fx.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
+        lambda batch: text_scan.text_findings(_document_targets(batch), ["SEC-004"], keep_key=True), schema=documents.schema,
+        files_per_batch=1, keys=["app_id", "rule_id", "dedupe_key"])
     stream.awaitTermination()
     return shown(fx.spark.read.parquet(f"{base}/out"))
 
@@ -55,10 +58,8 @@ def str_2(fx: Fixtures):
 def str_3(fx: Fixtures):
     base = work_dir(fx.spark)
     counts = inc.lifecycle_counts(_event_stream(fx), "event_time", "event_type")
-    q = (counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out")).start())
-    q.awaitTermination()
-    return fx.spark.read.parquet(f"{base}/out").select(c("window_start").cast("string").alias("window_start"), "status", "items")
+    inc.append_batches(counts, lambda b: b, f"{base}/out", f"{base}/checkpoint", mode="update").awaitTermination()
+    return inc.latest_counts(fx.spark.read.parquet(f"{base}/out")).select(c("window_start").cast("string").alias("window_start"), "status", "items")
 
 
 _BAD = "CASE event_id % 5 WHEN 0 THEN 'not json' ELSE props END"
@@ -101,13 +102,15 @@ def _shouting(app_id: str, location: str, text: str):
 
 
 @query("ext_3", """SELECT app_id, 'found' AS outcome, 'marker found' AS detail FROM fx_artifacts WHERE location <> 'key.pem' AND (contains(text, 'TODO') OR contains(text, 'setSeed'))
+      AND app_id NOT IN (SELECT app_id FROM fx_artifacts WHERE location = 'key.pem')
     UNION ALL SELECT app_id, 'error', 'ValueError: [REDACTED_SECRET] in key.pem' FROM fx_artifacts WHERE location = 'key.pem'""")
 def ext_3(fx: Fixtures):
     registry = reg.RuleRegistry(builtin=False)
     registry.register(reg.Rule("USR-002", "Marker", "OTHER", evaluate=_shouting))
     inputs = reg.Inputs(artifacts=fx.artifacts())
-    found = registry.run(inputs).select("app_id", F.lit("found").alias("outcome"), c("evidence").alias("detail"))
-    return found.union(registry.errors(inputs).select("app_id", F.lit("error"), "error"))
+    rows = registry.user_rows(inputs, work_dir(fx.spark))
+    found = registry.run(inputs, user_rows=rows).select("app_id", F.lit("found").alias("outcome"), c("evidence").alias("detail"))
+    return found.union(registry.errors(rows).select("app_id", F.lit("error"), "error"))
 
 
 _OWN_SDKS = [("shop_ui", "Shop UI", "social", r"com\.shop\.ui", "Own catalog row.", [])]

@@ -355,10 +355,11 @@ def snk_3(fx: Fixtures):
 def snk_5(fx: Fixtures):
     base = work_dir(fx.spark)
     matched = _matched(fx)
-    flags = ev.confusion(fx.findings, matched)
+    sets = ev.outcomes(fx.findings, matched)
+    flags = ev.confusion(sets)
     scores = scoring.app_scores(fx.findings, fx.finding_apps).select("app_id", c("score").alias("risk_score"), c("rating").alias("risk_rating"))
     perms = fx.finding_apps.select("app_id", F.lit(0).alias("number_of_permissions"))
-    records = ev.evaluation_records(scores, fnd.detected_sets(fx.findings), fnd.severity_counts(fx.findings), perms, ev.app_metrics(flags, matched))
+    records = ev.evaluation_records(scores, fnd.detected_sets(fx.findings), fnd.severity_counts(fx.findings), perms, ev.app_metrics(sets))
     sink.write_evaluation(records, ev.overall_metrics(flags), ev.rule_metrics(flags), base)
     schema = ("app_id string, risk_score double, detected_rules array<string>, true_positives bigint, false_positives bigint, "
               "false_negatives bigint, precision double, recall double, f1_score double")

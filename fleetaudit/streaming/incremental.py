@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..schemas import ARTIFACTS
@@ -12,18 +12,27 @@ from ..schemas import ARTIFACTS
 BatchFn = Callable[[DataFrame], DataFrame]
 
 
-def append_batches(stream: DataFrame, transform: BatchFn, out: str, checkpoint: str) -> StreamingQuery:
+def append_batches(stream: DataFrame, transform: BatchFn, out: str, checkpoint: str,
+                   keys: list[str] | None = None, mode: str = "append") -> StreamingQuery:
     """Run `transform` on every micro-batch and write its rows once.
 
     A batch writes its own `batch_id` partition in overwrite mode, so a batch
-    repeated after a failure replaces its rows instead of doubling them.
+    repeated after a failure replaces its rows instead of doubling them.  With `keys`,
+    rows whose key an earlier batch wrote are left out: the first row of a key wins
+    over the whole stream.  Only the keys of earlier rows are read for that.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        rows = transform(batch)
+        if keys and batch_id > 0:
+            kept = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
+            written = rows.sparkSession.read.schema(kept).parquet(out)
+            seen = written.where(F.col("batch_id") < batch_id).select(*keys).distinct()
+            rows = rows.join(seen, keys, "left_anti").select(*rows.columns)
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
-        stream.writeStream.foreachBatch(write)
+        stream.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -31,12 +40,13 @@ def append_batches(stream: DataFrame, transform: BatchFn, out: str, checkpoint:
 
 
 def incremental_scan(spark: SparkSession, source: str, out: str, checkpoint: str, transform: BatchFn,
-                     schema: str = ARTIFACTS, files_per_batch: int | None = None) -> StreamingQuery:
-    """New artifact files to findings, each file once."""
+                     schema: str = ARTIFACTS, files_per_batch: int | None = None,
+                     keys: list[str] | None = None) -> StreamingQuery:
+    """New artifact files to findings, each file once; `keys` as in `append_batches`."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return append_batches(reader.parquet(source), transform, out, checkpoint)
+    return append_batches(reader.parquet(source), transform, out, checkpoint, keys)
 
 
 def skip_seen(stream: DataFrame, key: str, event_time: str, horizon: str) -> DataFrame:
@@ -46,7 +56,10 @@ def skip_seen(stream: DataFrame, key: str, event_time: str, horizon: str) -> Dat
 
 def lifecycle_counts(stream: DataFrame, event_time: str, status: str, window: str = "1 day",
                      lateness: str = "1 hour") -> DataFrame:
-    """Items per status and tumbling window."""
+    """Items per status and tumbling window; a window's state ends `lateness` after it.
+
+    Write it in update mode (`append_batches(…, mode="update")`) and read it with `latest_counts`.
+    """
     return (
         stream.withWatermark(event_time, lateness)
         .groupBy(F.window(event_time, window).alias("w"), F.col(status).alias("status"))
@@ -55,6 +68,11 @@ def lifecycle_counts(stream: DataFrame, event_time: str, status: str, window: st
     )
 
 
+def latest_counts(updates: DataFrame) -> DataFrame:
+    """The last count of each window and status among the written updates."""
+    return updates.groupBy("window_start", "window_end", "status").agg(F.max_by("items", "batch_id").alias("items"))
+
+
 def isolate_failures(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Mark each row COMPLETE or FAILED with the names of the failed checks; nothing is raised.
 

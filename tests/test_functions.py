@@ -79,7 +79,9 @@ def test_entropy(spark):
 @pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.5] * 4 + [1.25], [0.1 * i for i in range(101)]])
 def test_exact_median(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "d double")
-    assert ev.exact_median(df, "d", 2.0).first()["median"] == pytest.approx(statistics.median(values))
+    got = ev.timing_statistics(df, "d").first()
+    assert got["median_analysis_time_seconds"] == pytest.approx(statistics.median(values))
+    assert got["mean_analysis_time_seconds"] == pytest.approx(statistics.mean(values), abs=1e-4)
 
 
 def test_timing_of_nothing(spark):
