@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ TOKENS = CLASSES * CLASSES
 ENDINGS = 512
 EMBED, HIDDEN = 16, 32
 BATCH = 8192
+#: Places worked on together within a batch.
+BLOCK = 2048
 ROUNDS = 2
 PART = 2048
 
@@ -76,17 +78,14 @@ def frequent_words(docs: DataFrame) -> dict[bytes, int]:
     return {bytes(r["word"]): 1 + i for i, r in enumerate(rows)}
 
 
-class Tokens(dict):
-    """Token of each word; unknown words get one by their last three bytes."""
-
-    #: Words kept for the next time; bounds the memory of a task.
-    HELD = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        token = TOKENS - ENDINGS + crc32(word[-3:]) % ENDINGS
-        if len(self) < self.HELD:
-            self[word] = token
-        return token
+def token_ids(words: list[bytes], tokens: dict[bytes, int]) -> np.ndarray:
+    """Token of each word; words without an own one get one by their last three bytes."""
+    ids = np.fromiter(map(tokens.get, words, repeat(-1)), np.int32, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    data = np.frombuffer(b"\0\0" + b"".join(words), np.uint8).astype(np.int64)
+    ends = 1 + np.cumsum(sizes)
+    tail = data[ends] + 257 * np.where(sizes > 1, data[ends - 1], 0) + 257 * 257 * np.where(sizes > 2, data[ends - 2], 0)
+    return np.where(ids < 0, TOKENS - ENDINGS + (tail * 40_503 >> 4) % ENDINGS, ids).astype(np.int32)
 
 
 def first_weights(seed: int = 11) -> Weights:
@@ -99,81 +98,105 @@ def first_weights(seed: int = 11) -> Weights:
     return w
 
 
-def windows(texts: list[str | None], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list[str | None], tokens: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbours (place, 2 * SIDE), token of each place, and the tokens of each text."""
-    parts, sizes = [np.zeros(SIDE, np.int32)], []
-    for text in texts:
-        words = split_words(text)
-        parts += [np.fromiter(map(tokens.__getitem__, words), np.int32, len(words)), parts[0]]
-        sizes.append(len(words))
-    line = np.concatenate(parts)
-    sizes = np.array(sizes, np.int64)
-    begins = SIDE + np.cumsum(sizes + SIDE) - sizes - SIDE
-    places = np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+    words: list[bytes] = []
+    sizes = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        found = split_words(text)
+        sizes[i] = len(found)
+        words += found
+    ids = token_ids(words, tokens)
+    places = SIDE + np.arange(len(ids)) + np.repeat(np.arange(len(texts)) * SIDE, sizes)
+    line = np.zeros(len(ids) + SIDE * (len(texts) + 1), np.int32)
+    line[places] = ids
     around = [k for k in range(-SIDE, SIDE + 1) if k]
-    return np.stack([line[places + k] for k in around], 1), line[places], sizes
+    return np.stack([line[places + k] for k in around], 1), ids, sizes
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    """By rows.  One largest value serves all rows unless that leaves too little of a row."""
+    ones = np.ones(x.shape[1], x.dtype)
+    y = np.exp(x - x.max())
+    total = y @ ones
+    if total.min() < 1e-12:
+        y = np.exp(x - x.max(1, keepdims=True))
+        total = y @ ones
+    y /= total[:, None]
+    return y
+
+
+def _linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    x = x @ weight
+    x += bias
     return x
 
 
 def _forward(w: Weights, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen = w["embed"][near].reshape(len(near), -1)
-    hidden = np.maximum(seen @ w["inner"] + w["inner_bias"], 0)
-    return seen, hidden, _softmax(hidden @ w["classes"] + w["class_bias"])
+    hidden = _linear(seen, w["inner"], w["inner_bias"])
+    np.maximum(hidden, 0, out=hidden)
+    return seen, hidden, _softmax(_linear(hidden, w["classes"], w["class_bias"]))
 
 
-def _by_class(token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Classes and the places whose token is in them."""
-    group = token % CLASSES
+def _blocks(token: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[int, slice]]]]:
+    """Places by the class of their token, in blocks that fit a cache, with the run of each class."""
+    group = (token % CLASSES).astype(np.uint8)
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c]:ends[c + 1]]
+    group = group[order]
+    for at in range(0, len(order), BLOCK):
+        part = group[at:at + BLOCK]
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        yield order[at:at + BLOCK], [(int(part[i]), slice(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def log_probs(w: Weights, near: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Log-probability of each token given its neighbours."""
     out = np.empty(len(token))
-    for at in range(0, len(token), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        _, hidden, classes = _forward(w, near[part])
-        own = token[part]
-        p = classes[np.arange(len(own)), own % CLASSES].astype(float)
-        for c, rows in _by_class(own):
-            inside = _softmax(hidden[rows] @ w["words"][c] + w["word_bias"][c])
-            p[rows] *= inside[np.arange(len(rows)), own[rows] // CLASSES]
-        out[part] = np.log(np.maximum(p, 1e-30))
+    for at in range(0, len(token), 1 << 17):
+        for places, runs in _blocks(token[at:at + (1 << 17)]):
+            places += at
+            own = token[places]
+            _, hidden, classes = _forward(w, near[places])
+            p = classes[np.arange(len(own)), own % CLASSES].astype(float)
+            for c, rows in runs:
+                inside = _softmax(_linear(hidden[rows], w["words"][c], w["word_bias"][c]))
+                p[rows] *= inside[np.arange(len(inside)), own[rows] // CLASSES]
+            out[places] = np.log(np.maximum(p, 1e-30))
     return out
 
 
 def gradients(w: Weights, near: np.ndarray, token: np.ndarray) -> Weights:
     """Gradients of the mean negative log-probability."""
-    seen, hidden, d_class = _forward(w, near)
     n = len(token)
-    d_class[np.arange(n), token % CLASSES] -= 1
-    d_class /= n
-    grads = {"classes": hidden.T @ d_class, "class_bias": d_class.sum(0),
-             "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
-    d_hidden = d_class @ w["classes"].T
-    for c, rows in _by_class(token):
-        d_word = _softmax(hidden[rows] @ w["words"][c] + w["word_bias"][c])
-        d_word[np.arange(len(rows)), token[rows] // CLASSES] -= 1
-        d_word /= n
-        grads["words"][c] = hidden[rows].T @ d_word
-        grads["word_bias"][c] = d_word.sum(0)
-        d_hidden[rows] += d_word @ w["words"][c].T
-    d_hidden *= hidden > 0
-    grads |= {"inner": seen.T @ d_hidden, "inner_bias": d_hidden.sum(0)}
-    d_seen = (d_hidden @ w["inner"].T).reshape(-1, EMBED)
-    cell = (near.reshape(-1, 1).astype(np.int64) * EMBED + np.arange(EMBED)).ravel()
-    grads["embed"] = np.bincount(cell, d_seen.ravel(), TOKENS * EMBED).reshape(TOKENS, EMBED).astype(np.float32)
-    return grads
+    grads = {k: np.zeros_like(v) for k, v in w.items()}
+    d_seen, seen_token, at = np.empty((n * 2 * SIDE, EMBED), w["embed"].dtype), np.empty(n * 2 * SIDE, np.uint16), 0
+    for places, runs in _blocks(token):
+        own, around = token[places], near[places]
+        seen, hidden, d_class = _forward(w, around)
+        d_class[np.arange(len(own)), own % CLASSES] -= 1
+        grads["classes"] += hidden.T @ d_class
+        grads["class_bias"] += d_class.sum(0)
+        d_hidden = d_class @ w["classes"].T
+        for c, rows in runs:
+            d_word = _softmax(_linear(hidden[rows], w["words"][c], w["word_bias"][c]))
+            d_word[np.arange(len(d_word)), own[rows] // CLASSES] -= 1
+            grads["words"][c] += hidden[rows].T @ d_word
+            grads["word_bias"][c] += d_word.sum(0)
+            d_hidden[rows] += d_word @ w["words"][c].T
+        d_hidden *= hidden > 0
+        grads["inner"] += seen.T @ d_hidden
+        grads["inner_bias"] += d_hidden.sum(0)
+        to = at + around.size
+        d_seen[at:to] = (d_hidden @ w["inner"].T).reshape(-1, EMBED)
+        seen_token[at:to] = around.ravel()
+        at = to
+    # Sums by neighbour: sorting 16-bit tokens takes linear time.
+    order = np.argsort(seen_token, kind="stable")
+    seen_token = seen_token[order]
+    starts = np.flatnonzero(np.append(True, seen_token[1:] != seen_token[:-1]))
+    grads["embed"][seen_token[starts]] = np.add.reduceat(d_seen[order], starts, axis=0)
+    return {k: g / n for k, g in grads.items()}
 
 
 class Adam:
@@ -193,14 +216,11 @@ def train_round(docs: DataFrame, tokens: dict[bytes, int], w: Weights, rate: flo
     """Trains a copy in each task and averages the copies by the tokens they saw."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tokens(tokens)
         adam, seen = Adam({k: v.copy() for k, v in w.items()}, rate), 0
-        rng = np.random.default_rng(3)
         for batch in small_slices(batches, "text"):
-            near, token, _ = windows(batch.column("text").to_pylist(), known)
-            for rows in np.array_split(rng.permutation(len(token)), max(1, len(token) // BATCH)):
-                if len(rows):
-                    adam.update(gradients(adam.w, near[rows], token[rows]))
+            near, token, _ = windows(batch.column("text").to_pylist(), tokens)
+            for at in range(0, len(token), BATCH):
+                adam.update(gradients(adam.w, near[at:at + BATCH], token[at:at + BATCH]))
             seen += len(token)
         if seen:
             flat = np.concatenate([adam.w[k].ravel() for k in SHAPES])
@@ -234,9 +254,8 @@ def score_documents(docs: DataFrame, tokens: dict[bytes, int], w: Weights) -> Da
     """doc_id, n_tokens, log_prob (the sum) and mean_log_prob of each document."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Tokens(tokens)
         for batch in small_slices(batches, "text"):
-            near, token, sizes = windows(batch.column("text").to_pylist(), known)
+            near, token, sizes = windows(batch.column("text").to_pylist(), tokens)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             total = np.bincount(owner, log_probs(w, near, token), len(sizes)).astype(float)
             yield pa.RecordBatch.from_arrays(
