@@ -1,9 +1,8 @@
 """Comparison of our findings with those of another tool, by content hash.
 
-Signatures are (hash, category, normalised name).  They are made distinct with
-map-side combining and matched with one full outer join on the whole signature,
-so a hash with very many findings spreads over all tasks; everything per hash is
-then a count.
+Signatures are (hash, category, normalised name).  Both sides are grouped together
+by the whole signature with map-side combining, so a hash with very many findings
+spreads over all tasks; everything per hash is then a count.
 """
 
 from __future__ import annotations
@@ -48,24 +47,37 @@ def all_hashes(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return ours.select("apk_hash").union(theirs.select("apk_hash")).distinct()
 
 
-def matched_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Full outer match of distinct signatures with membership flags."""
-    a = signatures(ours).withColumn("a", F.lit(True))
-    b = signatures(theirs).withColumn("b", F.lit(True))
-    return a.join(b, ["apk_hash", "finding_category", "normalized_name"], "full_outer").select(
-        "apk_hash", "finding_category", "normalized_name",
-        F.coalesce("a", F.lit(False)).alias("in_ours"), F.coalesce("b", F.lit(False)).alias("in_theirs"),
-    )
+def counted_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Every signature once, with its rows on both sides: (…, n_ours, n_theirs).
 
+    One grouping over both sides; rows combine before they move.  A name without letters
+    or digits normalises to nothing: it counts as a finding but is no signature.
+    """
+    tag = lambda df, side: df.select("apk_hash", "finding_category", "normalized_name", F.lit(side).alias("ours"))
+    return tag(ours, True).union(tag(theirs, False)).groupBy("apk_hash", "finding_category", "normalized_name").agg(
+        F.count_if("ours").alias("n_ours"), F.count_if(~F.col("ours")).alias("n_theirs"))
 
-def category_sets(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Per hash: category arrays of both tools (at most eight each), row counts, set algebra."""
-    tag = lambda df, side: df.select("apk_hash", "finding_category", F.lit(side).alias("side"))
-    per = tag(ours, 0).union(tag(theirs, 1)).groupBy("apk_hash").agg(
-        F.count_if(F.col("side") == 0).alias("our_findings_count"),
-        F.count_if(F.col("side") == 1).alias("external_findings_count"),
-        F.array_sort(F.collect_set(F.when(F.col("side") == 0, F.col("finding_category")))).alias("ours"),
-        F.array_sort(F.collect_set(F.when(F.col("side") == 1, F.col("finding_category")))).alias("theirs"),
+
+def matched_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Distinct signatures with membership flags."""
+    return counted_signatures(ours, theirs).where("normalized_name <> ''").select(
+        "apk_hash", "finding_category", "normalized_name",
+        (F.col("n_ours") > 0).alias("in_ours"), (F.col("n_theirs") > 0).alias("in_theirs"))
+
+
+def _per_hash(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Per hash: row and signature counts, category arrays of both tools (at most eight each), set algebra."""
+    a, b = F.col("n_ours") > 0, F.col("n_theirs") > 0
+    named = F.col("normalized_name") != ""
+    categories = lambda side: F.array_sort(F.collect_set(F.when(side, F.col("finding_category"))))
+    per = counted_signatures(ours, theirs).groupBy("apk_hash").agg(
+        F.sum("n_ours").alias("our_findings_count"),
+        F.sum("n_theirs").alias("external_findings_count"),
+        categories(a).alias("ours"),
+        categories(b).alias("theirs"),
+        F.count_if(named & a & b).alias("common_findings_count"),
+        F.count_if(named & a & ~b).alias("unique_our_tool_count"),
+        F.count_if(named & ~a & b).alias("unique_external_tool_count"),
     )
     return per.select(
         "*",
@@ -75,6 +87,11 @@ def category_sets(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     )
 
 
+def category_sets(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Per hash: row counts of both tools, their categories and the set algebra of these."""
+    return _per_hash(ours, theirs).drop("common_findings_count", "unique_our_tool_count", "unique_external_tool_count")
+
+
 def category_overlap(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Applications per category seen by both tools or by one; all eight categories appear."""
     sets = category_sets(ours, theirs)
@@ -97,20 +114,11 @@ def category_overlap(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def comparison_rows(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """One row per hash: counts, both similarities and category lists."""
-    per_hash = matched_signatures(ours, theirs).groupBy("apk_hash").agg(
-        F.count_if(F.col("in_ours") & F.col("in_theirs")).alias("common_findings_count"),
-        F.count_if(F.col("in_ours") & ~F.col("in_theirs")).alias("unique_our_tool_count"),
-        F.count_if(~F.col("in_ours") & F.col("in_theirs")).alias("unique_external_tool_count"),
-    )
-    joined = category_sets(ours, theirs).join(per_hash, "apk_hash", "left")
-    n = lambda c: F.coalesce(c, F.lit(0))
     joinlist = lambda c: F.array_join(c, "; ").alias(c)
-    return joined.select(
+    return _per_hash(ours, theirs).select(
         "apk_hash", "our_findings_count", "external_findings_count",
-        n("common_findings_count").alias("common_findings_count"),
-        n("unique_our_tool_count").alias("unique_our_tool_count"),
-        n("unique_external_tool_count").alias("unique_external_tool_count"),
-        jaccard_counts(n("common_findings_count"), n("unique_our_tool_count"), n("unique_external_tool_count"))
+        "common_findings_count", "unique_our_tool_count", "unique_external_tool_count",
+        jaccard_counts(F.col("common_findings_count"), F.col("unique_our_tool_count"), F.col("unique_external_tool_count"))
         .alias("finding_jaccard_similarity"),
         jaccard_counts(F.size("common_categories"), F.size("unique_our_categories"), F.size("unique_external_categories"))
         .alias("category_jaccard_similarity"),

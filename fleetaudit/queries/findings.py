@@ -241,26 +241,31 @@ def flt_1(fx: Fixtures):
 @query("flt_4", """SELECT app_id, rule_id, count(*) AS findings FROM fx_findings
     WHERE rule_id NOT IN ('NET-001') AND category NOT IN ('CRYPTO_FLAW', 'PERMISSION') GROUP BY 1, 2""")
 def flt_4(fx: Fixtures):
-    kept = ops.enabled_findings(fx.findings, ["NET-001"], ["crypto", "permissions"])
+    from ..operators.rules.registry import RuleRegistry
+
+    registry = RuleRegistry()
+    registry.disable("NET-001")
+    kept = ops.enabled_findings(
+        fx.findings.where(F.col("rule_id").isin([r.rule_id for r in registry.enabled()])), [], ["crypto", "permissions"])
     return kept.groupBy("app_id", "rule_id").agg(F.count("*").alias("findings"))
 
 
 @query("ext_5", """SELECT rule_id, category, count(*) AS findings FROM fx_findings WHERE category IN
     ('MANIFEST_MISCONFIG', 'HARDCODED_SECRET', 'NETWORK_INDICATOR', 'STORAGE_INSECURITY', 'CRYPTO_FLAW', 'TRACKING_SDK') GROUP BY 1, 2""")
 def ext_5(fx: Fixtures):
-    from ..operators.rules.registry import STAGE_CATEGORIES
+    from ..operators.rules.registry import RuleRegistry
 
-    kept = fx.findings.where(F.col("category").isin(STAGE_CATEGORIES))
+    kept = fx.findings.where(F.col("rule_id").isin([r.rule_id for r in RuleRegistry().routed(by_stage=True)]))
     return kept.groupBy("rule_id", "category").agg(F.count("*").alias("findings"))
 
 
 @query("set_4", """SELECT source, category, count(*) AS findings FROM (
-    SELECT 'a' AS source, category FROM fx_findings WHERE severity = 'HIGH' UNION ALL
-    SELECT 'b', category FROM fx_findings WHERE severity = 'LOW' UNION ALL
-    SELECT 'c', category FROM fx_scan_findings) GROUP BY 1, 2""")
+    SELECT severity AS source, category FROM fx_findings UNION ALL
+    SELECT 'scan', category FROM fx_scan_findings) GROUP BY 1, 2""")
 def set_4(fx: Fixtures):
+    """Six streams of findings, one for each stage of a scan."""
     tag = lambda df, s: df.select("category").withColumn("source", F.lit(s))
-    parts = [tag(fx.findings.where("severity = 'HIGH'"), "a"), tag(fx.findings.where("severity = 'LOW'"), "b"),
-             tag(fx.scan_findings, "c")]
+    parts = [tag(fx.findings.where(F.col("severity") == s), s) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")]
+    parts.append(tag(fx.scan_findings, "scan"))
     return ops.concatenate(parts).groupBy("source", "category").agg(F.count("*").alias("findings"))
 

@@ -20,7 +20,7 @@ from ..sources import archives, catalogs, external, manifest as mf, targets
 from .base import query, quote
 from .findings import _RANK, SCORE
 from .functions import canonical_sql, name_sql
-from .history import APP_METRICS, COMPARE, MATCHED, SIDES, _matched, sides
+from .history import _COUNTS, _PRF, APP_METRICS, COMPARE, MATCHED, SIDES, _matched, sides
 from .rules import CLASSIFIED, _LEVEL
 
 c = F.col
@@ -298,10 +298,20 @@ def dq_1_scans(fx: Fixtures):
 _DAY = "concat(CAST(year(created_at) AS STRING), '-01-01')"
 
 
-@query("snk_1", f"""SELECT 'scans' AS tbl, {_DAY} AS created_date, count(*) AS n FROM fx_scans GROUP BY 2
-    UNION ALL SELECT 'findings', {_DAY}, count(*) FROM fx_scan_findings JOIN fx_scans USING (scan_id) GROUP BY 2
-    UNION ALL SELECT 'permissions', {_DAY}, count(*) FROM fx_scan_permissions JOIN fx_scans USING (scan_id) GROUP BY 2
-    UNION ALL SELECT 'apps', '2024-01-01', count(*) FROM fx_scan_apps""")
+# What a stored row holds, as the same text in Spark and DuckDB.
+_STORED = {
+    "scans": "concat_ws('|', scan_id, app_id, CAST(risk_score AS STRING), risk_rating, status)",
+    "findings": "concat_ws('|', scan_id, CAST(finding_seq AS STRING), rule_id, title, severity, evidence, location)",
+    "permissions": "concat_ws('|', scan_id, permission)",
+    "apps": "concat_ws('|', app_id, filename, sha256, package_name, app_name, version_name)",
+}
+_SUM_DUCK = "CAST(sum(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)) AS BIGINT)"
+
+
+@query("snk_1", f"""SELECT 'scans' AS tbl, {_DAY} AS created_date, count(*) AS n, {_SUM_DUCK.format(_STORED['scans'])} AS contents FROM fx_scans GROUP BY 2
+    UNION ALL SELECT 'findings', {_DAY}, count(*), {_SUM_DUCK.format(_STORED['findings'].replace('scan_id', 'f.scan_id'))} FROM fx_scan_findings f JOIN fx_scans s ON f.scan_id = s.scan_id GROUP BY 2
+    UNION ALL SELECT 'permissions', {_DAY}, count(*), {_SUM_DUCK.format(_STORED['permissions'].replace('scan_id', 'p.scan_id'))} FROM fx_scan_permissions p JOIN fx_scans s ON p.scan_id = s.scan_id GROUP BY 2
+    UNION ALL SELECT 'apps', '2024-01-01', count(*), {_SUM_DUCK.format(_STORED['apps'])} FROM fx_scan_apps""")
 def snk_1(fx: Fixtures):
     base = work_dir(fx.spark)
     day = F.expr(_DAY).alias("created_date")
@@ -313,7 +323,9 @@ def snk_1(fx: Fixtures):
         "findings": fx.scan_findings.join(days, "scan_id"),
     })
     stored = sink.read_scan_tables(fx.spark, base)
-    count = lambda n: stored[n].groupBy(c("created_date").cast("string").alias("created_date")).agg(F.count("*").alias("n")).select(F.lit(n).alias("tbl"), "created_date", "n")
+    contents = lambda n: F.sum(F.conv(F.substring(F.md5(F.expr(_STORED[n])), 1, 8), 16, 10).cast("bigint")).alias("contents")
+    count = lambda n: stored[n].groupBy(c("created_date").cast("string").alias("created_date")).agg(
+        F.count("*").alias("n"), contents(n)).select(F.lit(n).alias("tbl"), "created_date", "n", "contents")
     return fnd.concatenate([count(n) for n in ("scans", "findings", "permissions", "apps")])
 
 
@@ -349,8 +361,8 @@ def snk_3(fx: Fixtures):
 
 
 @query("snk_5", MATCHED + SCORE.replace("WITH ", ", ", 1) + f"""SELECT a.app_id, coalesce(t.score, 0.0) AS risk_score, coalesce(d.rules, '') AS detected_rules,
-    m.true_positives, m.false_positives, m.false_negatives, m.precision, m.recall, m.f1_score
-    FROM fx_finding_apps a LEFT JOIN totals t USING (app_id) LEFT JOIN (SELECT app_id, string_agg(DISTINCT rule_id, ';' ORDER BY rule_id) AS rules FROM fx_findings GROUP BY 1) d USING (app_id)
+    CAST(coalesce(p.n, 0) AS BIGINT) AS number_of_permissions, m.true_positives, m.false_positives, m.false_negatives, m.precision, m.recall, m.f1_score
+    FROM fx_finding_apps a LEFT JOIN (SELECT app_id, count(*) AS n FROM fx_permissions GROUP BY 1) p USING (app_id) LEFT JOIN totals t USING (app_id) LEFT JOIN (SELECT app_id, string_agg(DISTINCT rule_id, ';' ORDER BY rule_id) AS rules FROM fx_findings GROUP BY 1) d USING (app_id)
     LEFT JOIN ({APP_METRICS}) m USING (app_id)""")
 def snk_5(fx: Fixtures):
     base = work_dir(fx.spark)
@@ -358,13 +370,32 @@ def snk_5(fx: Fixtures):
     sets = ev.outcomes(fx.findings, matched)
     flags = ev.confusion(sets)
     scores = scoring.app_scores(fx.findings, fx.finding_apps).select("app_id", c("score").alias("risk_score"), c("rating").alias("risk_rating"))
-    perms = fx.finding_apps.select("app_id", F.lit(0).alias("number_of_permissions"))
+    perms = fx.permissions.groupBy("app_id").agg(F.count("*").alias("number_of_permissions"))
     records = ev.evaluation_records(scores, fnd.detected_sets(fx.findings), fnd.severity_counts(fx.findings), perms, ev.app_metrics(sets))
     sink.write_evaluation(records, ev.overall_metrics(flags), ev.rule_metrics(flags), base)
-    schema = ("app_id string, risk_score double, detected_rules array<string>, true_positives bigint, false_positives bigint, "
+    schema = ("app_id string, risk_score double, detected_rules array<string>, number_of_permissions bigint, true_positives bigint, false_positives bigint, "
               "false_negatives bigint, precision double, recall double, f1_score double")
     back = fx.spark.read.schema(schema).json(f"{base}/apps")
-    return back.withColumn("detected_rules", F.array_join("detected_rules", ";"))
+    return back.withColumn("detected_rules", F.array_join("detected_rules", ";")).withColumn(
+        "number_of_permissions", F.coalesce("number_of_permissions", F.lit(0)))
+
+
+@query("snk_5_rules", MATCHED + f"""SELECT rule_id, true_positives, false_positives, false_negatives, precision, recall, f1_score FROM (
+        SELECT *, {_PRF} FROM (SELECT rule_id, {_COUNTS} FROM flags GROUP BY 1))
+    UNION ALL SELECT '', true_positives, false_positives, false_negatives, precision, recall, f1_score FROM (SELECT *, {_PRF} FROM (SELECT {_COUNTS} FROM flags))""")
+def snk_5_rules(fx: Fixtures):
+    """Metrics of each rule and, under an empty rule id, of the whole run, read back from the sink."""
+    base = work_dir(fx.spark)
+    sets = ev.outcomes(fx.findings, _matched(fx))
+    flags = ev.confusion(sets)
+    sink.write_evaluation(sets.select("app_id"), ev.overall_metrics(flags), ev.rule_metrics(flags), base)
+    metrics = ["true_positives", "false_positives", "false_negatives", "precision", "recall", "f1_score"]
+    kinds = ["bigint"] * 3 + ["double"] * 3
+    stored = lambda name, columns: fx.spark.read.schema(", ".join(columns)).json(f"{base}/{name}")
+    rules = stored("rules", ["rule_id string", *(f"{m} {k}" for m, k in zip(metrics, kinds))])
+    named = [("total_" if k == "bigint" else "overall_") + m for m, k in zip(metrics, kinds)]
+    totals = stored("totals", [f"{n} {k}" for n, k in zip(named, kinds)])
+    return rules.union(totals.select(F.lit("").alias("rule_id"), *named))
 
 
 @query("snk_6", SIDES + f"SELECT *, 'ToolA, ToolB' AS comparison_tool FROM ({COMPARE})")

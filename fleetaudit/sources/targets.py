@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.classify import literal_case
 from ..functions.paths import class_from_path, package_from_class
 from ..operators.ordinals import with_ordinal
 
@@ -81,9 +82,11 @@ def sdk_candidates(
     if components is not None:
         kinds = {"activity": (2, "Activities"), "service": (3, "Services"),
                  "receiver": (4, "Receivers"), "provider": (5, "Providers")}
-        for t, (n, label) in kinds.items():
-            parts.append(components.where(F.col("component_type") == t).select(
-                "app_id", block(n, F.col("comp_seq")), F.lit(label).alias("kind"), F.col("name").alias("text")))
+        number = literal_case("component_type", {t: n for t, (n, _) in kinds.items()}, None)
+        label = literal_case("component_type", {t: x for t, (_, x) in kinds.items()}, None)
+        parts.append(components.where(F.col("component_type").isin(list(kinds))).select(
+            "app_id", (number.cast("bigint") * _KIND_BLOCK + F.col("comp_seq")).cast("bigint").alias("cand_seq"),
+            label.alias("kind"), F.col("name").alias("text")))
     if libraries is not None:
         parts.append(libraries.select(
             "app_id", block(6, F.col("lib_seq")), F.lit("Libraries").alias("kind"), F.col("library").alias("text")))
