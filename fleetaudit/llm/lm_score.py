@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices
+from .common import small_slices, stored
 
 SIDE = 2
 CLASSES = 64
@@ -71,9 +71,20 @@ def _counted(total: Counter) -> pa.RecordBatch:
         [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame) -> dict[bytes, int]:
-    """Tokens of the most frequent words; ties go by the word."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(TOKENS - ENDINGS - 1).collect()
+def frequent_words(docs: DataFrame, folder: str) -> dict[bytes, int]:
+    """Tokens of the most frequent words; ties go by the word.
+
+    The driver learns how many words there are for each power of two of their counts, and then
+    only gets words above the power at which there are enough.
+    """
+    most = TOKENS - ENDINGS - 1
+    counts = stored(word_counts(docs), f"{folder}/words")
+    least = 0
+    for row in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():
+        least, most = row["power"], most - row["count"]
+        if most <= 0:
+            break
+    rows = counts.filter(F.col("n") >= 2**least).orderBy(F.desc("n"), "word").limit(TOKENS - ENDINGS - 1).collect()
     # Frequent words are dealt over the classes in turn.
     return {bytes(r["word"]): 1 + i for i, r in enumerate(rows)}
 
@@ -240,9 +251,9 @@ def train_round(docs: DataFrame, tokens: dict[bytes, int], w: Weights, rate: flo
     return {k: part.reshape(SHAPES[k]) for k, part in zip(SHAPES, np.split(flat, ends), strict=True)}
 
 
-def fit_network(docs: DataFrame, rounds: int = ROUNDS, rate: float = 4e-3) -> tuple[dict[bytes, int], Weights]:
+def fit_network(docs: DataFrame, folder: str, rounds: int = ROUNDS, rate: float = 4e-3) -> tuple[dict[bytes, int], Weights]:
     """Tokens and weights learned from all documents."""
-    tokens = frequent_words(docs)
+    tokens = frequent_words(docs, folder)
     w = first_weights()
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
     for k in range(rounds):
@@ -266,5 +277,6 @@ def score_documents(docs: DataFrame, tokens: dict[bytes, int], w: Weights) -> Da
         score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
-def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    return score_documents(docs, *fit_network(docs))
+def pseudo_likelihood(docs: DataFrame, folder: str) -> DataFrame:
+    """Scores of all documents by a network that all documents trained."""
+    return score_documents(docs, *fit_network(docs, folder))

@@ -88,7 +88,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_lm_scoring")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+    return pseudo_likelihood(table(spark, sf_dir, "documents"), work_dir(spark))
 
 
 @query("op4_line_dedup", f"""

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetaudit.llm import language, lm_score, quality
+from fleetaudit.session import work_dir
 
 EDGE = [(1, None, None, None), (2, "", "en", "x"), (3, " 12 %!", None, "x"), (None, "the cat", "en", None), (4, "word " * 60_000, "en", "x"),
         (4, "word " * 60_000, "en", "x"), (5, "É", "fr", "x")]
@@ -162,17 +163,26 @@ def test_pseudo_likelihood_learns(spark):
     shuffled = grammar(40).split()
     rng.shuffle(shuffled)
     probe = [(1, grammar(40), "", ""), (2, " ".join(shuffled), "", "")]
-    tokens, w = lm_score.fit_network(spark.createDataFrame(rows, SCHEMA).repartition(2), rate=0.02)
+    tokens, w = lm_score.fit_network(spark.createDataFrame(rows, SCHEMA).repartition(2), work_dir(spark), rate=0.02)
     got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(probe, SCHEMA), tokens, w).collect()}
     assert got[1]["mean_log_prob"] > got[2]["mean_log_prob"] + 0.5
     assert got[1]["n_tokens"] == 320 and np.isclose(got[1]["log_prob"], 320 * got[1]["mean_log_prob"])
 
 
+def test_frequent_words_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "ENDINGS", lm_score.TOKENS - 11)
+    rng = random.Random(2)
+    words = [f"w{min(rng.randrange(1, 200), rng.randrange(1, 200))}" for _ in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(words[k::7]), "", "") for k in range(7)], SCHEMA)
+    best = sorted(Counter(words).items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert lm_score.frequent_words(docs, work_dir(spark)) == {w.encode(): 1 + i for i, (w, _) in enumerate(best)}
+
+
 def test_pseudo_likelihood_edges(spark):
     docs = spark.createDataFrame(EDGE, SCHEMA)
-    rows = {r["doc_id"]: r for r in lm_score.pseudo_likelihood(docs).collect()}
+    rows = {r["doc_id"]: r for r in lm_score.pseudo_likelihood(docs, work_dir(spark)).collect()}
     assert rows[1]["n_tokens"] == rows[2]["n_tokens"] == 0 and rows[1]["log_prob"] == 0
     assert rows[5]["n_tokens"] == 1 and rows[5]["log_prob"] < 0 and rows[4]["n_tokens"] == 60_000
-    assert lm_score.pseudo_likelihood(docs.limit(0)).count() == 0
+    assert lm_score.pseudo_likelihood(docs.limit(0), work_dir(spark)).count() == 0
     counts = {bytes(r["word"]): r["n"] for r in lm_score.word_counts(docs).collect()}
     assert counts == {b"word": 120_000, b"the": 1, b"cat": 1, b"12": 1, b"%!": 1, "É".encode(): 1}
