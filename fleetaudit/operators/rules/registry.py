@@ -195,6 +195,11 @@ class RuleRegistry:
         return rows.select("app_id", seq.alias("finding_seq"), "rule_id", "title", "category", "severity",
                            "confidence", "evidence", "location")
 
-    def errors(self, user_rows: DataFrame) -> DataFrame:
-        """(app_id, rule_id, location, error) of user rules that raised."""
-        return user_rows.where("error IS NOT NULL").select("app_id", "rule_id", "location", "error")
+    def errors(self, rows: DataFrame | Inputs) -> DataFrame:
+        """(app_id, rule_id, location, error) of user rules that raised.
+
+        Takes the table of `user_rows`; from inputs the rules are evaluated for this call.
+        """
+        if isinstance(rows, Inputs):
+            rows = self.user_rows(rows, work_dir(rows.artifacts.sparkSession))
+        return rows.where("error IS NOT NULL").select("app_id", "rule_id", "location", "error")
