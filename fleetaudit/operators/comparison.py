@@ -7,7 +7,7 @@ spreads over all tasks; everything per hash is then a count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalogs import CANONICAL_CATEGORIES
 from ..functions.classify import canonical_category
@@ -28,11 +28,14 @@ def normalize(rows: DataFrame, hash_col: str, category: str, name: str) -> DataF
     )
 
 
-def signatures(rows: DataFrame) -> DataFrame:
+def _named() -> Column:
     # A name without letters or digits normalises to nothing; testing the raw name
     # keeps the optimizer from running the normaliser twice per row.
-    named = F.lower("finding_name").rlike("[a-z0-9]")
-    return rows.where(named).select("apk_hash", "finding_category", "normalized_name").distinct()
+    return F.lower("finding_name").rlike("[a-z0-9]")
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    return rows.where(_named()).select("apk_hash", "finding_category", "normalized_name").distinct()
 
 
 def common_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def counted_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 def matched_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Distinct signatures with membership flags."""
-    return counted_signatures(ours, theirs).where("normalized_name <> ''").select(
+    return counted_signatures(ours.where(_named()), theirs.where(_named())).select(
         "apk_hash", "finding_category", "normalized_name",
         (F.col("n_ours") > 0).alias("in_ours"), (F.col("n_theirs") > 0).alias("in_theirs"))
 

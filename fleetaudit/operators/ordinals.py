@@ -12,18 +12,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Groups above this many rows are cut.
+#: Groups above this many rows, and above this share of all rows, are cut.  So there are at
+#: most `MOST_GROUPS` of them with `PIECES` cuts each, which may be broadcast.
 HOT_ROWS = 1 << 18
+MOST_GROUPS = 4096
 PIECES = 256
 #: One of so many order keys may become a cut.
 SAMPLE = 1 << 10
 
 
 def _cuts(rows: DataFrame, group: list[str], order: str, hot_rows: int, sample: int) -> DataFrame:
-    """The cuts of each large group; groups combine before they move."""
-    picked = F.when(F.pmod(F.xxhash64(order), F.lit(sample)) == 0, F.col(order))
-    large = rows.groupBy(*group).agg(F.count("*").alias("__n"), F.array_sort(F.collect_set(picked)).alias("__all")).where(
-        F.col("__n") > hot_rows)
+    """The cuts of each large group; groups are counted before they move, few keys are looked at."""
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    share = sizes.agg(F.sum("__n") / MOST_GROUPS).scalar()
+    hot = sizes.where(F.col("__n") > F.greatest(F.lit(hot_rows), F.coalesce(share, F.lit(0)))).select(*group)
+    picked = rows.where(F.pmod(F.xxhash64(order), F.lit(sample)) == 0).select(*group, order)
+    large = picked.join(hot, group, "left_semi").groupBy(*group).agg(F.array_sort(F.collect_set(order)).alias("__all"))
     every = F.greatest(F.lit(1), F.ceil(F.size("__all") / PIECES))
     return large.select(*group, F.filter("__all", lambda _, i: i % every == 0).alias("__cuts"))
 
@@ -39,7 +43,8 @@ def with_ordinal(
     marks = [f"__b{i}" for i in range(len(coarse))]
     rows = df.select("*", *[b.alias(m) for b, m in zip(coarse, marks)])
     group = [*keys, *marks]
-    cut = rows.join(_cuts(rows, group, order, hot_rows, sample), group, "left")
+    # Broadcast, as a shuffle by group would bring a large group into one task again.
+    cut = rows.join(F.broadcast(_cuts(rows, group, order, hot_rows, sample)), group, "left")
     piece = F.coalesce(F.size(F.filter("__cuts", lambda x: x <= F.col(order))), F.lit(0))
     rows = cut.withColumn("__piece", F.when(F.col("__cuts").isNull(), 0).otherwise(piece)).drop("__cuts")
     before = Window.partitionBy(*keys).orderBy(*marks, "__piece").rowsBetween(Window.unboundedPreceding, -1)
