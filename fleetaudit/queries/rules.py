@@ -492,17 +492,28 @@ def fleet_inputs(fx: Fixtures) -> Inputs:
     return Inputs(fx.apps, fx.components, fx.permissions, fx.artifacts(), fx.candidates())
 
 
-@query("ext_2", "SELECT rule_id, count(*) AS findings FROM (" + " UNION ALL ".join(
-    f"SELECT app_id, rule_id FROM ({s})" for s in [_MAN_SQL["MAN-001"], _COMP_SQL["MAN-008"], _TEXT_SQL["CRY-002"], _TEXT_SQL["SEC-004"]]) + ") GROUP BY 1")
+# What findings say, as one number that Spark and DuckDB agree on.
+ROW_TEXT = "concat_ws('|', app_id, title, evidence, location)"
+CONTENTS_DUCK = f"CAST(sum(CAST('0x' || substr(md5({ROW_TEXT}), 1, 8) AS BIGINT)) AS BIGINT) AS contents"
+
+
+def contents():
+    return F.sum(F.conv(F.substring(F.md5(F.expr(ROW_TEXT)), 1, 8), 16, 10).cast("bigint")).alias("contents")
+
+
+@query("ext_2", f"SELECT rule_id, count(*) AS findings, {CONTENTS_DUCK} FROM (" + " UNION ALL ".join(
+    f"SELECT app_id, rule_id, title, evidence, location FROM ({s})" for s in [_MAN_SQL["MAN-001"], _COMP_SQL["MAN-008"], _TEXT_SQL["CRY-002"], _TEXT_SQL["SEC-004"]]) + ") GROUP BY 1")
 def ext_2(fx: Fixtures):
     registry = RuleRegistry()
     for rule in registry.all():
         rule.enabled = rule.rule_id in ("MAN-001", "MAN-008", "CRY-002", "SEC-004")
-    return registry.run(fleet_inputs(fx)).groupBy("rule_id").agg(F.count("*").alias("findings"))
+    return registry.run(fleet_inputs(fx)).groupBy("rule_id").agg(F.count("*").alias("findings"), contents())
 
 
-@query("all_text_rules", "SELECT rule_id, count(*) AS findings, count(DISTINCT app_id) AS apps FROM (" + " UNION ALL ".join(
-    f"SELECT app_id, rule_id FROM ({s})" for s in [*_TEXT_SQL.values(), _NET_008, _NET_002.split("UNION ALL")[0]]) + ") GROUP BY 1")
+@query("all_text_rules", f"SELECT rule_id, count(*) AS findings, count(DISTINCT app_id) AS apps, {CONTENTS_DUCK} FROM (" + " UNION ALL ".join(
+    f"SELECT app_id, rule_id, title, evidence, location FROM ({s})" for s in [*_TEXT_SQL.values(), _NET_008, _NET_002.split("UNION ALL")[0]]) + ") GROUP BY 1")
 def all_text_rules(fx: Fixtures):
     found = text_scan.text_findings(fx.artifacts(), None, fx.apps)
-    return found.groupBy("rule_id").agg(F.count("*").alias("findings"), F.countDistinct("app_id").alias("apps"))
+    per_app = found.groupBy("rule_id", "app_id").agg(F.count("*").alias("n"), contents())
+    return per_app.groupBy("rule_id").agg(
+        F.sum("n").alias("findings"), F.count("*").alias("apps"), F.sum("contents").alias("contents"))

@@ -11,7 +11,7 @@ from ..streaming import incremental as inc
 from ..plans import audit
 from .base import query
 from .rules import (
-    _COMP_SQL, _DETECTED, _EXPOSED, _MAN_SQL, _NET_002, _NET_008, _PAIR_SQL, _TEXT_SQL, _TITLE_FAM, fleet_inputs, shown,
+    CONTENTS_DUCK, _COMP_SQL, _DETECTED, _EXPOSED, _MAN_SQL, _NET_002, _NET_008, _PAIR_SQL, _TEXT_SQL, _TITLE_FAM, contents, fleet_inputs, shown,
 )
 
 c = F.col
@@ -135,11 +135,14 @@ _SDK_2 = f"""SELECT app_id, 'SDK-002' AS rule_id, 'SDK Permission Exposure: ' ||
 _KEY = "app_id, rule_id, title, evidence, location"
 
 
-@query("audit", "SELECT rule_id, count(*) AS findings, count(DISTINCT app_id) AS apps FROM (SELECT DISTINCT * FROM ("
+@query("audit", "SELECT rule_id, count(*) AS findings, count(DISTINCT app_id) AS apps, "
+       f"{CONTENTS_DUCK} FROM (SELECT DISTINCT * FROM ("
        + " UNION ALL ".join(f"SELECT {_KEY} FROM ({s})" for s in [*_PARTS, _SDK_1, _SDK_2]) + ")) GROUP BY 1")
 def whole_audit(fx: Fixtures):
     found = audit.audit_findings(fleet_inputs(fx))
-    return found.groupBy("rule_id").agg(F.count("*").alias("findings"), F.countDistinct("app_id").alias("apps"))
+    per_app = found.groupBy("rule_id", "app_id").agg(F.count("*").alias("n"), contents())
+    return per_app.groupBy("rule_id").agg(
+        F.sum("n").alias("findings"), F.count("*").alias("apps"), F.sum("contents").alias("contents"))
 
 
 @query("audit_scores")
