@@ -7,6 +7,9 @@ words in that order (prefix), as many template words as needed (length), and eno
 both sides of the first common one (position); what passes is counted exactly, so no block is missed.
 The templates, a fixed short list, are the small side and go to every task; the documents do not move.
 
+A notice needs the words that tell its license from neighbours (`REQUIRED`) and none of a narrower
+license (`REFUSED`), so two notices in one paragraph are both found.
+
 Besides, places where the words of a base phrase stand one after another are counted.
 
 Edge cases: null and empty texts have no words and no place; blocks of any length are sets; a block may
@@ -53,6 +56,11 @@ TEMPLATES = [
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Words without which a notice is that of a neighbour, or of nobody.
+REQUIRED = {"mit": "mit", "apache": "apache", "gpl": "gnu general", "lgpl": "lesser", "agpl": "affero", "mpl": "mozilla",
+            "cc-by-nc": "cc nc", "cc-by-sa": "cc sa", "cc-by": "creative commons attribution", "unlicense": "unencumbered"}
+#: Words that make a notice that of a narrower license.
+REFUSED = {"gpl": "lesser affero", "cc-by": "noncommercial sharealike noderivatives noderivs nc sa nd"}
 _LOWER_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -103,6 +111,10 @@ class TemplateIndex:
 
     def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
         """Labels that a block contains, with their containment."""
+        return [(self.templates[k].label, n / len(self.templates[k].words)) for k, n in self.contained(block).items()]
+
+    def contained(self, block: list[bytes]) -> dict[int, int]:
+        """Templates that a block contains, with the number of their words in it."""
         held = sorted({self.rank[w] for w in block if w in self.rank})
         best: dict[int, int] = {}
         for at, r in enumerate(held):
@@ -111,7 +123,57 @@ class TemplateIndex:
                 if k in best or len(held) < t.need or min(len(t.words) - place, len(held) - at) < t.need:
                     continue
                 best[k] = len(set(held).intersection(t.words))
-        return [(self.templates[k].label, n / len(self.templates[k].words)) for k, n in best.items() if n >= self.templates[k].need]
+        return {k: n for k, n in best.items() if n >= self.templates[k].need}
+
+
+class NoticeIndex(TemplateIndex):
+    """Templates within the lines and runs of paragraphs; the words that tell a license from its neighbours decide."""
+
+    def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float = THRESHOLD):
+        super().__init__(templates, counts, threshold)
+        spelled = [(label, words_of(text)) for label, text in templates if words_of(text)]
+        self.length = [len(words) for _, words in spelled]
+        # The long permission text does not name its license.
+        self.required = [frozenset(words_of(REQUIRED.get(label, ""))) & frozenset(words) for label, words in spelled]
+        self.refused = [frozenset(words_of(REFUSED.get(label, ""))) for label, _ in spelled]
+
+    def notices(self, paragraph: list[list[bytes]]) -> list[tuple[str, float]]:
+        """Labels that the lines of a paragraph contain, with their containment."""
+        words = [w for line in paragraph for w in line]
+        held, out = set(words), []
+        for k in self.contained(words):
+            if not self.required[k] <= held:
+                continue
+            n = max(self._most(k, words, self.length[k]), *(self._most(k, line, len(line)) for line in paragraph))
+            if n >= self.templates[k].need:
+                out.append((self.templates[k].label, n / len(self.templates[k].words)))
+        return out
+
+    def _most(self, k: int, words: list[bytes], size: int) -> int:
+        """Most words of a template in a run of `size` words that has the required words and no refused one."""
+        asked = set(self.templates[k].words)
+        counts: dict[int, int] = {}
+        named: dict[bytes, int] = {}
+        refused = best = 0
+        for at, w in enumerate(words):
+            for word, step in ((w, 1), *([(words[at - size], -1)] if at >= size else [])):
+                refused += step * (word in self.refused[k])
+                if word in self.required[k]:
+                    named[word] = named.get(word, 0) + step
+                r = self.rank.get(word)
+                if r in asked:
+                    counts[r] = counts.get(r, 0) + step
+                    if not counts[r]:
+                        del counts[r]
+            if at + 1 >= min(size, len(words)) and not refused and all(named.get(x, 0) for x in self.required[k]):
+                best = max(best, len(counts))
+        return best
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Each line by itself, with its number."""
+    for k, line in enumerate(text.split("\n")):
+        yield k, [words_of(line)]
 
 
 RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
@@ -119,10 +181,13 @@ RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE,
-         threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document: base counts and places, and every block that contains a template."""
+         threshold: float = THRESHOLD, notices: bool = False) -> DataFrame:
+    """One row for each document: base counts and places, and every block that contains a template.
+
+    Blocks are lines.  With `notices` telling words decide.
+    """
     counts = word_counts(docs, {w for _, text in templates for w in words_of(text)})
-    index = TemplateIndex(templates, counts, threshold)
+    index = (NoticeIndex if notices else TemplateIndex)(templates, counts, threshold)
     phrases: dict[bytes, list[tuple[list[bytes], str]]] = {}
     for phrase, label in base.items():
         words = words_of(phrase)
@@ -145,8 +210,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
                 places = base_places(words)
                 blocks = []
                 if not index.first_words.isdisjoint(words):
-                    for k, line in enumerate(text.split("\n")):
-                        blocks += [{"block": k, "label": x, "containment": c} for x, c in index.matches(words_of(line))]
+                    if notices:
+                        found = ((k, index.notices(lines)) for k, lines in paragraphs(text))
+                    else:
+                        found = ((k, index.matches(words_of(line))) for k, line in enumerate(text.split("\n")))
+                    blocks = [{"block": k, "label": x, "containment": c} for k, labels in found for x, c in labels]
                 starts = [p for p, _ in places]
                 for column, value in zip(out, (
                         len(words), len(places), min(starts, default=None), max(starts, default=None),
@@ -161,10 +229,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look, RESULT)
 
 
-def license_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, places, base_labels, labels, score; the score of a base phrase is 1."""
+def license_digest(docs: DataFrame, notices: bool = False) -> DataFrame:
+    """doc_id, counts, places, base_labels, labels, score; the score of a base phrase is 1.
+
+    With `notices` telling words decide between neighbours.
+    """
     both = F.array_sort(F.array_union("base_labels", F.transform("blocks", lambda b: b["label"])))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
-    return scan(docs).select(
+    return scan(docs, notices=notices).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(both, ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"))

@@ -83,7 +83,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_digest(table(spark, sf_dir, "documents"))
+    return license_digest(table(spark, sf_dir, "documents"), notices=True)
 
 
 @query("op2_lm_scoring")
