@@ -1,6 +1,7 @@
 """License scan by an exact set-similarity join of text blocks and license templates.
 
-Blocks are the lines of a text, sets of words.  A template is contained in a block if the block has at
+Blocks are the lines of a text, sets of words; for notices also the runs of words, as long as a template,
+of a paragraph (lines up to a blank one), as notices are wrapped.  A template is contained in a block if the block has at
 least `threshold` of its words.  Words of templates are put in one global order, rare to common, by
 their counts over all documents.  A block with enough of a template has one of the template's first
 words in that order (prefix), as many template words as needed (length), and enough words left on
@@ -171,9 +172,16 @@ class NoticeIndex(TemplateIndex):
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Each line by itself, with its number."""
+    """First line and the words of each line of every run of lines that are not blank."""
+    held: list[list[bytes]] = []
     for k, line in enumerate(text.split("\n")):
-        yield k, [words_of(line)]
+        if line.strip():
+            held.append(words_of(line))
+        elif held:
+            yield k - len(held), held
+            held = []
+    if held:
+        yield k + 1 - len(held), held
 
 
 RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
@@ -184,7 +192,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
          threshold: float = THRESHOLD, notices: bool = False) -> DataFrame:
     """One row for each document: base counts and places, and every block that contains a template.
 
-    Blocks are lines.  With `notices` telling words decide.
+    Blocks are lines.  With `notices` runs across the lines of a paragraph count too, and each label
+    is given once a paragraph, by the paragraph's first line.
     """
     counts = word_counts(docs, {w for _, text in templates for w in words_of(text)})
     index = (NoticeIndex if notices else TemplateIndex)(templates, counts, threshold)
@@ -232,7 +241,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
 def license_digest(docs: DataFrame, notices: bool = False) -> DataFrame:
     """doc_id, counts, places, base_labels, labels, score; the score of a base phrase is 1.
 
-    With `notices` telling words decide between neighbours.
+    With `notices` wrapped notices are found and telling words decide between neighbours.
     """
     both = F.array_sort(F.array_union("base_labels", F.transform("blocks", lambda b: b["label"])))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))

@@ -1,4 +1,8 @@
-"""Labels of the license query: neighbours are told apart."""
+"""Labels of the license query: neighbours are told apart, wrapped notices are found."""
+
+import textwrap
+
+import pytest
 
 from fleetaudit.llm import licenses, queries
 
@@ -27,3 +31,21 @@ def test_narrower_notices_refuse_the_wider_one():
     assert {x for x, _ in index.notices(both[:1])} == {"lgpl"}
     assert {x for x, _ in index.notices(both)} == {"gpl", "lgpl"}
     assert {x for x, _ in index.notices([both[0] + both[1]])} == {"gpl", "lgpl"}
+
+
+@pytest.mark.parametrize("width, prefix", [(72, ""), (72, " * "), (30, "# ")])
+def test_wrapped_templates_are_found(spark, tmp_path, width, prefix):
+    texts = ["Head\n\n" + textwrap.fill(t, width, initial_indent=prefix, subsequent_indent=prefix) + "\n\nTail" for _, t in licenses.TEMPLATES]
+    got = labels(spark, tmp_path, texts)
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        assert label in got[k].split(","), text
+
+
+def test_words_scattered_over_a_paragraph_are_no_notice(spark, tmp_path):
+    far = "Wir gehen mit.\n" + "So it goes on.\n" * 5 + LINES[0][0]
+    assert labels(spark, tmp_path, [far]) == {0: "gpl"}
+
+
+def test_paragraphs_end_at_blank_lines():
+    assert list(licenses.paragraphs("a\nb c\n \n\nd\r\n\r\n")) == [(0, [[b"a"], [b"b", b"c"]]), (4, [[b"d"]])]
+    assert list(licenses.paragraphs("")) == []
