@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Column with the number of a row.
+ROW = "__row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -28,6 +31,23 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, path: str) -> DataFrame:
+    """The rows with a number of their own in `ROW`, the same each time they are read.
+
+    It is made of the file (one row a file goes to the driver) and the place in it.  Rows without such a place
+    are stored first; `docs` must not repeat rows of a file, as an explode or a join would.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = stored(docs, path)
+    files = docs.select("_metadata.file_path").distinct().orderBy("file_path").collect()
+    number = docs.sparkSession.createDataFrame(
+        [(r["file_path"], i << 40) for i, r in enumerate(files)], "__file string, __first long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    return placed.join(F.broadcast(number), "__file").select(*docs.columns, (F.col("__first") + F.col("__place")).alias(ROW))
+
+
 def small_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with about `limit` bytes of text.
 

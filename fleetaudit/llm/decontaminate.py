@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_slices, stored
+from .common import ROW, numbered, small_slices, stored
 
 WINDOW = 13
 #: Test windows that a search holds at a time (about 20 MB).
@@ -281,6 +281,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, folder: str, size: int
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, size: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, folder, size).filter("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    """The rows that are not contaminated, with all their columns, whatever their ids."""
+    rows = numbered(docs, f"{folder}/rows")
+    found = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, folder, size)
+    bad = found.filter("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)

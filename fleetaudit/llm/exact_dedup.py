@@ -15,7 +15,7 @@ Texts are equal when identical after lower-casing A-Z.  Everything is DataFrame
    from it.  Only 48 bytes a document move; a hot text is split by the adaptive skew join.
 
 Edge cases: null text counts as empty; rows without doc_id belong to a group but are kept only
-if no row of the group has an id; rows that repeat id and text are all marked alike; an empty
+if no row of the group has an id; rows that repeat id and text are all marked alike, but the filter keeps one of them; an empty
 table gives an empty result; other columns are not touched.
 """
 
@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ROW, ascii_lower, numbered, stored
 
 CAPACITY = 16_384
 #: The directory may double so often beyond its first depth; buckets still overfull then chain.
@@ -89,16 +89,18 @@ def build_index(docs: DataFrame, folder: str, capacity: int = CAPACITY) -> DataF
 
 
 def exact_duplicates(docs: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain; also its number if given."""
     index = build_index(docs.select("doc_id", "text"), folder, capacity)
-    keys = docs.select("doc_id", *_text_keys(ascii_lower(F.col("text"))))
+    row = [ROW] if ROW in docs.columns else []
+    keys = docs.select("doc_id", *row, *_text_keys(ascii_lower(F.col("text"))))
     found = keys.join(index, ["hash", "digest"], "left")
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "bucket", "chain")
+        F.lower(F.hex("digest")).alias("text_sha256"), "bucket", "chain", *row)
 
 
 def drop_exact_duplicates(docs: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = exact_duplicates(docs, folder, capacity).filter("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep_id"]), "left_semi")
+    """One row of each text, with all its columns; of rows with the id to keep, the first."""
+    rows = numbered(docs, f"{folder}/rows")
+    keep = exact_duplicates(rows, folder, capacity).filter("kept").groupBy("text_sha256").agg(F.min(ROW).alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, stored
+from .common import ROW, numbered, small_slices, stored
 
 DISTANCE = 4
 SHINGLE = 4
@@ -68,14 +68,17 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, fp for each row."""
+    """doc_id, fp for each row; also its number if given."""
+    row = [ROW] if ROW in docs.columns else []
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, "text"):
             fp = [fingerprint(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(fp, pa.int64()), *(batch.column(r) for r in row)], names=["doc_id", "fp", *row])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *row).mapInArrow(
+        make, ", ".join(["doc_id long", "fp long", *(f"{r} long" for r in row)]))
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -233,21 +236,26 @@ def connected(edges: DataFrame, folder: str) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, folder: str, distance: int = DISTANCE, words: int = SHINGLE) -> DataFrame:
-    """One row for each document: doc_id, fingerprint (16 hex digits), component_id."""
+def near_members(docs: DataFrame, folder: str, distance: int = DISTANCE, words: int = SHINGLE) -> DataFrame:
+    """One row for each document: doc_id, fp, root (names its group), component_id; also its number if given."""
     marked = stored(fingerprints(docs, words), f"{folder}/fingerprints")
     prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), f"{folder}/prints")
     group = connected(shard_links(prints.select("fp"), distance), folder)
     tied = prints.join(group, prints["fp"] == group["a"], "left").select(
         "fp", "first_id", F.coalesce("b", "fp").alias("root"))
     first = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = tied.join(first, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    return marked.join(tied.join(first, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, folder: str, distance: int = DISTANCE, words: int = SHINGLE) -> DataFrame:
+    """One row for each document: doc_id, fingerprint (16 hex digits), component_id."""
+    return near_members(docs.select("doc_id", "text"), folder, distance, words).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, folder: str, distance: int = DISTANCE, words: int = SHINGLE) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    found = near_duplicates(docs, folder, distance, words)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep_id"]), "left_semi")
+    """One row of each group, with all its columns; of rows with the smallest id, the first."""
+    rows = numbered(docs, f"{folder}/rows")
+    found = near_members(rows, folder, distance, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("root").agg(F.min(ROW).alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(docs.columns)
