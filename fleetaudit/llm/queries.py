@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_dir
+from .byte_bpe import read_ranks, round_trip
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .html_text import extract_text
@@ -105,3 +106,9 @@ FROM l LEFT JOIN b ON l.host = b.host AND trim(l.line) = b.line
 GROUP BY l.doc_id, l.host""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents"), "source")
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return round_trip(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
