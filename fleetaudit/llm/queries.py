@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_dir
 from .byte_bpe import read_ranks, round_trip
+from .conversation_repair import repair_conversations
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .html_text import extract_text
@@ -112,3 +113,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return round_trip(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"), work_dir(spark))
