@@ -20,6 +20,7 @@ from .lm_score import pseudo_likelihood
 from .packing import pack_documents
 from .quality import classify_quality
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +119,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"), work_dir(spark))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), work_dir(spark))
