@@ -286,7 +286,7 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
         df = self.spark.read.parquet(path)
-        return spread(df, path, *ROW_KEYS[name]) if name in ROW_KEYS else df
+        return spread(df, *ROW_KEYS[name]) if name in ROW_KEYS else df
 
     def view(self, name: str) -> DataFrame:
         spark, fixtures = self.spark, self

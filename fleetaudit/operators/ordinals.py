@@ -1,62 +1,60 @@
-"""Skew-safe numbering of the rows of a group.
-
-`row_number()` puts a whole group into one task.  When one application holds a
-third of all rows that task never ends, so large groups are numbered in pieces:
-order keys picked by their hash cut such a group into at most `PIECES` ranges of
-about equal size, rows are numbered inside (group, piece), and each piece is
-shifted by the number of rows in the pieces before it.  Small groups are one piece.
-The cuts depend on the data alone, so every evaluation of the plan finds the same.
+"""Numbering of the rows of groups of any size by one range partitioning.
+
+`row_number()` puts a whole group into one task, so a group that holds a third of all rows never ends.  Here all
+rows are sorted by group and order into range partitions, which cut a large group by themselves:
+
+1. each row gets its place: its partition and its row there;
+2. the sizes of the partitions, a row for each, are added up, which makes a place a dense number over all rows;
+3. a row's ordinal is its dense number less that of the first row of its group, the least of the group.
+
+Rows are sorted and moved once for the numbers.  The sorted rows are written to the shared folder with their places,
+so all three steps see the same ones whatever is lost, cached or planned anew; pass in only the columns you need.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
 
-#: Groups above this many rows, and above this share of all rows, are cut.  So there are at
-#: most `MOST_GROUPS` of them with `PIECES` cuts each, which may be broadcast.
-HOT_ROWS = 1 << 18
-MOST_GROUPS = 4096
-PIECES = 256
-#: One of so many order keys may become a cut.
-SAMPLE = 1 << 10
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import work_dir
 
-def _cuts(rows: DataFrame, group: list[str], order: str, hot_rows: int, sample: int) -> DataFrame:
-    """The cuts of each large group; groups are counted before they move, few keys are looked at."""
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
-    share = sizes.agg(F.sum("__n") / MOST_GROUPS).scalar()
-    hot = sizes.where(F.col("__n") > F.greatest(F.lit(hot_rows), F.coalesce(share, F.lit(0)))).select(*group)
-    picked = rows.where(F.pmod(F.xxhash64(order), F.lit(sample)) == 0).select(*group, order)
-    large = picked.join(hot, group, "left_semi").groupBy(*group).agg(F.array_sort(F.collect_set(order)).alias("__all"))
-    every = F.greatest(F.lit(1), F.ceil(F.size("__all") / PIECES))
-    return large.select(*group, F.filter("__all", lambda _, i: i % every == 0).alias("__cuts"))
+#: Bits of the row in `monotonically_increasing_id`; the partition stands above them.
+ROW_BITS = 33
 
 
 def with_ordinal(
-    df: DataFrame, keys: list[str], order: str, name: str = "ordinal", coarse: list[Column] = (),
-    hot_rows: int = HOT_ROWS, sample: int = SAMPLE,
+    df: DataFrame, keys: list[str], order: str, name: str = "ordinal", coarse: list[Column] = (), parts: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, by the `coarse` columns and then by `order`.
 
-    `order` is one column, unique in its group (rows with equal keys are numbered in any order).
+    `order` is one column; rows with equal order are numbered in any order.  Null keys are a group.  `folder` is a
+    new folder all executors reach, by default one of `work_dir`.
     """
     marks = [f"__b{i}" for i in range(len(coarse))]
-    rows = df.select("*", *[b.alias(m) for b, m in zip(coarse, marks)])
-    group = [*keys, *marks]
-    # Broadcast, as a shuffle by group would bring a large group into one task again.
-    cut = rows.join(F.broadcast(_cuts(rows, group, order, hot_rows, sample)), group, "left")
-    piece = F.coalesce(F.size(F.filter("__cuts", lambda x: x <= F.col(order))), F.lit(0))
-    rows = cut.withColumn("__piece", F.when(F.col("__cuts").isNull(), 0).otherwise(piece)).drop("__cuts")
-    before = Window.partitionBy(*keys).orderBy(*marks, "__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*group, "__piece")
-        .agg(F.count("*").alias("__n"))
-        .select(*group, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    by = [*keys, *marks, order]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, folder = df.sparkSession, folder or work_dir(df.sparkSession)
+    placed = (
+        df.select("*", *[b.alias(m) for b, m in zip(coarse, marks)])
+        .repartitionByRange(parts, *by).sortWithinPartitions(*by).drop(*marks)
+        .withColumn("__place", F.monotonically_increasing_id())
     )
-    inside = Window.partitionBy(*group, "__piece").orderBy(order)
-    numbered = rows.withColumn("__rn", F.row_number().over(inside))
-    # Both sides are placed by (group, piece), so the join moves only the offsets;
-    # a left join keeps a row whose group is null.
-    joined = numbered.join(offsets, [*group, "__piece"], "left")
-    position = F.coalesce(F.col("__before"), F.lit(0)) + F.col("__rn")
-    return joined.select(*df.columns, position.cast("bigint").alias(name))
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
+    part = F.shiftright("__place", ROW_BITS)
+    # One row a partition, so the running sum in one task and the broadcast are bounded.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+    def dense(rows: DataFrame, number: str) -> DataFrame:
+        row = F.col("__place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+        return rows.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn(
+            number, F.col("__before") + row).drop("__part", "__before", "__place")
+
+    first = dense(placed.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min("__place").alias("__place")), "__first")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return dense(placed, "__number").join(first, same).select(
+        *df.columns, (F.col("__number") - F.col("__first") + 1).alias(name))

@@ -8,6 +8,7 @@ the hit, so the order of findings never needs a sort or a global counter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -132,24 +133,20 @@ RULES: list[RuleInfo] = [
 INFO: dict[str, RuleInfo] = {r.rule_id: r for r in RULES}
 ORDINAL: dict[str, int] = {r.rule_id: i + 1 for i, r in enumerate(RULES)}
 
-# finding_seq = rule ordinal | target (24 bits) | pattern of the rule (4 bits) | match number (24 bits).
-# A value beyond its field keeps the largest one and never runs into the next field.
-RULE_SHIFT, TARGET_SHIFT, PART_SHIFT = 52, 28, 24
+# finding_seq = rule ordinal | target (63 bits) | pattern of the rule (8 bits) | match number (40 bits), as a decimal
+# of 38 digits, which holds 122 bits: no field can run over, so every finding has a number of its own.
+RULE_SHIFT, TARGET_SHIFT, PART_SHIFT = 111, 48, 40
+SEQ = "decimal(38,0)"
 
 
 def pack_seq(rule_ordinal: Column, target: Column, part: Column, pos: Column) -> Column:
-    field = lambda value, bits: F.least(value.cast("bigint"), F.lit(2**bits - 1).cast("bigint"))
-    return (
-        F.shiftleft(rule_ordinal.cast("bigint"), RULE_SHIFT)
-        + F.shiftleft(field(target, RULE_SHIFT - TARGET_SHIFT), TARGET_SHIFT)
-        + F.shiftleft(field(part, TARGET_SHIFT - PART_SHIFT), PART_SHIFT)
-        + field(pos, PART_SHIFT)
-    )
+    at = lambda value, shift: value.cast(SEQ) * F.lit(Decimal(2**shift)).cast(SEQ)
+    return (at(rule_ordinal, RULE_SHIFT) + at(target, TARGET_SHIFT) + at(part, PART_SHIFT) + pos.cast(SEQ)).cast(SEQ)
 
 
 def pack_row_seq(rule_ordinal: Column, row: Column) -> Column:
-    """finding_seq of a rule with one finding for each row of a table: the row number has 52 bits."""
-    return F.shiftleft(rule_ordinal.cast("bigint"), RULE_SHIFT) + row.cast("bigint")
+    """finding_seq of a rule with one finding for each row of a table."""
+    return pack_seq(rule_ordinal, row, F.lit(0), F.lit(0))
 
 
 def rule_column(rule_id: str, field: str) -> Column:

@@ -375,7 +375,7 @@ def finish(rows: DataFrame, more: list[str] = ()) -> DataFrame:
     """Common finding columns from (rule_id, part, pos, target_seq, ...) rows."""
     rule = "rule_id"
     if "sub" in rows.columns:  # several catalog domains can match one URL
-        wide = F.least(F.col("pos").cast("bigint"), F.lit(2**18 - 1).cast("bigint")) * 64 + F.col("sub")
+        wide = F.col("pos").cast("bigint") * 64 + F.col("sub")
         rows = rows.withColumn("pos", F.when(F.col(rule) == "NET-007", wide).otherwise(F.col("pos")))
     return rows.select(
         "app_id",

@@ -91,11 +91,19 @@ def scored_findings(findings: DataFrame, model: ScoreModel = ScoreModel(), dedup
     """
     unique = findings if deduplicated else unique_findings(findings)
     per_rule = Window.partitionBy("app_id", "rule_id").orderBy("finding_seq")
-    kept = (
+    first = (
         unique.select("app_id", "finding_seq", "rule_id", "title", "category", "severity", "confidence")
         .withColumn("occurrence", F.row_number().over(per_rule))
         .where(F.col("occurrence") <= len(model.decay))
-        .withColumn("raw", base_points(model))
+    )
+    return capped_points(first, model)
+
+
+def capped_points(first: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
+    """Points of the first `len(decay)` findings of each rule, numbered by `occurrence`, after rule and low caps."""
+    per_rule = Window.partitionBy("app_id", "rule_id").orderBy("occurrence")
+    kept = (
+        first.withColumn("raw", base_points(model))
         .withColumn("decay", _decay(model))
         .withColumn("points", (F.col("raw") * F.col("decay")).cast(POINTS))
     )
@@ -144,16 +152,16 @@ def app_scores(findings: DataFrame, apps: DataFrame | None = None, model: ScoreM
 def itemized_breakdown(findings: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
     """One row per unique finding; the rows beyond the decay table carry zero points.
 
-    Occurrence numbers of unlimited groups use two-level numbering, the points
-    come from the bounded scored rows by a join on the occurrence, which is unique.
+    Occurrences are numbered once; the points come from the few rows of each rule that can
+    earn any, by a join on the occurrence, which is unique.
     """
     unique = unique_findings(findings)
     numbered = with_ordinal(
         unique.select("app_id", "finding_seq", "rule_id", "title", "category", "severity", "confidence"),
         ["app_id", "rule_id"], "finding_seq", "occurrence",
     )
-    points = scored_findings(unique, model, deduplicated=True).select(
-        "app_id", "rule_id", F.col("occurrence").cast("bigint").alias("occurrence"), "adjusted")
+    points = capped_points(numbered.where(F.col("occurrence") <= len(model.decay)), model).select(
+        "app_id", "rule_id", "occurrence", "adjusted")
     weight = literal_case("severity", dict(model.severity_weights), 0.0)
     factor = literal_case("confidence", dict(model.confidence_multipliers), 1.0)
     table = {i + 1: d for i, d in enumerate(model.decay)}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..fixtures.views import FX_RULES, Fixtures
 from ..functions.classify import severity_rank
 from ..operators import findings as ops, scoring
+from ..operators.rules import registry
+from ..session import work_dir
 from .base import WS, query
 
 _TRIM = f"trim(coalesce({{}}, ''), {WS})"
@@ -153,7 +155,7 @@ def agg_16(fx: Fixtures):
 @query("w_2", """SELECT app_id, finding_seq, rule_id, row_number() OVER (PARTITION BY app_id, rule_id ORDER BY finding_seq) AS occurrence
     FROM fx_findings""")
 def w_2(fx: Fixtures):
-    return ops.rule_occurrences(fx.findings).select("app_id", "finding_seq", "rule_id", "occurrence")
+    return ops.rule_occurrences(fx.findings.select("app_id", "finding_seq", "rule_id"))
 
 
 @query("w_3", SCORE + "SELECT app_id, finding_seq, CAST(before_low AS DOUBLE) AS clamped FROM capped WHERE occ <= 3")
@@ -171,7 +173,9 @@ def w_4(fx: Fixtures):
 @query("w_6", f"""SELECT app_id, finding_seq, row_number() OVER (PARTITION BY app_id ORDER BY {_RANK}, rule_id, finding_seq) AS finding_no
     FROM fx_findings""")
 def w_6(fx: Fixtures):
-    return ops.report_ordinals(fx.findings).select("app_id", "finding_seq", "finding_no")
+    # Sorted rows are written with all their columns, so only what is needed goes in.
+    keys = fx.findings.select("app_id", "severity", "rule_id", "finding_seq")
+    return ops.report_ordinals(keys).select("app_id", "finding_seq", "finding_no")
 
 
 @query("set_5", """SELECT app_id, rule_id, title, evidence, location, min(finding_seq) AS finding_seq
@@ -213,11 +217,26 @@ _IDS = [r[0] for r in FX_RULES] + ["MAN-002", "NET-005"]
 _DISABLED = ["NET-008", "CRY-002"]
 
 
+def _marked(app_id: str, location: str, text: str):
+    if location == "key.pem":
+        raise ValueError("cannot read " + location)
+    if "setSeed" in text:
+        yield {"evidence": "marker found"}
+
+
 @query("agg_15", f"""SELECT r.rule_id, r.rule_id NOT IN ('NET-008', 'CRY-002') AS executed, r.rule_id IN ('NET-008', 'CRY-002') AS skipped,
     false AS errored, CASE WHEN r.rule_id IN ('NET-008', 'CRY-002') THEN 0 ELSE count(f.app_id) END AS findings
-    FROM (VALUES {", ".join(f"('{i}')" for i in _IDS)}) r(rule_id) LEFT JOIN fx_findings f USING (rule_id) GROUP BY 1""")
+    FROM (VALUES {", ".join(f"('{i}')" for i in _IDS)}) r(rule_id) LEFT JOIN fx_findings f USING (rule_id) GROUP BY 1
+    UNION ALL SELECT 'USR-003', true, false, count(*) FILTER (location = 'key.pem') > 0, count(*) FILTER (contains(text, 'setSeed')
+        AND app_id NOT IN (SELECT app_id FROM fx_artifacts WHERE location = 'key.pem')) FROM fx_artifacts""")
 def agg_15(fx: Fixtures):
-    return ops.rule_report(fx.findings, ops.rule_dimension(fx.spark, _IDS, _DISABLED))
+    """The rules of the fixture and a user rule, evaluated here, that fails on some applications."""
+    rules = registry.RuleRegistry(builtin=False)
+    rules.register(registry.Rule("USR-003", "Marker", "OTHER", evaluate=_marked))
+    inputs = registry.Inputs(artifacts=fx.artifacts())
+    rows = rules.user_rows(inputs, work_dir(fx.spark))
+    found = fx.findings.select("rule_id").unionByName(rules.run(inputs, user_rows=rows).select("rule_id"))
+    return ops.rule_report(found, ops.rule_dimension(fx.spark, [*_IDS, "USR-003"], _DISABLED), rules.errors(rows))
 
 
 @query("ord_3", f"""SELECT app_id, finding_seq, rule_id, severity, CAST(row_number() OVER (PARTITION BY app_id ORDER BY {_RANK}, finding_seq) AS INTEGER) AS position

@@ -212,6 +212,51 @@ def src_14(fx: Fixtures):
     return rows.groupBy("apk_hash", "finding_category", "normalized_name", "severity").agg(F.count("*").alias("n"))
 
 
+@query("src_12_problems", """SELECT CASE WHEN h < '2' THEN 'no hash' ELSE 'ragged' END AS reason, h >= '2' AS kept, count(*) AS n
+    FROM (SELECT substr(lower(apk_hash), 1, 1) AS h FROM fx_external) WHERE h < '6' GROUP BY 1, 2""")
+def src_12_problems(fx: Fixtures):
+    """Rows with a hash from 0 lose it, those from 2 lose their last cells, those from 4 get one cell more."""
+    path = work_dir(fx.spark)
+    h = F.substring(F.lower("apk_hash"), 1, 1)
+    cell = lambda name: F.concat(F.lit('"'), F.replace(F.col(name), F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.when(h >= "2", cell("apk_hash")).otherwise(""), cell("tool"), cell("finding_category"), cell("finding_name"), cell("severity")]
+    line = F.when((h >= "2") & (h < "4"), F.concat_ws(",", *cells[:3])).when((h >= "4") & (h < "6"), F.concat_ws(",", *cells, F.lit("more"))).otherwise(
+        F.concat_ws(",", *cells))
+    # One column whose name is the header line, written as it stands.
+    head = "apk_hash,tool,finding_category,finding_name,severity"
+    fx.external.select(line.alias(head)).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return external.external_csv_problems(fx.spark, path).groupBy("reason", "kept").agg(F.count("*").alias("n"))
+
+
+@query("src_14_forms", f"""SELECT apk_hash, {canonical_sql('cat')} AS finding_category, {name_sql('nm')} AS normalized_name, sev AS severity, count(*) AS n FROM (
+    SELECT apk_hash, raw_category AS cat, CASE WHEN short THEN raw_category ELSE finding_name END AS nm,
+        CASE WHEN short THEN 'HIGH' ELSE 'MEDIUM' END AS sev FROM (SELECT *, finding_name LIKE 'Hardcoded%' AS short FROM fx_ours)) GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT 'problems', 'malformed', '', '', 1""")
+def src_14_forms(fx: Fixtures):
+    """A third each as indented documents, as records a line in the same folder, and as CSV; one document is damaged."""
+    path, tables = work_dir(fx.spark), work_dir(fx.spark)
+    short, h = c("finding_name").like("Hardcoded%"), F.substring("apk_hash", 1, 1)
+    record = F.struct(
+        F.upper("apk_hash").alias("sha256"),
+        F.when(~short, F.array(F.struct(c("finding_name").alias("title"), c("raw_category").alias("category"), F.lit("medium").alias("severity")))).alias("findings"),
+        F.when(short, F.array("raw_category")).alias("detected_rules"))
+    first = fx.ours.where(h < "5")
+    documents = first.count() // 500 + 1
+    (first.groupBy(F.pmod(F.xxhash64("apk_hash"), F.lit(documents)).alias("bucket")).agg(F.collect_list(record).alias("apks"))
+     .select("bucket", F.to_json(F.struct("apks"), {"pretty": "true"}).alias("value"))
+     .write.partitionBy("bucket").text(path))
+    fx.spark.createDataFrame([("{\n  cut",)], "value string").withColumn("bucket", F.lit(-1)).write.mode("append").partitionBy("bucket").text(path)
+    fx.ours.where((h >= "5") & (h < "a")).select(F.to_json(record).alias("value"), F.lit(-2).alias("bucket")).write.mode("append").partitionBy("bucket").text(path)
+    fx.ours.where(h >= "a").select(
+        F.upper("apk_hash").alias("SHA256"), F.when(short, c("raw_category")).otherwise(c("finding_name")).alias("title"),
+        c("raw_category").alias("category"), F.when(short, "high").otherwise("medium").alias("severity")).write.option("header", True).csv(tables)
+    rows = external.read_own_results(fx.spark, path).unionByName(external.read_own_results(fx.spark, tables, "csv"))
+    counts = rows.groupBy("apk_hash", "finding_category", "normalized_name", "severity").agg(F.count("*").alias("n"))
+    bad = external.own_result_problems(fx.spark, path).groupBy("reason").agg(F.count("*").alias("n"))
+    return counts.unionByName(bad.select(F.lit("problems").alias("apk_hash"), c("reason").alias("finding_category"),
+                                         F.lit("").alias("normalized_name"), F.lit("").alias("severity"), "n"))
+
+
 # --- admission ------------------------------------------------------------------------------------
 
 _P = "replace(entry_name, chr(92), '/')"
@@ -450,4 +495,5 @@ def snk_8(fx: Fixtures):
     damaged = docs.withColumn("doc", F.when(F.pmod(F.xxhash64("scan_id"), F.lit(7)) != 0, c("doc")))
     path = work_dir(fx.spark)
     damaged.write.parquet(path)
-    return reports.findings_from_documents(fx.spark.read.parquet(path), fx.scan_findings)
+    found = reports.findings_from_documents(fx.spark.read.parquet(path), fx.scan_findings)
+    return found.withColumn("finding_seq", c("finding_seq").cast("bigint"))

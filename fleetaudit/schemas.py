@@ -27,6 +27,7 @@ ARCHIVE_ENTRIES = """
     app_id string, entry_seq bigint, entry_name string, file_size bigint, compress_size bigint
 """
 
+# finding_seq is any number, unique in the application; the rules of this package give decimals of 38 digits.
 FINDINGS = """
     app_id string, finding_seq bigint, rule_id string, title string, category string,
     severity string, confidence string, evidence string, location string

@@ -38,16 +38,12 @@ def work_dir(spark: SparkSession) -> str:
     return os.path.join(shared, f"fleetaudit-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame, path: str, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a CPU-heavy scan as many tasks as there are cores.
 
     Only an input with fewer splits than cores is moved, so at most one split
     per core travels; a large table keeps its own splits and does not shuffle.
     `keys` identify a row, which makes the placement even and repeatable.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = file.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(file).getLength()
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df if size // split + 1 >= cores else df.repartition(cores, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.classify import canonical_category
 from ..functions.text import normalize_name, strip
 
 REQUIRED = ["apk_hash", "tool", "finding_category", "finding_name", "severity"]
 OUR_TOOL = "fleetaudit"
+#: Column with the file of a record.
+FILE = "__file"
+
+
+#: Column with the text of a record that does not parse, or not wholly.
+CORRUPT = "__corrupt"
 
 
 def read_external_csv(spark: SparkSession, path: str) -> DataFrame:
     """External findings: headers in any case, BOM tolerated, rows without hash dropped.
 
-    A quoted cell may hold line breaks, so a file is read by one task.
+    A quoted cell may hold line breaks, so a file is read by one task.  A row with too few cells has empty ones, one
+    with too many loses the last; `external_csv_problems` lists these and the dropped rows.
+    """
+    return external_findings(_csv(spark, path))
+
+
+def external_csv_problems(spark: SparkSession, path: str) -> DataFrame:
+    """file, record, reason, kept of the rows that are not taken as they stand.
+
+    Reasons are `ragged` (cells are missing or too many; kept if there is a hash) and `no hash` (dropped).  The rows of
+    the file are those of `read_external_csv` and the problems that are not kept.
     """
     raw = _csv(spark, path)
-    return external_findings(raw)
+    there = F.coalesce(strip(F.col("apk_hash")), F.lit("")) != ""
+    cells = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in raw.columns if c not in (CORRUPT, FILE)])
+    ragged = F.col(CORRUPT).isNotNull()
+    return raw.select(
+        F.col(FILE).alias("file"), F.coalesce(CORRUPT, cells).alias("record"),
+        F.when(~there, "no hash").when(ragged, "ragged").alias("reason"), there.alias("kept")).where("reason IS NOT NULL")
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True, multiLine=True, enforceSchema=False, escape='"')
-    return raw.toDF(*[c.replace("\ufeff", "").strip().lower() for c in raw.columns])
+    """All cells as text with clean names, `CORRUPT` and `FILE`."""
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    names = spark.read.csv(path, **options).columns
+    schema = StructType([StructField(n, StringType()) for n in [*names, CORRUPT]])
+    raw = spark.read.csv(path, schema, enforceSchema=False, columnNameOfCorruptRecord=CORRUPT, **options)
+    clean = [c.replace("\ufeff", "").strip().lower() for c in names]
+    return raw.select("*", F.col("_metadata.file_path")).toDF(*clean, CORRUPT, FILE)
 
 
 def external_findings(raw: DataFrame) -> DataFrame:
@@ -82,16 +111,50 @@ RESULT_SCHEMA = (
 )
 
 
-def read_own_results(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+def read_own_results(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     """Findings of result files: CSV, whole JSON documents, or JSON lines.
 
-    `multi_line` says that each file is one document, indented or not; by default that
-    holds for a path that ends in `.json`, while folders and `.jsonl` hold a record a line.
+    `form` is `csv` or `json`; by default `csv` for a path that ends in `.csv`.  Each JSON file tells by itself
+    whether it is one document, indented or not, or has a record a line, so a folder may hold both.
+    `own_result_problems` lists records that cannot be read.
     """
-    if path.lower().endswith(".csv"):
+    if (form or ("csv" if path.lower().endswith(".csv") else "json")) == "csv":
         return own_findings_csv(_csv(spark, path))
-    whole = path.lower().endswith(".json") if multi_line is None else multi_line
-    return own_findings(spark.read.schema(RESULT_SCHEMA).json(path, multiLine=whole))
+    return own_findings(own_records(spark, path).where(F.col(CORRUPT).isNull()))
+
+
+def own_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each JSON record with its file; one that does not parse has its text in `CORRUPT`."""
+    reader = spark.read.schema(f"{RESULT_SCHEMA}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
+    # Folders named key=value would add columns of their own.
+    columns = ["sha256", "findings", "detected_rules", "application", "apks", CORRUPT, F.col("_metadata.file_path").alias(FILE)]
+    whole = whole_documents(spark, path)
+    lines = reader.json(path).select(*columns)
+    if not whole:
+        return lines
+    documents = reader.json([unquote(f) for f in whole], multiLine=True).select(*columns)
+    return lines.where(~F.col(FILE).isin(whole)).unionByName(documents)
+
+
+def whole_documents(spark: SparkSession, path: str) -> list[str]:
+    """Files whose first line with text is not JSON by itself: each is one document over many lines.
+
+    The reader lists the files on the driver anyway; of their text only one line each is kept.
+    """
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias(FILE))
+    first = lines.where(F.trim("value") != "").groupBy(FILE).agg(F.min_by("value", "n").alias("line"))
+    return sorted(r[FILE] for r in first.where(F.expr("try_parse_json(line) IS NULL")).select(FILE).collect())
+
+
+def own_result_problems(spark: SparkSession, path: str) -> DataFrame:
+    """file, record, reason of JSON records without findings of an application: `malformed` or `no hash`."""
+    records = own_records(spark, path)
+    hashes = F.coalesce(F.transform("apks", lambda a: a["sha256"]), F.array(F.coalesce(F.col("sha256"), F.col("application.sha256"))))
+    known = F.exists(hashes, lambda h: F.coalesce(F.lower(strip(h)), F.lit("")).isin("", "n/a") == F.lit(False))
+    text = F.coalesce(CORRUPT, F.to_json(F.struct("sha256", "detected_rules")))
+    return records.select(
+        F.col(FILE).alias("file"), text.alias("record"),
+        F.when(F.col(CORRUPT).isNotNull(), "malformed").when(~known, "no hash").alias("reason")).where("reason IS NOT NULL")
 
 
 def own_findings_csv(raw: DataFrame) -> DataFrame:

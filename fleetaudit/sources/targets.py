@@ -11,7 +11,8 @@ from ..functions.paths import class_from_path, package_from_class
 from ..operators.ordinals import with_ordinal
 
 # Order of the sources inside one application; each gets its own block of sequence numbers.
-POOL_BLOCK, FILE_BLOCK, MANIFEST_BLOCK, RAW_BLOCK = 0, 1, 2**19, 2**19 + 1
+# Files are numbered up to the manifest's block, which no application reaches.
+POOL_BLOCK, FILE_BLOCK, MANIFEST_BLOCK, RAW_BLOCK = 0, 1, 2**56, 2**56 + 1
 POOL_LOCATION, MANIFEST_LOCATION = "DEX:StringPool", "AndroidManifest.xml"
 
 

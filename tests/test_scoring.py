@@ -111,7 +111,7 @@ def hot(spark, n=60_000):
 
 def test_hot_application_keeps_every_row_and_spreads(spark):
     df = hot(spark)
-    ranked = with_ordinal(df, ["app_id"], "finding_seq", "n", hot_rows=1000, sample=50)
+    ranked = with_ordinal(df, ["app_id"], "finding_seq", "n", parts=16)
     got = ranked.where("app_id = 'hot'").agg(
         F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("n").alias("d")).first()
     assert tuple(got) == (20_000, 1, 20_000, 20_000)
