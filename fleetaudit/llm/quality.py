@@ -6,9 +6,9 @@ over it and mixed by a small layer; the chunks of a document meet as maximum
 and mean in one logistic output.  The weights (about 60 KB) are fitted on the driver with Adam from a
 bounded sample of labelled rows and then score every chunk of every text in Arrow batches.
 
-Bounds of the sample, both parameters: `sample` rows, those with the smallest hash of their
-doc_id, so every label has the same chance, and `row_chunks` chunks of a row, evenly spaced over
-the whole text.  Scores read all chunks of a text.
+The one bound of the fit is a parameter: `sample` labelled rows, those with the smallest hash of their doc_id, so
+every label has the same chance.  The whole text of each is trained on, all chunks in blocks, as
+scores also read all chunks of a text.
 
 Edge cases: null and empty texts are one chunk of padding and get a score like any other; no label
 or only one kind of label gives the share of label 1 (0.5 without labels) to every document; labels
@@ -31,7 +31,9 @@ CHUNK, STEP = 256, 192
 WIDTH, STRIDE = 8, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 32
 LAG = 40
-SAMPLE, ROW_CHUNKS, EPOCHS = 5_000, 24, 6
+SAMPLE, EPOCHS = 5_000, 6
+#: Chunks that are worked on together.
+BLOCK = 512
 #: A small sample is gone through more often.
 LEAST_STEPS = 400
 KEEP_FROM = 0.3
@@ -50,8 +52,8 @@ def _repeats(data: np.ndarray) -> np.ndarray:
     return found
 
 
-def chunk_bytes(text: str | None) -> np.ndarray:
-    """All chunks of a text, one row of inputs each; padding is zero.
+def chunk_inputs(text: str | None) -> np.ndarray:
+    """The inputs of a text, padded with zeros to whole chunks.
 
     An input is a byte, plus 256 where the text repeats itself.
     """
@@ -60,7 +62,17 @@ def chunk_bytes(text: str | None) -> np.ndarray:
     n = max(1, -(-max(0, len(data) - CHUNK) // STEP) + 1)
     padded = np.zeros((n - 1) * STEP + CHUNK, np.uint16)
     padded[:len(data)] = data
-    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
+    return padded
+
+
+def as_chunks(inputs: np.ndarray) -> np.ndarray:
+    """All chunks of padded inputs, one row each, without a copy."""
+    return np.lib.stride_tricks.sliding_window_view(inputs, CHUNK)[::STEP]
+
+
+def chunk_bytes(text: str | None) -> np.ndarray:
+    """All chunks of a text, one row of inputs each."""
+    return as_chunks(chunk_inputs(text))
 
 
 def _windows(w: Weights, chunks: np.ndarray) -> np.ndarray:
@@ -70,9 +82,14 @@ def _windows(w: Weights, chunks: np.ndarray) -> np.ndarray:
 
 
 def _pooled(w: Weights, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filters at every position, and the windows they saw."""
-    seen = np.ascontiguousarray(_windows(w, chunks))
-    return seen @ w["filters"] + w["filter_bias"], seen
+    """The largest value of each filter in each chunk, and its position."""
+    values = np.ascontiguousarray(_windows(w, chunks)) @ w["filters"] + w["filter_bias"]
+    where = values.argmax(1)
+    return np.take_along_axis(values, where[:, None], 1)[:, 0], where
+
+
+def _blocks(chunks: np.ndarray) -> range:
+    return range(0, len(chunks), BLOCK)
 
 
 def _mix(w: Weights, pooled: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +101,7 @@ def _mix(w: Weights, pooled: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
 
 def score_chunks(w: Weights, chunks: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each document; `starts` is each one's first chunk."""
-    parts = [_pooled(w, chunks[at:at + 512])[0].max(1) for at in range(0, len(chunks), 512)]
+    parts = [_pooled(w, chunks[at:at + BLOCK])[0] for at in _blocks(chunks)]
     return _mix(w, np.concatenate(parts), starts)[0]
 
 
@@ -119,9 +136,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
 
 def _gradients(w: Weights, chunks: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> Weights:
-    values, seen = _pooled(w, chunks)
-    where = values.argmax(1)
-    pooled = np.take_along_axis(values, where[:, None], 1)[:, 0]
+    """Gradients over all chunks of some documents; memory is that of a block and a few numbers a chunk."""
+    pooled, where = map(np.concatenate, zip(*[_pooled(w, chunks[at:at + BLOCK]) for at in _blocks(chunks)], strict=True))
     p, hidden, both = _mix(w, pooled, starts)
     n = np.diff(np.append(starts, len(chunks)))
     d = ((p - labels) / len(labels)).astype(np.float32)
@@ -132,12 +148,16 @@ def _gradients(w: Weights, chunks: np.ndarray, starts: np.ndarray, labels: np.nd
     d_hidden *= hidden > 0
     grads |= {"mix": np.maximum(pooled, 0).T @ d_hidden, "mix_bias": d_hidden.sum(0)}
     d_pooled = (d_hidden @ w["mix"].T) * (pooled > 0)
-    at = seen[np.arange(len(chunks))[:, None], where]  # chunk, filter, WIDTH * EMBED
-    grads |= {"filters": np.einsum("cf,cfk->kf", d_pooled, at), "filter_bias": d_pooled.sum(0)}
-    # The input under each place of each filter gets its share of the filter's gradient.
-    byte = np.take_along_axis(chunks, (where[:, :, None] * STRIDE + np.arange(WIDTH)).reshape(len(chunks), -1), 1).ravel()
-    d_byte = (d_pooled[:, :, None] * w["filters"].T).reshape(-1, EMBED)
-    grads["embed"] = np.stack([np.bincount(byte, d_byte[:, e], 512) for e in range(EMBED)], 1).astype(np.float32)
+    grads |= {"filter_bias": d_pooled.sum(0), "filters": np.zeros_like(w["filters"]), "embed": np.zeros_like(w["embed"])}
+    for at in _blocks(chunks):
+        part, share = chunks[at:at + BLOCK], d_pooled[at:at + BLOCK]
+        # The inputs that each filter saw where it was largest get its share of the gradient.
+        place = where[at:at + BLOCK, :, None] * STRIDE + np.arange(WIDTH)
+        seen = np.take_along_axis(part, place.reshape(len(part), -1), 1)
+        at_best = w["embed"][seen].reshape(len(part), FILTERS, WIDTH * EMBED)
+        grads["filters"] += np.einsum("cf,cfk->kf", share, at_best)
+        d_seen = (share[:, :, None] * w["filters"].T).reshape(-1, EMBED)
+        grads["embed"] += np.stack([np.bincount(seen.ravel(), d_seen[:, e], 512) for e in range(EMBED)], 1).astype(np.float32)
     return grads
 
 
@@ -146,29 +166,25 @@ def held_out_quality(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def training_chunks(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, row_chunks: int = ROW_CHUNKS) -> DataFrame:
-    """label and chunks (bytes) of the sampled labelled rows."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """label and inputs (16 bits each) of the whole texts of the sampled labelled rows."""
     chosen = labels.filter(F.col("quality").isin(0, 1)).filter(~held_out_quality(F.col("doc_id"))).select(
         "doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, "text"):
-            found = []
-            for text in batch.column("text").to_pylist():
-                chunks = chunk_bytes(text)
-                pick = np.unique(np.linspace(0, len(chunks) - 1, row_chunks).astype(int))
-                found.append(chunks[pick].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "chunks"])
+            found = [chunk_inputs(text).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "inputs"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    return rows.mapInArrow(cut, "label int, chunks binary")
+    return rows.mapInArrow(cut, "label int, inputs binary")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, row_chunks: int = ROW_CHUNKS) -> Weights:
-    """Weights from the labels; the driver gets `sample * row_chunks * CHUNK` inputs at most."""
-    rows = training_chunks(docs, labels, sample, row_chunks).collect()
-    rows.sort(key=lambda r: (r["label"], r["chunks"]))  # the order of tasks must not matter
-    texts = [np.frombuffer(r["chunks"], np.uint16).reshape(-1, CHUNK) for r in rows]
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
+    """Weights from the labels; the driver gets the whole texts of `sample` labelled rows, two bytes a byte."""
+    rows = training_rows(docs, labels, sample).collect()
+    rows.sort(key=lambda r: (r["label"], r["inputs"]))  # the order of tasks must not matter
+    texts = [as_chunks(np.frombuffer(r["inputs"], np.uint16)) for r in rows]
     return fit(texts, np.array([r["label"] for r in rows], np.float32))
 
 

@@ -108,6 +108,26 @@ def test_quality_gradients():
         assert np.isclose(g[at], (up - down) / 2e-5, rtol=1e-2, atol=1e-6), key
 
 
+def test_quality_gradients_by_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    w = quality.fit([], np.empty(0))
+    w["out"] = rng.normal(0, 1, w["out"].shape).astype(np.float32)
+    chunks, starts, labels = rng.integers(0, 512, (37, quality.CHUNK)).astype(np.uint16), np.array([0, 9, 10]), np.array([1.0, 0.0, 1.0])
+    whole = quality._gradients(w, chunks, starts, labels)
+    monkeypatch.setattr(quality, "BLOCK", 4)
+    for key, g in quality._gradients(w, chunks, starts, labels).items():
+        assert np.allclose(g, whole[key], atol=1e-5), key
+
+
+def test_quality_trains_on_whole_texts(spark):
+    text = "".join(chr(97 + i * 7 % 26) for i in range(30_000))
+    docs = spark.createDataFrame([(2, text), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int")
+    rows = {r["label"]: np.frombuffer(r["inputs"], np.uint16) for r in quality.training_rows(docs, labels).collect()}
+    assert bytes((rows[1] & 255).astype(np.uint8)).rstrip(b"\0").decode() == text and len(rows[0]) == quality.CHUNK
+    assert len(quality.as_chunks(rows[1])) == len(quality.chunk_bytes(text)) > 24
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
