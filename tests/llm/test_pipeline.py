@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_decontaminate import brute as contaminated
-from test_simhash import plain_fingerprint, plain_groups
+from test_similar import brute_links
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_module
@@ -48,12 +48,12 @@ def test_stages_match_brute_force(spark, tmp_path):
                 best[low(rows[d])] = max(d, best.get(low(rows[d]), d))
             want = set(best.values())
         elif name == "near":
-            prints = {d: plain_fingerprint(rows[d]) for d in want}
-            roots = plain_groups(sorted(set(prints.values())))
-            best = {}
-            for d in want:
-                best[roots[prints[d]]] = min(d, best.get(roots[prints[d]], d))
-            want = set(best.values())
+            ids = sorted(want)
+            first = {d: d for d in ids}
+            for i, j in brute_links([rows[d] for d in ids]):
+                low_root, high_root = sorted((first[ids[i]], first[ids[j]]))
+                first = {d: low_root if r == high_root else r for d, r in first.items()}
+            want = set(first.values())
         elif name == "decontaminate":
             want -= {r[0] for r in contaminated([(d, rows[d]) for d in want], items) if r[5]}
         else:
