@@ -1,25 +1,29 @@
-"""Masked pseudo-likelihood of documents from a bidirectional window network in numpy.
+"""Masked pseudo-likelihood of documents from bidirectional window networks in numpy.
 
 Words are tokens.  A network sees `SIDE` tokens on both sides of a place, never the place itself, and
 predicts its token: embeddings of the neighbours, one hidden layer, and a two-step softmax (class of
-the token, token within its class) that costs 2 * sqrt(tokens) instead of all tokens.  The sum of
-the log-probabilities of all tokens of a document, each given its neighbours, is its score.
+the token, token within its class) that costs 2 * sqrt(tokens) instead of all tokens.  A word
+without a token of its own is predicted in two steps: one of `ENDINGS` tokens that such words share, and
+then each of its bytes by a second network of the same kind, which sees `SIDE` bytes of the word on both
+sides.  So every byte of a text counts.  The sum of all these log-probabilities is the score of a document.
 
 Everything is gathered from the whole corpus and grows with it: words are counted over all documents
-(combined in each task, added up by Spark), the most frequent get own tokens and all others share
-tokens by their ending; and each document is trained on in one of `rounds` rounds.  In a round every
-task trains a copy on its documents and returns it in rows; Spark averages the copies by the tokens they
-saw, so the driver gets one network (about 0.8 MB).  A lost task trains its copy again.
+(combined in each task, added up by Spark), the most frequent get own tokens, the byte network learns every
+other distinct word, and each document is trained on in one of `rounds` rounds.  In a round every
+task trains a copy on its rows and returns it in rows; Spark averages the copies by the tokens they
+saw, so the driver gets one network (about 0.8 MB).  A lost task trains its copy again.  Texts are cut into
+tokens once, and the tokens stored in the shared folder (two bytes a word).
 
 Edge cases: null, empty and blank texts have no tokens and score 0; a single word is predicted from
 borders; texts of any length are read whole; an empty corpus leaves the first weights; repeated rows are
-counted and scored each; rows without doc_id are like others; other columns are not read.
+counted and scored each; rows without doc_id are like others; other columns are not read; a zero byte
+is the same token as the border.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -30,20 +34,29 @@ from pyspark.sql import functions as F
 from .common import small_slices, stored
 
 SIDE = 2
+#: Token 0 is the border, then come frequent words, then the tokens that other words share.
 CLASSES = 64
-#: Tokens: 0 is the border, then frequent words, then word endings.
 TOKENS = CLASSES * CLASSES
 ENDINGS = 512
-EMBED, HIDDEN = 16, 32
 BATCH = 8192
-#: Places worked on together within a batch.
-BLOCK = 2048
+#: Places of one class worked on together when a network learns, and places when it scores.
+CELL, BLOCK = 32, 2048
 ROUNDS = 2
 PART = 2048
+#: Spelled words that a task remembers.
+KNOWN = 1 << 18
 
 Weights = dict[str, np.ndarray]
-SHAPES = {"embed": (TOKENS, EMBED), "inner": (2 * SIDE * EMBED, HIDDEN), "inner_bias": (HIDDEN,),
-          "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "words": (CLASSES, HIDDEN, CLASSES), "word_bias": (CLASSES, CLASSES)}
+
+
+def shapes(classes: int, embed: int, hidden: int) -> dict[str, tuple[int, ...]]:
+    """Arrays of a network over `classes` ** 2 tokens."""
+    return {"embed": (classes * classes, embed), "inner": (2 * SIDE * embed, hidden), "inner_bias": (hidden,),
+            "classes": (hidden, classes), "class_bias": (classes,), "words": (classes, hidden, classes), "word_bias": (classes, classes)}
+
+
+SHAPES = shapes(CLASSES, 16, 32)
+BYTE_SHAPES = shapes(16, 8, 16)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -71,14 +84,13 @@ def _counted(total: Counter) -> pa.RecordBatch:
         [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame, folder: str) -> dict[bytes, int]:
-    """Tokens of the most frequent words; ties go by the word.
+def frequent_words(counts: DataFrame) -> dict[bytes, int]:
+    """Tokens of the most frequent words of `word_counts`; ties go by the word.
 
     The driver learns how many words there are for each power of two of their counts, and then
     only gets words above the power at which there are enough.
     """
     most = TOKENS - ENDINGS - 1
-    counts = stored(word_counts(docs), f"{folder}/words")
     least = 0
     for row in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():
         least, most = row["power"], most - row["count"]
@@ -89,40 +101,42 @@ def frequent_words(docs: DataFrame, folder: str) -> dict[bytes, int]:
     return {bytes(r["word"]): 1 + i for i, r in enumerate(rows)}
 
 
-def token_ids(words: list[bytes], tokens: dict[bytes, int]) -> np.ndarray:
-    """Token of each word; words without an own one get one by their last three bytes."""
-    ids = np.fromiter(map(tokens.get, words, repeat(-1)), np.int32, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b"\0\0" + b"".join(words), np.uint8).astype(np.int64)
+def _bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words in a row, and the length of each word."""
+    return np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def shared_tokens(words: list[bytes]) -> np.ndarray:
+    """Tokens of words without an own one, by their last three bytes."""
+    data, sizes = _bytes(words)
+    data = np.append(np.zeros(2, np.int64), data)
     ends = 1 + np.cumsum(sizes)
     tail = data[ends] + 257 * np.where(sizes > 1, data[ends - 1], 0) + 257 * 257 * np.where(sizes > 2, data[ends - 2], 0)
-    return np.where(ids < 0, TOKENS - ENDINGS + (tail * 40_503 >> 4) % ENDINGS, ids).astype(np.int32)
+    return (TOKENS - ENDINGS + (tail * 40_503 >> 4) % ENDINGS).astype(np.uint16)
 
 
-def first_weights(seed: int = 11) -> Weights:
+def first_weights(layout: dict[str, tuple[int, ...]] = SHAPES, seed: int = 11) -> Weights:
     rng = np.random.default_rng(seed)
-    w = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    w["embed"] = rng.normal(0, 0.3, SHAPES["embed"]).astype(np.float32)
-    w["inner"] = rng.normal(0, (2 * SIDE * EMBED) ** -0.5, SHAPES["inner"]).astype(np.float32)
+    w = {k: np.zeros(s, np.float32) for k, s in layout.items()}
+    w["embed"] = rng.normal(0, 0.3, layout["embed"]).astype(np.float32)
+    w["inner"] = rng.normal(0, layout["inner"][0] ** -0.5, layout["inner"]).astype(np.float32)
     for k in ("classes", "words"):
-        w[k] = rng.normal(0, 0.05, SHAPES[k]).astype(np.float32)
+        w[k] = rng.normal(0, 0.05, layout[k]).astype(np.float32)
     return w
 
 
-def windows(texts: list[str | None], tokens: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours (place, 2 * SIDE), token of each place, and the tokens of each text."""
-    words: list[bytes] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        found = split_words(text)
-        sizes[i] = len(found)
-        words += found
-    ids = token_ids(words, tokens)
-    places = SIDE + np.arange(len(ids)) + np.repeat(np.arange(len(texts)) * SIDE, sizes)
-    line = np.zeros(len(ids) + SIDE * (len(texts) + 1), np.int32)
+def windows(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Neighbours (place, 2 * SIDE) of each place; `ids` are runs of `sizes` tokens with borders between."""
+    places = SIDE + np.arange(len(ids)) + np.repeat(np.arange(len(sizes)) * SIDE, sizes)
+    line = np.zeros(len(ids) + SIDE * (len(sizes) + 1), ids.dtype)
     line[places] = ids
-    around = [k for k in range(-SIDE, SIDE + 1) if k]
-    return np.stack([line[places + k] for k in around], 1), ids, sizes
+    return np.stack([line[places + k] for k in range(-SIDE, SIDE + 1) if k], 1)
+
+
+def spelling(w: Weights, words: list[bytes]) -> np.ndarray:
+    """Log-probability of the bytes of each word given those beside them."""
+    data, sizes = _bytes(words)
+    return np.bincount(np.repeat(np.arange(len(words)), sizes), log_probs(w, windows(data, sizes), data), len(words))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -150,63 +164,73 @@ def _forward(w: Weights, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return seen, hidden, _softmax(_linear(hidden, w["classes"], w["class_bias"]))
 
 
-def _blocks(token: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[int, slice]]]]:
-    """Places by the class of their token, in blocks that fit a cache, with the run of each class."""
-    group = (token % CLASSES).astype(np.uint8)
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    for at in range(0, len(order), BLOCK):
-        part = group[at:at + BLOCK]
-        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-        yield order[at:at + BLOCK], [(int(part[i]), slice(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
-
-
 def log_probs(w: Weights, near: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Log-probability of each token given its neighbours."""
+    classes = w["class_bias"].size
     out = np.empty(len(token))
     for at in range(0, len(token), 1 << 17):
-        for places, runs in _blocks(token[at:at + (1 << 17)]):
-            places += at
-            own = token[places]
-            _, hidden, classes = _forward(w, near[places])
-            p = classes[np.arange(len(own)), own % CLASSES].astype(float)
-            for c, rows in runs:
-                inside = _softmax(_linear(hidden[rows], w["words"][c], w["word_bias"][c]))
-                p[rows] *= inside[np.arange(len(inside)), own[rows] // CLASSES]
-            out[places] = np.log(np.maximum(p, 1e-30))
+        group = (token[at:at + (1 << 17)] % classes).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        for start in range(0, len(order), BLOCK):
+            places = order[start:start + BLOCK]
+            part = group[places]
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            own = token[at + places]
+            _, hidden, p_class = _forward(w, near[at + places])
+            p = p_class[np.arange(len(own)), part]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                inside = _softmax(_linear(hidden[i:j], w["words"][part[i]], w["word_bias"][part[i]]))
+                p[i:j] *= inside[np.arange(j - i), own[i:j] // classes]
+            out[at + places] = np.log(np.maximum(p, 1e-30))
     return out
 
 
+def _cells(group: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order of their class, the row of each in cells of `CELL` rows of one class, the class of each cell."""
+    sizes = np.bincount(group, minlength=classes)
+    cells = -(-sizes // CELL)
+    shift = (np.cumsum(cells) - cells) * CELL - (np.cumsum(sizes) - sizes)
+    return np.argsort(group, kind="stable"), np.arange(len(group)) + np.repeat(shift, sizes), np.repeat(np.arange(classes), cells)
+
+
 def gradients(w: Weights, near: np.ndarray, token: np.ndarray) -> Weights:
     """Gradients of the mean negative log-probability."""
-    n = len(token)
-    grads = {k: np.zeros_like(v) for k, v in w.items()}
-    d_seen, seen_token, at = np.empty((n * 2 * SIDE, EMBED), w["embed"].dtype), np.empty(n * 2 * SIDE, np.uint16), 0
-    for places, runs in _blocks(token):
-        own, around = token[places], near[places]
-        seen, hidden, d_class = _forward(w, around)
-        d_class[np.arange(len(own)), own % CLASSES] -= 1
-        grads["classes"] += hidden.T @ d_class
-        grads["class_bias"] += d_class.sum(0)
-        d_hidden = d_class @ w["classes"].T
-        for c, rows in runs:
-            d_word = _softmax(_linear(hidden[rows], w["words"][c], w["word_bias"][c]))
-            d_word[np.arange(len(d_word)), own[rows] // CLASSES] -= 1
-            grads["words"][c] += hidden[rows].T @ d_word
-            grads["word_bias"][c] += d_word.sum(0)
-            d_hidden[rows] += d_word @ w["words"][c].T
-        d_hidden *= hidden > 0
-        grads["inner"] += seen.T @ d_hidden
-        grads["inner_bias"] += d_hidden.sum(0)
-        to = at + around.size
-        d_seen[at:to] = (d_hidden @ w["inner"].T).reshape(-1, EMBED)
-        seen_token[at:to] = around.ravel()
-        at = to
+    n, classes = len(token), w["class_bias"].size
+    order, row, cell = _cells((token % classes).astype(np.uint8), classes)
+    own, near = token[order], near[order]
+    seen, hidden, d_class = _forward(w, near)
+    d_class[np.arange(n), own % classes] -= 1
+    # All cells at once; rows that fill up a cell are zero and get no gradient.
+    filled = np.zeros((len(cell) * CELL, hidden.shape[1]), hidden.dtype)
+    filled[row] = hidden
+    filled = filled.reshape(len(cell), CELL, -1)
+    own_words = w["words"][cell]
+    d_word = filled @ own_words
+    d_word += w["word_bias"][cell][:, None]
+    d_word = _softmax(d_word.reshape(-1, classes))
+    d_word[row, own // classes] -= 1
+    empty = np.ones(len(d_word), bool)
+    empty[row] = False
+    d_word[empty] = 0
+    d_word = d_word.reshape(len(cell), CELL, classes)
+    ones = np.ones(max(n, CELL), d_word.dtype)
+    grads = {k: np.zeros_like(w[k]) for k in ("embed", "words")}
+    cuts = np.searchsorted(cell, np.arange(classes + 1)).tolist()
+    for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        np.matmul(filled[i:j].reshape((j - i) * CELL, hidden.shape[1]).T, d_word[i:j].reshape(-1, classes), out=grads["words"][c])
+    grads["word_bias"] = np.zeros_like(w["word_bias"])
+    np.add.at(grads["word_bias"], cell, ones[:CELL] @ d_word)
+    d_hidden = d_class @ w["classes"].T
+    d_hidden += (d_word @ own_words.transpose(0, 2, 1)).reshape(len(d_word) * CELL, -1)[row]
+    d_hidden *= hidden > 0
+    grads |= {"classes": hidden.T @ d_class, "class_bias": ones[:n] @ d_class, "inner": seen.T @ d_hidden, "inner_bias": ones[:n] @ d_hidden}
     # Sums by neighbour: sorting 16-bit tokens takes linear time.
-    order = np.argsort(seen_token, kind="stable")
-    seen_token = seen_token[order]
-    starts = np.flatnonzero(np.append(True, seen_token[1:] != seen_token[:-1]))
-    grads["embed"][seen_token[starts]] = np.add.reduceat(d_seen[order], starts, axis=0)
+    around = near.ravel()
+    d_seen = (d_hidden @ w["inner"].T).reshape(len(around), -1)
+    by_token = np.argsort(around, kind="stable")
+    around = around[by_token]
+    starts = np.flatnonzero(np.append(True, around[1:] != around[:-1]))
+    grads["embed"][around[starts]] = np.add.reduceat(d_seen[by_token], starts, axis=0)
     return {k: g / n for k, g in grads.items()}
 
 
@@ -223,60 +247,119 @@ class Adam:
             self.w[k] -= self.rate * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)
 
 
-def train_round(docs: DataFrame, tokens: dict[bytes, int], w: Weights, rate: float) -> Weights:
-    """Trains a copy in each task and averages the copies by the tokens they saw."""
+def train_round(rows: DataFrame, column: str, read: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], w: Weights, rate: float) -> Weights:
+    """Trains a copy in each task on `column` and averages the copies by the tokens they saw.
+
+    `read` makes the tokens of the rows, one after the other, and their number in each row.
+    """
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adam, seen = Adam({k: v.copy() for k, v in w.items()}, rate), 0
-        for batch in small_slices(batches, "text"):
-            near, token, _ = windows(batch.column("text").to_pylist(), tokens)
+        for batch in small_slices(batches, column, 1 << 20):
+            token, sizes = read(batch.column(column))
+            near = windows(token, sizes)
             for at in range(0, len(token), BATCH):
                 adam.update(gradients(adam.w, near[at:at + BATCH], token[at:at + BATCH]))
             seen += len(token)
         if seen:
-            flat = np.concatenate([adam.w[k].ravel() for k in SHAPES])
+            flat = np.concatenate([v.ravel() for v in adam.w.values()])
             parts = [flat[i:i + PART] for i in range(0, len(flat), PART)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)),
                  pa.array(parts, pa.list_(pa.float32()))], names=["part", "seen", "weights"])
 
-    copies = docs.select("text").mapInArrow(train, "part int, seen double, weights array<float>")
+    return averaged(rows.select(column).mapInArrow(train, "part int, seen double, weights array<float>"), w)
+
+
+def averaged(copies: DataFrame, w: Weights) -> Weights:
+    """Mean of the copies (part, seen, weights) by the tokens they saw; `w` where there is none."""
     cells = copies.select("part", "seen", F.posexplode("weights").alias("place", "weight"))
     mean = cells.groupBy("part", "place").agg((F.sum(F.col("weight") * F.col("seen")) / F.sum("seen")).alias("mean")).toPandas()
     if mean.empty:
         return w
     flat = np.zeros(sum(v.size for v in w.values()), np.float32)
     flat[mean["part"].to_numpy() * PART + mean["place"].to_numpy()] = mean["mean"].to_numpy()
-    ends = np.cumsum([w[k].size for k in SHAPES])[:-1]
-    return {k: part.reshape(SHAPES[k]) for k, part in zip(SHAPES, np.split(flat, ends), strict=True)}
+    ends = np.cumsum([v.size for v in w.values()])[:-1]
+    return {k: part.reshape(v.shape) for (k, v), part in zip(w.items(), np.split(flat, ends), strict=True)}
 
 
-def fit_network(docs: DataFrame, folder: str, rounds: int = ROUNDS, rate: float = 4e-3) -> tuple[dict[bytes, int], Weights]:
-    """Tokens and weights learned from all documents."""
-    tokens = frequent_words(docs, folder)
+def _stored_tokens(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    rows = ids.to_pylist()
+    return np.frombuffer(b"".join(rows), "<u2"), np.fromiter(map(len, rows), np.int64, len(rows)) // 2
+
+
+def _word_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return _bytes(words.to_pylist())
+
+
+def fit_spelling(counts: DataFrame, tokens: dict[bytes, int], rate: float = 4e-3) -> Weights:
+    """Byte network learned from each distinct word without a token of its own, once."""
+    least = counts.sparkSession.createDataFrame([(bytearray(w),) for w in tokens], "word binary")
+    return train_round(counts.join(F.broadcast(least), "word", "left_anti"), "word", _word_bytes, first_weights(BYTE_SHAPES), rate)
+
+
+def tokenized(docs: DataFrame, tokens: dict[bytes, int], byte_weights: Weights) -> DataFrame:
+    """doc_id, ids (two bytes a word), spelled (log-probability of the bytes of words without an own token)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, float] = {}
+        for batch in small_slices(batches, "text"):
+            texts = [split_words(t) for t in batch.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            words = [w for t in texts for w in t]
+            ids = np.fromiter(map(tokens.get, words, repeat(0)), np.uint16, len(words))
+            other = np.flatnonzero(ids == 0)
+            spelled = np.zeros(len(texts))
+            if len(other):
+                found = [words[i] for i in other]
+                new = list(set(found).difference(known))
+                if len(known) + len(new) > KNOWN:
+                    known, new = {}, list(set(found))
+                known.update(zip(new, spelling(byte_weights, new).tolist() if new else [], strict=True))
+                ids[other] = shared_tokens(found)
+                owner = np.repeat(np.arange(len(texts)), sizes)[other]
+                spelled = np.bincount(owner, np.fromiter(map(known.__getitem__, found), float, len(found)), len(texts))
+            cuts = np.append(0, np.cumsum(sizes)) * 2
+            data = ids.astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([data[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array(spelled)],
+                names=["doc_id", "ids", "spelled"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, ids binary, spelled double")
+
+
+def fit_network(cut: DataFrame, rounds: int = ROUNDS, rate: float = 4e-3) -> Weights:
+    """Weights learned from all rows of `tokenized`."""
     w = first_weights()
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
     for k in range(rounds):
-        w = train_round(docs.filter(turn == k), tokens, w, rate / (1 + k))
-    return tokens, w
+        w = train_round(cut.filter(turn == k), "ids", _stored_tokens, w, rate / (1 + k))
+    return w
 
 
-def score_documents(docs: DataFrame, tokens: dict[bytes, int], w: Weights) -> DataFrame:
-    """doc_id, n_tokens, log_prob (the sum) and mean_log_prob of each document."""
+def score_documents(cut: DataFrame, w: Weights) -> DataFrame:
+    """doc_id, n_tokens, log_prob (the sum) and mean_log_prob (a word) of each row of `tokenized`."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "text"):
-            near, token, sizes = windows(batch.column("text").to_pylist(), tokens)
+        for batch in small_slices(batches, "ids", 1 << 20):
+            token, sizes = _stored_tokens(batch.column("ids"))
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            total = np.bincount(owner, log_probs(w, near, token), len(sizes)).astype(float)
+            total = batch.column("spelled").to_numpy() + np.bincount(owner, log_probs(w, windows(token, sizes), token), len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(total), pa.array(total / np.maximum(sizes, 1))],
                 names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return cut.mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+
+
+def fit_tokens(docs: DataFrame, folder: str) -> tuple[dict[bytes, int], Weights]:
+    """Own tokens of words and the byte network for the others, from all documents."""
+    counts = stored(word_counts(docs), f"{folder}/words")
+    tokens = frequent_words(counts)
+    return tokens, fit_spelling(counts, tokens)
 
 
 def pseudo_likelihood(docs: DataFrame, folder: str) -> DataFrame:
-    """Scores of all documents by a network that all documents trained."""
-    return score_documents(docs, *fit_network(docs, folder))
+    """Scores of all documents by networks that all documents trained."""
+    cut = stored(tokenized(docs, *fit_tokens(docs, folder)), f"{folder}/tokens")
+    return score_documents(cut, fit_network(cut))

@@ -150,30 +150,82 @@ def test_quality_edges(spark):
     assert quality.drop_low_quality(docs, weights).collect() == docs.collect()
 
 
-def test_pseudo_likelihood_equals_the_definition():
-    rng = np.random.default_rng(5)
-    w = {k: v + rng.normal(0, 0.1, v.shape) for k, v in lm_score.first_weights().items()}
+def _plain_log_prob(w, seen, token):
+    """Log-probability of a token by the formulas, without blocks."""
+    k = w["class_bias"].size
+    h = np.maximum(np.concatenate([w["embed"][s] for s in seen]) @ w["inner"] + w["inner_bias"], 0)
+    a, b = h @ w["classes"] + w["class_bias"], h @ w["words"][token % k] + w["word_bias"][token % k]
+    return a[token % k] - np.log(np.exp(a).sum()) + b[token // k] - np.log(np.exp(b).sum())
+
+
+def _moved(layout, seed=5):
+    rng = np.random.default_rng(seed)
+    return {k: v + rng.normal(0, 0.1, v.shape) for k, v in lm_score.first_weights(layout).items()}
+
+
+def test_pseudo_likelihood_equals_the_definition(spark):
+    w, byte_w = _moved(lm_score.SHAPES), _moved(lm_score.BYTE_SHAPES)
     known = {b"the": 1, b"cat": 2}
 
     def token_of(word):
         a, b, c = (*word[:-4:-1], 0, 0)[:3]
         return known.get(word, lm_score.TOKENS - lm_score.ENDINGS + ((a + 257 * b + 257 * 257 * c) * 40_503 >> 4) % lm_score.ENDINGS)
 
-    texts = ["The cat sat", None, "cat", "a b c d e f the"]
-    near, token, sizes = lm_score.windows(texts, known)
-    assert sizes.tolist() == [3, 0, 1, 7]
-    at = 0
-    for text in texts:
-        ids = [token_of(x) for x in lm_score.split_words(text)]
-        padded = [0, 0, *ids, 0, 0]
-        for i in range(len(ids)):
-            seen = padded[i:i + 2] + padded[i + 3:i + 5]
-            assert near[at].tolist() == seen and token[at] == ids[i]
-            h = np.maximum(np.concatenate([w["embed"][s] for s in seen]) @ w["inner"] + w["inner_bias"], 0)
-            a, b = h @ w["classes"] + w["class_bias"], h @ w["words"][ids[i] % 64] + w["word_bias"][ids[i] % 64]
-            want = a[ids[i] % 64] - np.log(np.exp(a).sum()) + b[ids[i] // 64] - np.log(np.exp(b).sum())
-            assert np.isclose(lm_score.log_probs(w, near[at:at + 1], token[at:at + 1])[0], want)
-            at += 1
+    def plain(weights, ids):
+        line = [0, 0, *ids, 0, 0]
+        return sum(_plain_log_prob(weights, line[i:i + 2] + line[i + 3:i + 5], t) for i, t in enumerate(ids))
+
+    texts = ["The cat sat", None, "cat", "a b c d e f the", "naïve sat sat", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_score.score_documents(lm_score.tokenized(docs, known, byte_w), w).collect()}
+    for k, text in enumerate(texts):
+        words = lm_score.split_words(text)
+        want = plain(w, [token_of(x) for x in words]) + sum(plain(byte_w, list(x)) for x in words if x not in known)
+        assert got[k]["n_tokens"] == len(words) and np.isclose(got[k]["log_prob"], want, rtol=1e-5)
+
+
+def test_every_byte_of_a_rare_word_counts(spark):
+    byte_w = _moved(lm_score.BYTE_SHAPES)
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "xbcdefgh"), (3, "abcdXfgh")], "doc_id long, text string")
+    assert len({r["spelled"] for r in lm_score.tokenized(docs, {}, byte_w).collect()}) == 3
+
+
+@pytest.mark.parametrize("layout", [lm_score.shapes(4, 3, 5), lm_score.BYTE_SHAPES])
+def test_gradients_are_those_of_the_mean_log_probability(layout):
+    rng = np.random.default_rng(8)
+    w = _moved(layout)
+    n, most = 150, w["embed"].shape[0]
+    near, token = rng.integers(0, most, (n, 4)).astype(np.uint16), (rng.integers(0, most, n) ** 2 // most).astype(np.uint16)
+    loss = lambda x: -np.mean([_plain_log_prob(x, seen, int(t)) for seen, t in zip(near, token, strict=True)])
+    for k, g in lm_score.gradients(w, near, token).items():
+        assert g.shape == w[k].shape
+        for place in rng.integers(0, g.size, 8):
+            up, down = ({**w, k: w[k].copy()} for _ in range(2))
+            up[k].flat[place] += 1e-5
+            down[k].flat[place] -= 1e-5
+            assert np.isclose(g.flat[place], (loss(up) - loss(down)) / 2e-5, rtol=1e-3, atol=1e-7)
+
+
+def test_copies_are_averaged_by_the_tokens_they_saw(spark):
+    w = lm_score.first_weights(lm_score.BYTE_SHAPES)
+    size = sum(v.size for v in w.values())
+    flat = np.arange(size, dtype=float)
+    rows = [(p, seen, (flat[p * lm_score.PART:(p + 1) * lm_score.PART] * scale).tolist())
+            for seen, scale in ((1.0, 1.0), (3.0, 2.0)) for p in range(-(-size // lm_score.PART))]
+    copies = spark.createDataFrame(rows, "part int, seen double, weights array<double>")
+    mean = lm_score.averaged(copies, w)
+    assert np.allclose(np.concatenate([v.ravel() for v in mean.values()]), flat * 1.75)
+    assert {k: v.shape for k, v in mean.items()} == {k: v.shape for k, v in w.items()}
+    assert lm_score.averaged(copies.limit(0), w) is w
+
+
+def test_spelling_learns_words(spark):
+    rng = random.Random(4)
+    part = lambda: "".join(rng.choice("bdg") + rng.choice("aei") for _ in range(4))
+    counts = spark.createDataFrame([(bytearray(part().encode()), 1) for _ in range(60_000)], "word binary, n long")
+    w = lm_score.fit_spelling(counts.repartition(2), {}, rate=0.02)
+    like, unlike = lm_score.spelling(w, [b"badegiba", b"qzxkvwpj"])
+    assert like > unlike + 5
 
 
 def test_pseudo_likelihood_learns(spark):
@@ -183,8 +235,10 @@ def test_pseudo_likelihood_learns(spark):
     shuffled = grammar(40).split()
     rng.shuffle(shuffled)
     probe = [(1, grammar(40), "", ""), (2, " ".join(shuffled), "", "")]
-    tokens, w = lm_score.fit_network(spark.createDataFrame(rows, SCHEMA).repartition(2), work_dir(spark), rate=0.02)
-    got = {r["doc_id"]: r for r in lm_score.score_documents(spark.createDataFrame(probe, SCHEMA), tokens, w).collect()}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    known = lm_score.fit_tokens(docs, work_dir(spark))
+    w = lm_score.fit_network(lm_score.tokenized(docs, *known), rate=0.02)
+    got = {r["doc_id"]: r for r in lm_score.score_documents(lm_score.tokenized(spark.createDataFrame(probe, SCHEMA), *known), w).collect()}
     assert got[1]["mean_log_prob"] > got[2]["mean_log_prob"] + 0.5
     assert got[1]["n_tokens"] == 320 and np.isclose(got[1]["log_prob"], 320 * got[1]["mean_log_prob"])
 
@@ -195,7 +249,7 @@ def test_frequent_words_are_the_most_frequent(spark, monkeypatch):
     words = [f"w{min(rng.randrange(1, 200), rng.randrange(1, 200))}" for _ in range(3000)]
     docs = spark.createDataFrame([(k, " ".join(words[k::7]), "", "") for k in range(7)], SCHEMA)
     best = sorted(Counter(words).items(), key=lambda x: (-x[1], x[0]))[:10]
-    assert lm_score.frequent_words(docs, work_dir(spark)) == {w.encode(): 1 + i for i, (w, _) in enumerate(best)}
+    assert lm_score.frequent_words(lm_score.word_counts(docs)) == {w.encode(): 1 + i for i, (w, _) in enumerate(best)}
 
 
 def test_pseudo_likelihood_edges(spark):
