@@ -376,12 +376,12 @@ def snk_1(fx: Fixtures):
 
 @query("snk_2", "SELECT scan_id, CASE WHEN k % 3 = 0 THEN risk_score / 2 ELSE risk_score END AS risk_score FROM fx_scans")
 def snk_2(fx: Fixtures):
-    base, out = work_dir(fx.spark), work_dir(fx.spark)
+    base = work_dir(fx.spark)
     day = F.expr(_DAY)
-    fx.scans.withColumn("created_date", day).write.parquet(f"{base}/scans")
+    fx.scans.withColumn("created_date", day).write.partitionBy("created_date").parquet(f"{base}/scans")
     changed = fx.scans.where("k % 3 = 0").withColumn("risk_score", c("risk_score") / 2).withColumn("created_date", day)
-    sink.replace_scans(fx.spark, base, changed, out)
-    return fx.spark.read.parquet(out).select("scan_id", "risk_score")
+    sink.replace_scans(fx.spark, base, changed, work_dir(fx.spark))
+    return fx.spark.read.parquet(f"{base}/scans").select("scan_id", "risk_score")
 
 
 _CNT = lambda s: f"CASE WHEN ok THEN CAST(count(*) FILTER (f.severity = '{s}') AS VARCHAR) ELSE '' END"

@@ -25,11 +25,31 @@ def read_scan_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{base}/{name}") for name in SCAN_TABLES}
 
 
-def replace_scans(spark: SparkSession, base: str, incoming: DataFrame, out: str) -> None:
-    """Newest row per scan id over stored and incoming rows, written as a new table version."""
-    stored = spark.read.parquet(f"{base}/scans")
-    merged = upsert_scans(stored, incoming.select(*stored.columns)).hint("rebalance", "created_date")
-    merged.write.mode("overwrite").partitionBy("created_date").parquet(out)
+def replace_scans(spark: SparkSession, base: str, incoming: DataFrame, scratch: str) -> None:
+    """Newest row per scan id over stored and incoming rows, in place.
+
+    Only dates that hold or get one of the incoming scans are read whole and written again; other dates
+    keep their files.  The merged dates are stored in `scratch` before any file of the table is replaced, so a run
+    that is cut off can be repeated, and a repeated run leaves the same rows.  The touched dates go to the
+    driver, which lists a folder for each of them anyway.  A date that loses its last scan stays as an empty folder.
+    """
+    path = f"{base}/scans"
+    stored = spark.read.parquet(path)
+    incoming = incoming.withColumn("created_date", F.col("created_date").cast(stored.schema["created_date"].dataType)).select(*stored.columns)
+    moved = stored.select("scan_id", "created_date").join(incoming.select("scan_id").distinct(), "scan_id", "left_semi")
+    held = {r["created_date"] for r in moved.select("created_date").distinct().collect()}
+    gets = {r["created_date"] for r in incoming.select("created_date").distinct().collect()}
+    day = F.col("created_date")
+    # Null is a date of its own here: rows without one share a folder.
+    touched = day.isin(list((held | gets) - {None})) | (day.isNull() & F.lit(None in held | gets))
+    upsert_scans(stored.where(touched), incoming).write.mode("overwrite").parquet(scratch)
+    merged = spark.read.schema(stored.schema).parquet(scratch)
+    merged.hint("rebalance", "created_date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(path)
+    left = {r["created_date"] for r in merged.select("created_date").distinct().collect()}
+    for date in held - left:
+        folder = "__HIVE_DEFAULT_PARTITION__" if date is None else date
+        merged.drop("created_date").limit(0).write.mode("overwrite").parquet(f"{path}/created_date={folder}")
 
 
 BATCH_COLUMNS = [

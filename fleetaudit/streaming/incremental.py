@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..schemas import ARTIFACTS
@@ -17,19 +17,17 @@ def append_batches(stream: DataFrame, transform: BatchFn, out: str, checkpoint:
     """Run `transform` on every micro-batch and write its rows once.
 
     A batch writes its own `batch_id` partition in overwrite mode, so a batch
-    repeated after a failure replaces its rows instead of doubling them.  With `keys`,
-    rows whose key an earlier batch wrote are left out: the first row of a key wins
-    over the whole stream.  Only the keys of earlier rows are read for that.
+    repeated after a failure replaces its rows instead of doubling them.  With `keys`, one row of
+    each key is written over the whole stream, from the first batch that has the key, however
+    late or early its event is; see `_append_unseen`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch)
-        if keys and batch_id > 0:
-            kept = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
-            written = rows.sparkSession.read.schema(kept).parquet(out)
-            seen = written.where(F.col("batch_id") < batch_id).select(*keys).distinct()
-            rows = rows.join(seen, keys, "left_anti").select(*rows.columns)
-        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if keys:
+            _append_unseen(rows, out, checkpoint, keys)
+        else:
+            rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
         stream.writeStream.outputMode(mode).foreachBatch(write)
@@ -39,6 +37,25 @@ def append_batches(stream: DataFrame, transform: BatchFn, out: str, checkpoint:
     )
 
 
+def _append_unseen(rows: DataFrame, out: str, checkpoint: str, keys: list[str]) -> None:
+    """Write the rows whose key no earlier call with this `checkpoint` had.
+
+    The keys are keyed state of an inner stream over the rows, kept by key on the executors and saved as a
+    log of changes: a call touches the keys of its own rows and never those of earlier output.  Rows are
+    appended to `<checkpoint>-rows` first, so a repeated batch adds copies, which the state drops, and
+    an inner batch cut off by a failure still finds its files.  Keys are kept for good: first wins without
+    a horizon (`skip_seen` has one).
+    """
+    landed = f"{checkpoint}-rows"
+    rows.write.mode("append").parquet(landed)
+    # The session of a micro-batch is the stream's own copy; its settings reach no other query.
+    session = rows.sparkSession
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    unseen = session.readStream.schema(rows.schema).parquet(landed).dropDuplicates(keys)
+    append_batches(unseen, lambda batch: batch, out, f"{checkpoint}-seen").awaitTermination()
+
+
 def incremental_scan(spark: SparkSession, source: str, out: str, checkpoint: str, transform: BatchFn,
                      schema: str = ARTIFACTS, files_per_batch: int | None = None,
                      keys: list[str] | None = None) -> StreamingQuery:

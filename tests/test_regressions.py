@@ -151,6 +151,64 @@ def test_first_wins_over_the_whole_stream(spark, tmp_path):
     assert written.count() == 4 == written.select("dedupe_key").distinct().count()
 
 
+def test_a_late_first_row_stays_and_a_repeated_batch_adds_nothing(spark, tmp_path):
+    schema = "k string, at int"
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        inc.append_batches(stream, lambda batch: batch, str(tmp_path / "out"), str(tmp_path / "checkpoint"), keys=["k"]).awaitTermination()
+        return sorted((r["k"], r["at"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    put("1", [("a", 5), ("b", 5)])
+    assert run() == [("a", 5), ("b", 5)]
+    # An earlier event that comes later loses against the row already written.
+    put("2", [("a", 1), ("c", 1)])
+    assert run() == [("a", 5), ("b", 5), ("c", 1)]
+    # A batch handed over twice, as after a failure.
+    batch = spark.createDataFrame([("c", 1), ("d", 9)], schema)
+    for _ in range(2):
+        inc._append_unseen(batch, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["k"])
+    assert run() == [("a", 5), ("b", 5), ("c", 1), ("d", 9)]
+
+
+def test_a_batch_reads_no_output_of_earlier_ones(spark, tmp_path):
+    out, written = tmp_path / "out", []
+    for name in "ab":
+        spark.createDataFrame([(name,), ("x",)], "k string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema("k string").parquet(str(tmp_path / "in" / "*"))
+        inc.append_batches(stream, lambda batch: batch, str(out), str(tmp_path / "checkpoint"), keys=["k"]).awaitTermination()
+        newest = max(out.iterdir(), key=lambda p: p.name)
+        written.append(sorted(r["k"] for r in spark.read.parquet(str(newest)).collect()))
+        # Unreadable from here on; a batch that looked at it would fail.
+        for file in newest.glob("*.parquet"):
+            file.write_bytes(b"no table")
+    assert written == [["a", "x"], ["b"]]
+
+
+def test_replaced_scans_touch_their_dates_only(spark, tmp_path):
+    schema = "scan_id string, created_at string, risk_score double, created_date string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    frame([("s1", "1", 1.0, "2024-01-01"), ("s2", "1", 2.0, "2024-01-01"), ("s3", "1", 3.0, "2024-01-02"), ("s4", "1", 4.0, "2024-01-03"),
+           ("s5", "1", 5.0, None)]).write.partitionBy("created_date").parquet(str(tmp_path / "scans"))
+    files = lambda day: sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / "scans" / f"created_date={day}").glob("*.parquet"))
+    before = {day: files(day) for day in ("2024-01-01", "2024-01-02", "2024-01-03", "__HIVE_DEFAULT_PARTITION__")}
+    # s1 changes in place, s4 moves to a new date and leaves its old one empty.
+    incoming = frame([("s1", "2", 9.0, "2024-01-01"), ("s4", "2", 8.0, "2024-01-09"), ("s6", "2", 6.0, "2024-01-09")])
+    want = [("s1", 9.0, "2024-01-01"), ("s2", 2.0, "2024-01-01"), ("s3", 3.0, "2024-01-02"), ("s4", 8.0, "2024-01-09"),
+            ("s5", 5.0, "None"), ("s6", 6.0, "2024-01-09")]
+    for k in range(2):
+        sink.replace_scans(spark, str(tmp_path), incoming, str(tmp_path / f"scratch{k}"))
+        got = spark.read.parquet(str(tmp_path / "scans")).collect()
+        assert sorted((r["scan_id"], r["risk_score"], str(r["created_date"])) for r in got) == want
+        for day in ("2024-01-02", "__HIVE_DEFAULT_PARTITION__"):
+            assert files(day) == before[day]
+    assert files("2024-01-01") != before["2024-01-01"]
+    # The row without a date is replaced as well.
+    sink.replace_scans(spark, str(tmp_path), frame([("s5", "2", 7.0, None)]), str(tmp_path / "scratch2"))
+    assert spark.read.parquet(str(tmp_path / "scans")).where("scan_id = 's5'").first()["risk_score"] == 7.0
+
+
 def test_user_rules_run_once_and_fail_per_application(spark, tmp_path):
     runs = tmp_path / "runs"
     runs.mkdir()
