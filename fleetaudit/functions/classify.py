@@ -72,10 +72,19 @@ def display_category(category: Column) -> Column:
     return out.otherwise("Other")
 
 
+def _at_word(pattern: str) -> str:
+    """The same alternatives behind one word boundary, so they are tried where a word starts and not at every letter."""
+    flag, bound = "(?i)", r"\b"
+    words = pattern.removeprefix(flag).split("|")
+    if not pattern.startswith(flag) or "(" in pattern[len(flag):] or not all(w.startswith(bound) for w in words):
+        return pattern
+    return f"{flag}{bound}(?:{'|'.join(w.removeprefix(bound) for w in words)})"
+
+
 def canonical_category(raw: Column) -> Column:
     text = F.coalesce(raw, F.lit(""))
     exact = F.upper(strip(text))
     out = F.when(exact == "", "OTHER").when(exact.isin(CANONICAL_CATEGORIES), exact)
     for pattern, name in CATEGORY_PATTERNS:
-        out = out.when(text.rlike(pattern), name)
+        out = out.when(text.rlike(_at_word(pattern)), name)
     return out.otherwise("OTHER")

@@ -189,10 +189,19 @@ def redact_for_log(c: Column) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
+# ASCII characters that are neither letters nor digits.
+_MARKS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
+
+
 def normalize_name(c: Column) -> Column:
     """Finding title reduced to lower-case words separated by one blank."""
-    s = F.regexp_replace(F.lower(c), r"[^a-zA-Z0-9\s]", " ")
-    return F.coalesce(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(""))
+    low = F.lower(c)
+    # Plain ASCII, nearly every title, takes no regular expression: no mark is left, so "<>" stands for a blank and
+    # "><", where two of them meet, goes.
+    blank = F.replace(F.translate(low, _MARKS, " " * len(_MARKS)), F.lit(" "), F.lit("<>"))
+    plain = F.replace(F.replace(blank, F.lit("><"), F.lit("")), F.lit("<>"), F.lit(" "))
+    words = F.when(F.octet_length(low) == F.length(low), plain).otherwise(F.regexp_replace(low, "[^a-zA-Z0-9]+", " "))
+    return F.coalesce(F.trim(words), F.lit(""))
 
 
 def neutralize_formula(c: Column) -> Column:

@@ -39,11 +39,17 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def common_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    return signatures(ours).intersect(signatures(theirs))
+    """Signatures of both sides, each once; one grouping, as an intersection would move the distinct rows again."""
+    return _split(ours, theirs, F.col("in_ours") & F.col("in_theirs"))
 
 
 def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
-    return signatures(a).subtract(signatures(b))
+    """Signatures of the first side alone, each once, by one grouping."""
+    return _split(a, b, F.col("in_ours") & ~F.col("in_theirs"))
+
+
+def _split(ours: DataFrame, theirs: DataFrame, wanted: Column) -> DataFrame:
+    return matched_signatures(ours, theirs).where(wanted).drop("in_ours", "in_theirs")
 
 
 def all_hashes(ours: DataFrame, theirs: DataFrame) -> DataFrame:

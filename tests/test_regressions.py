@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from fleetaudit.operators import admission, evaluation, scoring
+from fleetaudit.catalogs import CATEGORY_PATTERNS
+from fleetaudit.functions.classify import _at_word, canonical_category
+from fleetaudit.functions.text import normalize_name
+from fleetaudit.operators import admission, comparison, evaluation, scoring
 from fleetaudit.operators.ordinals import with_ordinal
 from fleetaudit.operators.rules import patterns as P, registry as reg, text_scan
 from fleetaudit.operators.rules.catalog import pack_seq
@@ -209,6 +212,35 @@ def test_replaced_scans_touch_their_dates_only(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "scans")).where("scan_id = 's5'").first()["risk_score"] == 7.0
 
 
+def test_names_and_categories_as_by_plain_patterns(spark):
+    """Faster forms of both normalisers against the patterns they stand for."""
+    names = [None, "", " ", "A--b", "<>", "a<>b", "a><b", "x  <  >  y", "\x00Q\x7f\x1fz\t\n", "Tr\u00e4ger  KEY\u212a", "\u0130x", "a\u00a0b", "9" + " -" * 40 + "Z_",
+             *("".join(chr(i) for i in range(k, k + 7)) + "w" for k in range(0, 130, 5))]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    slow = F.regexp_replace(F.lower("n"), r"[^a-zA-Z0-9\s]", " ")
+    slow = F.coalesce(F.trim(F.regexp_replace(slow, r"\s+", " ")), F.lit(""))
+    rows = df.select(slow.alias("a"), normalize_name(F.col("n")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    words = ["hash", "hashed", "md5", "md5x", "xmd5", "Api-Key", "apikey", "api  key", "World Readable", "reworld readable", "\u00e9ssl", "SSLx", "none", "_sdk", "mis config"]
+    df = spark.createDataFrame([(f"{a}{m}{b}",) for a in ("", "a ", "_", "\u00e9") for b in words for m in ("", ".")], "c string")
+    got = df.select(canonical_category(F.col("c")).alias("got"), *[F.col("c").rlike(p).alias(n) for p, n in CATEGORY_PATTERNS]).collect()
+    assert len({r["got"] for r in got}) >= 5
+    assert all(r["got"] == next((n for _, n in CATEGORY_PATTERNS if r[n]), "OTHER") for r in got)
+    # No letter is tried by itself: a boundary comes first, once.
+    assert all(_at_word(p).count(r"\b") < p.count(r"\b") for p, _ in CATEGORY_PATTERNS)
+
+
+def test_signature_sets_take_one_grouping(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "apk_hash string, finding_category string, finding_name string, normalized_name string")
+    a = frame([("h", "C", "N", "n"), ("h", "C", "N", "n"), (None, "C", "M", "m"), ("h", "C", "-", ""), ("g", "C", "N", "n")])
+    b = frame([("h", "C", "n", "n"), (None, "C", "m", "m"), (None, "C", "m", "m"), ("k", "D", "N", "n")])
+    assert {tuple(r) for r in comparison.common_signatures(a, b).collect()} == {("h", "C", "n"), (None, "C", "m")}
+    assert [tuple(r) for r in comparison.only_in_first(a, b).collect()] == [("g", "C", "n")]
+    assert [tuple(r) for r in comparison.only_in_first(b, a).collect()] == [("k", "D", "n")]
+    for op in (comparison.common_signatures, comparison.only_in_first):
+        assert op(a, b)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_user_rules_run_once_and_fail_per_application(spark, tmp_path):
     runs = tmp_path / "runs"
     runs.mkdir()
