@@ -405,14 +405,20 @@ def snk_3(fx: Fixtures):
     return back.select(*[F.coalesce(c(f"`{n}`"), F.lit("")).alias(n) for n in back.columns])
 
 
+def _stored_outcomes(fx: Fixtures):
+    """Expected and found rules of each application, written once: records, totals and rule metrics all read them."""
+    path = work_dir(fx.spark)
+    ev.outcomes(fx.findings, _matched(fx)).write.parquet(path)
+    return fx.spark.read.parquet(path)
+
+
 @query("snk_5", MATCHED + SCORE.replace("WITH ", ", ", 1) + f"""SELECT a.app_id, coalesce(t.score, 0.0) AS risk_score, coalesce(d.rules, '') AS detected_rules,
     CAST(coalesce(p.n, 0) AS BIGINT) AS number_of_permissions, m.true_positives, m.false_positives, m.false_negatives, m.precision, m.recall, m.f1_score
     FROM fx_finding_apps a LEFT JOIN (SELECT app_id, count(*) AS n FROM fx_permissions GROUP BY 1) p USING (app_id) LEFT JOIN totals t USING (app_id) LEFT JOIN (SELECT app_id, string_agg(DISTINCT rule_id, ';' ORDER BY rule_id) AS rules FROM fx_findings GROUP BY 1) d USING (app_id)
     LEFT JOIN ({APP_METRICS}) m USING (app_id)""")
 def snk_5(fx: Fixtures):
     base = work_dir(fx.spark)
-    matched = _matched(fx)
-    sets = ev.outcomes(fx.findings, matched)
+    sets = _stored_outcomes(fx)
     flags = ev.confusion(sets)
     scores = scoring.app_scores(fx.findings, fx.finding_apps).select("app_id", c("score").alias("risk_score"), c("rating").alias("risk_rating"))
     perms = fx.permissions.groupBy("app_id").agg(F.count("*").alias("number_of_permissions"))
@@ -431,7 +437,7 @@ def snk_5(fx: Fixtures):
 def snk_5_rules(fx: Fixtures):
     """Metrics of each rule and, under an empty rule id, of the whole run, read back from the sink."""
     base = work_dir(fx.spark)
-    sets = ev.outcomes(fx.findings, _matched(fx))
+    sets = _stored_outcomes(fx)
     flags = ev.confusion(sets)
     sink.write_evaluation(sets.select("app_id"), ev.overall_metrics(flags), ev.rule_metrics(flags), base)
     metrics = ["true_positives", "false_positives", "false_negatives", "precision", "recall", "f1_score"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from fleetaudit.catalogs import CATEGORY_PATTERNS
+from fleetaudit.fixtures import views
 from fleetaudit.functions.classify import _at_word, canonical_category
 from fleetaudit.functions.text import normalize_name
 from fleetaudit.operators import admission, comparison, evaluation, scoring
@@ -230,6 +231,35 @@ def test_names_and_categories_as_by_plain_patterns(spark):
     assert all(_at_word(p).count(r"\b") < p.count(r"\b") for p, _ in CATEGORY_PATTERNS)
 
 
+def test_spark_forms_of_views_have_the_same_rows(spark, tmp_path):
+    """Null and repeated keys included; the distinct rows move by their key alone."""
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int"
+    spark.createDataFrame([(k, 1, 2, n) for k in [None, *range(40)] for n in (1, 1, 2)], schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    fx, plain = views.Fixtures(spark, str(tmp_path)), spark.read.parquet(str(tmp_path / "lineitem.parquet"))
+    plain.createOrReplaceTempView("plain_lineitem")
+    for name in ("fx_finding_apps", "fx_truth"):
+        was = spark.sql(views.with_views(f"SELECT * FROM {name}", views.VIEWS).format(lineitem="plain_lineitem", array="array"))
+        now = fx.view(name)
+        assert now.dtypes == was.dtypes and sorted(map(str, now.collect())) == sorted(map(str, was.collect()))
+        assert fx.view(name)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_evaluation_runs_its_records_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    schema = "app_id string, score double, rules array<string>, note string"
+    records = spark.createDataFrame([("a", 1.5, ["R"], 'x, "y" z'), ("b", None, None, "")], schema).mapInArrow(seen, schema)
+    sink.write_evaluation(records, spark.range(1), spark.range(1), str(tmp_path))
+    assert runs.value == 2
+    flat = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "apps_csv"))
+    assert sorted((r["app_id"], r["score"], r["note"]) for r in flat.collect()) == [("a", "1.5", 'x, "y" z'), ("b", None, None)]
+
+
 def test_signature_sets_take_one_grouping(spark):
     frame = lambda rows: spark.createDataFrame(rows, "apk_hash string, finding_category string, finding_name string, normalized_name string")
     a = frame([("h", "C", "N", "n"), ("h", "C", "N", "n"), (None, "C", "M", "m"), ("h", "C", "-", ""), ("g", "C", "N", "n")])
