@@ -1,5 +1,7 @@
 """Inputs that once gave wrong results or ended an executor."""
 
+import gzip
+
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -11,7 +13,8 @@ from fleetaudit.operators import admission, comparison, evaluation, scoring
 from fleetaudit.operators.ordinals import with_ordinal
 from fleetaudit.operators.rules import patterns as P, registry as reg, text_scan
 from fleetaudit.operators.rules.catalog import pack_seq
-from fleetaudit.sinks import tables as sink
+from fleetaudit.queries import tables
+from fleetaudit.sinks import reports, tables as sink
 from fleetaudit.sources import archives, external, targets
 from fleetaudit.streaming import incremental as inc
 
@@ -327,3 +330,18 @@ def test_ragged_rows_are_listed(spark, tmp_path):
     assert rows == {("ab", "weak", "HIGH"), ("cd", "", ""), ("ef", "n", "LOW")}
     problems = {(r["record"], r["reason"], r["kept"]) for r in external.external_csv_problems(spark, path).collect()}
     assert problems == {("cd,t", "ragged", True), ("ef,t,c,n,low,more", "ragged", True), (",t,c,n,low", "no hash", False)}
+
+
+def test_report_rows_move_before_they_become_lines(spark, tmp_path, sf_dir):
+    fx = views.Fixtures(spark, sf_dir)
+    rows, path = tables._report(fx, reports.report_rows), str(tmp_path / "out")
+    # Prose is put in after the rows are sorted, so none of it travels.
+    assert not {"description", "impact", "remediation", "line"} & set(rows.columns)
+    reports.write_reports(rows, path)
+    written = spark.read.text(path).groupBy("value").count()
+    lines = reports.lines_of(rows).select(F.concat_ws("\t", "app_id", "line").alias("value")).groupBy("value").count()
+    assert written.exceptAll(lines).isEmpty() and lines.exceptAll(written).isEmpty()
+    assert all(f.name.endswith(".gz") for f in (tmp_path / "out").glob("part-*"))
+    # Files follow each other in report order.
+    found = [line.split("\t")[0] for f in sorted((tmp_path / "out").glob("part-*")) for line in gzip.open(f, "rt").read().split("\n") if line]
+    assert found == sorted(found)
