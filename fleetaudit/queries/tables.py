@@ -241,7 +241,7 @@ def src_14_forms(fx: Fixtures):
         F.when(~short, F.array(F.struct(c("finding_name").alias("title"), c("raw_category").alias("category"), F.lit("medium").alias("severity")))).alias("findings"),
         F.when(short, F.array("raw_category")).alias("detected_rules"))
     first = fx.ours.where(h < "5")
-    documents = first.count() // 500 + 1
+    documents = first.count() // 10_000 + 1
     (first.groupBy(F.pmod(F.xxhash64("apk_hash"), F.lit(documents)).alias("bucket")).agg(F.collect_list(record).alias("apks"))
      .select("bucket", F.to_json(F.struct("apks"), {"pretty": "true"}).alias("value"))
      .write.partitionBy("bucket").text(path))
@@ -250,9 +250,11 @@ def src_14_forms(fx: Fixtures):
     fx.ours.where(h >= "a").select(
         F.upper("apk_hash").alias("SHA256"), F.when(short, c("raw_category")).otherwise(c("finding_name")).alias("title"),
         c("raw_category").alias("category"), F.when(short, "high").otherwise("medium").alias("severity")).write.option("header", True).csv(tables)
-    rows = external.read_own_results(fx.spark, path).unionByName(external.read_own_results(fx.spark, tables, "csv"))
+    # The files are told apart once for both readers.
+    records = external.own_records(fx.spark, path)
+    rows = external.read_own_results(fx.spark, path, records=records).unionByName(external.read_own_results(fx.spark, tables, "csv"))
     counts = rows.groupBy("apk_hash", "finding_category", "normalized_name", "severity").agg(F.count("*").alias("n"))
-    bad = external.own_result_problems(fx.spark, path).groupBy("reason").agg(F.count("*").alias("n"))
+    bad = external.own_result_problems(fx.spark, path, records).groupBy("reason").agg(F.count("*").alias("n"))
     return counts.unionByName(bad.select(F.lit("problems").alias("apk_hash"), c("reason").alias("finding_category"),
                                          F.lit("").alias("normalized_name"), F.lit("").alias("severity"), "n"))
 

@@ -111,16 +111,16 @@ RESULT_SCHEMA = (
 )
 
 
-def read_own_results(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+def read_own_results(spark: SparkSession, path: str, form: str | None = None, records: DataFrame | None = None) -> DataFrame:
     """Findings of result files: CSV, whole JSON documents, or JSON lines.
 
     `form` is `csv` or `json`; by default `csv` for a path that ends in `.csv`.  Each JSON file tells by itself
     whether it is one document, indented or not, or has a record a line, so a folder may hold both.
-    `own_result_problems` lists records that cannot be read.
+    `own_result_problems` lists records that cannot be read.  `records` are those of `own_records`, if there are any yet.
     """
     if (form or ("csv" if path.lower().endswith(".csv") else "json")) == "csv":
         return own_findings_csv(_csv(spark, path))
-    return own_findings(own_records(spark, path).where(F.col(CORRUPT).isNull()))
+    return own_findings((own_records(spark, path) if records is None else records).where(F.col(CORRUPT).isNull()))
 
 
 def own_records(spark: SparkSession, path: str) -> DataFrame:
@@ -146,9 +146,9 @@ def whole_documents(spark: SparkSession, path: str) -> list[str]:
     return sorted(r[FILE] for r in first.where(F.expr("try_parse_json(line) IS NULL")).select(FILE).collect())
 
 
-def own_result_problems(spark: SparkSession, path: str) -> DataFrame:
+def own_result_problems(spark: SparkSession, path: str, records: DataFrame | None = None) -> DataFrame:
     """file, record, reason of JSON records without findings of an application: `malformed` or `no hash`."""
-    records = own_records(spark, path)
+    records = own_records(spark, path) if records is None else records
     hashes = F.coalesce(F.transform("apks", lambda a: a["sha256"]), F.array(F.coalesce(F.col("sha256"), F.col("application.sha256"))))
     known = F.exists(hashes, lambda h: F.coalesce(F.lower(strip(h)), F.lit("")).isin("", "n/a") == F.lit(False))
     text = F.coalesce(CORRUPT, F.to_json(F.struct("sha256", "detected_rules")))

@@ -13,7 +13,7 @@ from fleetaudit.operators import admission, comparison, evaluation, scoring
 from fleetaudit.operators.ordinals import with_ordinal
 from fleetaudit.operators.rules import patterns as P, registry as reg, text_scan
 from fleetaudit.operators.rules.catalog import pack_seq
-from fleetaudit.queries import tables
+from fleetaudit.queries import QUERIES, streams, tables
 from fleetaudit.sinks import reports, tables as sink
 from fleetaudit.sources import archives, external, targets
 from fleetaudit.streaming import incremental as inc
@@ -345,3 +345,23 @@ def test_report_rows_move_before_they_become_lines(spark, tmp_path, sf_dir):
     # Files follow each other in report order.
     found = [line.split("\t")[0] for f in sorted((tmp_path / "out").glob("part-*")) for line in gzip.open(f, "rt").read().split("\n") if line]
     assert found == sorted(found)
+
+
+def lineitem_of(spark, folder, n):
+    rows = spark.range(n).selectExpr(
+        "id AS l_orderkey", "id % 40 AS l_partkey", "id % 30 AS l_suppkey", "id % 7 + 1 AS l_linenumber", "id % 50 AS l_quantity",
+        "'A' AS l_returnflag", "'O' AS l_linestatus", "1.0D AS l_extendedprice")
+    rows.coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_result_files_are_told_apart_once(spark, tmp_path, monkeypatch):
+    calls, whole = [], external.whole_documents
+    monkeypatch.setattr(external, "whole_documents", lambda *a: calls.append(a) or whole(*a))
+    folders = iter([str(tmp_path / "json"), str(tmp_path / "csv")])
+    monkeypatch.setattr(tables, "work_dir", lambda _: next(folders))
+    n = 5000
+    counts = QUERIES["src_14_forms"](spark, lineitem_of(spark, tmp_path, n))
+    assert counts.where("apk_hash <> 'problems'").agg(F.sum("n")).first()[0] == n
+    # A document for 10,000 records, the records a line and the damaged document: three folders.
+    assert len(calls) == 1 and len(list((tmp_path / "json").glob("bucket=*"))) == 3
