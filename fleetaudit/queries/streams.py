@@ -29,12 +29,13 @@ _STR_1 = _TEXT_SQL["SEC-004"].replace("fx_artifacts", "doc_targets")
 def str_1(fx: Fixtures):
     base = work_dir(fx.spark)
     documents = fx.table("documents")
-    # Several files, one a batch, so that batches have to agree with one another.
-    documents.repartition(3, "doc_id").write.parquet(f"{base}/in")
+    # Three batches, so that batches have to agree with one another; the files of a batch grow in number with the table, not in size.
+    files = max(3, fx.spark.read.parquet(f"{fx.sf_dir}/documents.parquet").rdd.getNumPartitions())
+    documents.repartition(files, "doc_id").write.parquet(f"{base}/in")
     stream = inc.incremental_scan(
         fx.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
         lambda batch: text_scan.text_findings(_document_targets(batch), ["SEC-004"], keep_key=True), schema=documents.schema,
-        files_per_batch=1, keys=["app_id", "rule_id", "dedupe_key"])
+        files_per_batch=-(-files // 3), keys=["app_id", "rule_id", "dedupe_key"])
     stream.awaitTermination()
     return shown(fx.spark.read.parquet(f"{base}/out"))
 

@@ -365,3 +365,18 @@ def test_result_files_are_told_apart_once(spark, tmp_path, monkeypatch):
     assert counts.where("apk_hash <> 'problems'").agg(F.sum("n")).first()[0] == n
     # A document for 10,000 records, the records a line and the damaged document: three folders.
     assert len(calls) == 1 and len(list((tmp_path / "json").glob("bucket=*"))) == 3
+
+
+def test_files_of_a_batch_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "work_dir", lambda _: str(tmp_path / "work"))
+    text = 'String password = "Xk29sLq08Zpw"; '
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    docs.repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        QUERIES["str_1"](spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert len(list((tmp_path / "work" / "in").glob("part-*"))) == 7
+    assert len(list((tmp_path / "work" / "checkpoint" / "commits").glob("[0-9]*"))) == 3
