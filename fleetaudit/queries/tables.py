@@ -180,7 +180,7 @@ def src_12(fx: Fixtures):
     path = work_dir(fx.spark)
     raw = fx.external.select(c("apk_hash").alias("APK_Hash "), c("tool").alias("Tool"), c("finding_category").alias("Finding_Category"),
                              c("finding_name").alias("FINDING_NAME"), c("severity").alias("severity"))
-    raw.write.option("header", "true").csv(path)
+    raw.write.option("header", "true").option("compression", "gzip").csv(path)
     rows = external.read_external_csv(fx.spark, path)
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 

@@ -355,6 +355,14 @@ def lineitem_of(spark, folder, n):
     return str(folder)
 
 
+@pytest.mark.parametrize("name, ending", [("src_12", ".csv.gz")])
+def test_round_trips_write_compressed_files(spark, tmp_path, monkeypatch, name, ending):
+    monkeypatch.setattr(tables, "work_dir", lambda _: str(tmp_path / "work"))
+    assert QUERIES[name](spark, lineitem_of(spark, tmp_path, 100)).count() > 0
+    files = [f.name for f in (tmp_path / "work").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.endswith(ending) for f in files)
+
+
 def test_result_files_are_told_apart_once(spark, tmp_path, monkeypatch):
     calls, whole = [], external.whole_documents
     monkeypatch.setattr(external, "whole_documents", lambda *a: calls.append(a) or whole(*a))
