@@ -41,7 +41,7 @@ def with_ordinal(
         .repartitionByRange(parts, *by).sortWithinPartitions(*by).drop(*marks)
         .withColumn("__place", F.monotonically_increasing_id())
     )
-    placed.write.parquet(folder)
+    placed.write.option("compression", "zstd").parquet(folder)
     placed = spark.read.schema(placed.schema).parquet(folder)
     part = F.shiftright("__place", ROW_BITS)
     # One row a partition, so the running sum in one task and the broadcast are bounded.

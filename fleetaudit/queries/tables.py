@@ -502,6 +502,6 @@ def snk_8(fx: Fixtures):
     docs = reports.result_documents(fx.scan_findings, part_size=2)
     damaged = docs.withColumn("doc", F.when(F.pmod(F.xxhash64("scan_id"), F.lit(7)) != 0, c("doc")))
     path = work_dir(fx.spark)
-    damaged.write.parquet(path)
+    damaged.write.option("compression", "zstd").parquet(path)
     found = reports.findings_from_documents(fx.spark.read.parquet(path), fx.scan_findings)
     return found.withColumn("finding_seq", c("finding_seq").cast("bigint"))

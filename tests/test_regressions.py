@@ -355,7 +355,7 @@ def lineitem_of(spark, folder, n):
     return str(folder)
 
 
-@pytest.mark.parametrize("name, ending", [("src_12", ".csv.gz")])
+@pytest.mark.parametrize("name, ending", [("src_12", ".csv.gz"), ("snk_8", ".zstd.parquet")])
 def test_round_trips_write_compressed_files(spark, tmp_path, monkeypatch, name, ending):
     monkeypatch.setattr(tables, "work_dir", lambda _: str(tmp_path / "work"))
     assert QUERIES[name](spark, lineitem_of(spark, tmp_path, 100)).count() > 0
@@ -363,6 +363,11 @@ def test_round_trips_write_compressed_files(spark, tmp_path, monkeypatch, name,
     assert files and all(f.endswith(ending) for f in files)
 
 
+def test_numbering_writes_small_files(spark, tmp_path):
+    with_ordinal(spark.range(10).withColumn("k", F.lit(1)), ["k"], "id", folder=str(tmp_path / "placed"))
+    assert list((tmp_path / "placed").glob("part-*.zstd.parquet"))
+
+
 def test_result_files_are_told_apart_once(spark, tmp_path, monkeypatch):
     calls, whole = [], external.whole_documents
     monkeypatch.setattr(external, "whole_documents", lambda *a: calls.append(a) or whole(*a))
