@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.metrics import version_label
+from ..session import fine
 
 # The four orders of the history list.
 ORDERS: dict[str, tuple[str, bool]] = {
@@ -92,16 +93,20 @@ def upsert_scans(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def delete_scans(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """Tables without the given scans, their dependants and applications left without scans."""
-    gone = ids.select("scan_id").distinct()
-    scans = tables["scans"].join(gone, "scan_id", "left_anti")
-    touched = tables["scans"].join(gone, "scan_id", "left_semi").select("app_id").distinct()
-    orphans = touched.join(scans.select("app_id"), "app_id", "left_anti")
+    """Tables without the given scans, their dependants and applications left without scans.
+
+    Rows meet in small partitions, so what a task sorts is far below a core's share of a table.
+    """
+    gone = fine(ids.select("scan_id"), "scan_id").distinct()
+    left = lambda name: fine(tables[name], "scan_id").join(gone, "scan_id", "left_anti")
+    scans = left("scans")
+    touched = fine(tables["scans"], "scan_id").join(gone, "scan_id", "left_semi").select("app_id")
+    orphans = fine(touched, "app_id").distinct().join(fine(scans.select("app_id"), "app_id"), "app_id", "left_anti")
     return {
         "scans": scans,
-        "findings": tables["findings"].join(gone, "scan_id", "left_anti"),
-        "permissions": tables["permissions"].join(gone, "scan_id", "left_anti"),
-        "apps": tables["apps"].join(orphans, "app_id", "left_anti"),
+        "findings": left("findings"),
+        "permissions": left("permissions"),
+        "apps": fine(tables["apps"], "app_id").join(orphans, "app_id", "left_anti"),
     }
 
 

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Partitions that `fine` makes for each core, at least.
+FINE_PER_CORE = 16
+
+
 def build_session(app_name: str = "fleetaudit", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -47,3 +51,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def fine(df: DataFrame, *keys: str) -> DataFrame:
+    """Place the rows by `keys` in many small partitions, for a join or a grouping by them that holds most of a table.
+
+    Spark itself joins small partitions by their compressed bytes to about one per core, so that a task sorts and
+    holds more rows with every size of the table.  Partitions of a number that is asked for stay as they are.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), FINE_PER_CORE * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)

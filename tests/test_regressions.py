@@ -9,11 +9,12 @@ from fleetaudit.catalogs import CATEGORY_PATTERNS
 from fleetaudit.fixtures import views
 from fleetaudit.functions.classify import _at_word, canonical_category
 from fleetaudit.functions.text import normalize_name
-from fleetaudit.operators import admission, comparison, evaluation, scoring
+from fleetaudit.operators import admission, comparison, evaluation, history, scoring
 from fleetaudit.operators.ordinals import with_ordinal
 from fleetaudit.operators.rules import patterns as P, registry as reg, text_scan
 from fleetaudit.operators.rules.catalog import pack_seq
 from fleetaudit.queries import QUERIES, streams, tables
+from fleetaudit.session import FINE_PER_CORE
 from fleetaudit.sinks import reports, tables as sink
 from fleetaudit.sources import archives, external, targets
 from fleetaudit.streaming import incremental as inc
@@ -21,6 +22,18 @@ from fleetaudit.streaming import incremental as inc
 ART = "app_id string, target_seq bigint, location string, text string"
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as of large tables."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield
+    for n, v in old.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def scan(spark, rows, rules=None, **kw):
     return text_scan.text_findings(spark.createDataFrame(rows, ART), rules, **kw)
 
@@ -393,3 +406,35 @@ def test_files_of_a_batch_grow_in_number(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.openCostInBytes", old)
     assert len(list((tmp_path / "work" / "in").glob("part-*"))) == 7
     assert len(list((tmp_path / "work" / "checkpoint" / "commits").glob("[0-9]*"))) == 3
+
+
+def fine_parts(spark):
+    return FINE_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def scan_tables(spark):
+    scans = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "b"), (None, "c")], "scan_id string, app_id string")
+    rows = spark.createDataFrame([("1",), ("1",), ("2",), ("3",), (None,), ("9",)], "scan_id string")
+    apps = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,)], "app_id string")
+    return {"scans": scans, "findings": rows, "permissions": rows, "apps": apps}
+
+
+def test_tables_without_scans_stay_in_small_partitions(spark, no_broadcast):
+    gone = spark.createDataFrame([("1",), ("3",), ("3",), (None,)], "scan_id string")
+    left = history.delete_scans(scan_tables(spark), gone)
+    rows = {name: sorted((tuple(r) for r in df.collect()), key=str) for name, df in left.items()}
+    assert rows["scans"] == [("2", "a"), (None, "c")]
+    assert rows["findings"] == rows["permissions"] == [("2",), ("9",), (None,)]
+    assert rows["apps"] == [("a",), ("c",), ("d",), (None,)]
+    assert left["findings"].groupBy("scan_id").count().rdd.getNumPartitions() >= fine_parts(spark)
+    assert left["apps"].rdd.getNumPartitions() >= fine_parts(spark)
+
+
+def test_dependants_of_a_hash_are_counted_in_small_partitions(spark, no_broadcast):
+    t = scan_tables(spark)
+    scans = t["scans"].selectExpr("*", *[f"'' AS {c}" for c in ("risk_score", "risk_rating", "duration", "analyzer_version", "created_at")])
+    apps = t["apps"].selectExpr("*", "if(app_id = 'a', 'h', 'i') AS sha256", *[
+        f"'' AS {c}" for c in ("filename", "package_name", "version_name", "version_code", "analyzed_at", "app_name")])
+    found = history.find_by_hash(scans, apps, t["findings"], t["permissions"].where("scan_id = '2'"), " h ")
+    assert sorted((r["id"], r["findings_count"], r["permissions_count"]) for r in found.collect()) == [("1", 2, 0), ("2", 1, 1)]
+    assert found.rdd.getNumPartitions() >= fine_parts(spark)
