@@ -65,14 +65,15 @@ def search_history(rows: DataFrame, query: str) -> DataFrame:
 
 
 def find_by_hash(scans: DataFrame, apps: DataFrame, findings: DataFrame, permissions: DataFrame, file_hash: str) -> DataFrame:
-    """History of one content hash; the hash filter reaches the application scan first."""
+    """History of one content hash; the hash filter reaches the application scan first.
+
+    Rows of dependants need no more than their scan to be counted, and move in small partitions.
+    """
     same = apps.where(F.col("sha256") == file_hash.strip())
     wanted = scans.join(same.select("app_id"), "app_id", "left_semi")
-    ids = wanted.select("scan_id")
-    return history(
-        wanted, same,
-        findings.join(ids, "scan_id", "left_semi"), permissions.join(ids, "scan_id", "left_semi"),
-    )
+    ids = fine(wanted.select("scan_id"), "scan_id")
+    kept = lambda rows: fine(rows.select("scan_id"), "scan_id").join(ids, "scan_id", "left_semi")
+    return history(wanted, same, kept(findings), kept(permissions))
 
 
 def newest_per_hash(scans: DataFrame, apps: DataFrame) -> DataFrame:
