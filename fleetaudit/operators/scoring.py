@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.classify import literal_case, rating_band
 from ..functions.metrics import fixed
 from ..functions.text import strip
+from ..session import fine, work_dir
 from .ordinals import with_ordinal
 
 POINTS = "decimal(18,6)"
@@ -100,7 +101,11 @@ def scored_findings(findings: DataFrame, model: ScoreModel = ScoreModel(), dedup
 
 
 def capped_points(first: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
-    """Points of the first `len(decay)` findings of each rule, numbered by `occurrence`, after rule and low caps."""
+    """Points of the first `len(decay)` findings of each rule, numbered by `occurrence`, after rule and low caps.
+
+    The few rows left of an application are placed once, in small partitions, for all that is done by application.
+    """
+    first = fine(first, "app_id")
     per_rule = Window.partitionBy("app_id", "rule_id").orderBy("occurrence")
     kept = (
         first.withColumn("raw", base_points(model))
@@ -152,27 +157,33 @@ def app_scores(findings: DataFrame, apps: DataFrame | None = None, model: ScoreM
 def itemized_breakdown(findings: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
     """One row per unique finding; the rows beyond the decay table carry zero points.
 
-    Occurrences are numbered once; the points come from the few rows of each rule that can
-    earn any, by a join on the occurrence, which is unique.
+    Occurrences are numbered once and written to the shared folder; the few rows of each rule that can
+    earn points go through the caps, the others past them.  Rows without application or rule carry zero points.
     """
     unique = unique_findings(findings)
     numbered = with_ordinal(
         unique.select("app_id", "finding_seq", "rule_id", "title", "category", "severity", "confidence"),
         ["app_id", "rule_id"], "finding_seq", "occurrence",
     )
-    points = capped_points(numbered.where(F.col("occurrence") <= len(model.decay)), model).select(
-        "app_id", "rule_id", "occurrence", "adjusted")
+    spark, folder = findings.sparkSession, work_dir(findings.sparkSession)
+    numbered.write.option("compression", "zstd").parquet(folder)
+    numbered = spark.read.schema(numbered.schema).parquet(folder)
+    earns = F.col("occurrence") <= len(model.decay)
+    named = F.col("app_id").isNotNull() & F.col("rule_id").isNotNull()
+    scored = capped_points(numbered.where(earns), model).select(
+        *numbered.columns, F.when(named, F.col("adjusted")).otherwise(_dec(0)).alias("adjusted"),
+    ).unionByName(numbered.where(~earns).withColumn("adjusted", _dec(0)))
     weight = literal_case("severity", dict(model.severity_weights), 0.0)
     factor = literal_case("confidence", dict(model.confidence_multipliers), 1.0)
     table = {i + 1: d for i, d in enumerate(model.decay)}
-    return numbered.join(points, ["app_id", "rule_id", "occurrence"], "left").select(
+    return scored.select(
         "app_id", "finding_seq", "rule_id", "title", "category", "severity", "confidence",
         weight.alias("base_weight"),
         factor.alias("confidence_multiplier"),
         F.col("occurrence").alias("occurrence_index"),
         literal_case("occurrence", table, 0.0).alias("decay_factor"),
         base_points(model).cast("double").alias("raw_calculated"),
-        F.coalesce("adjusted", _dec(0)).cast("double").alias("adjusted_score"),
+        F.col("adjusted").cast("double").alias("adjusted_score"),
     )
 
 

@@ -438,3 +438,26 @@ def test_dependants_of_a_hash_are_counted_in_small_partitions(spark, no_broadcas
     found = history.find_by_hash(scans, apps, t["findings"], t["permissions"].where("scan_id = '2'"), " h ")
     assert sorted((r["id"], r["findings_count"], r["permissions_count"]) for r in found.collect()) == [("1", 2, 0), ("2", 1, 1)]
     assert found.rdd.getNumPartitions() >= fine_parts(spark)
+
+
+def rule_findings(spark, n=6):
+    rows = [(app, i, rule, f"t{i}", "C", "LOW", "HIGH", "e", "l") for app in ("a", None) for rule in ("R", "S", None) for i in range(n)]
+    return spark.createDataFrame(
+        rows, "app_id string, finding_seq bigint, rule_id string, title string, category string, severity string, "
+        "confidence string, evidence string, location string")
+
+
+def test_points_of_occurrences_are_not_looked_up_by_a_join(spark, no_broadcast):
+    items = scoring.itemized_breakdown(rule_findings(spark))
+    rows = {(r["app_id"], r["rule_id"], r["occurrence_index"]): r["adjusted_score"] for r in items.collect()}
+    assert len(rows) == 2 * 3 * 6
+    # Rows without a rule count for the low cap of their application (15 of 15.75) and get no points.
+    assert [rows["a", "R", k] for k in range(1, 7)] == [2.86, 1.43, 0.71, 0.0, 0.0, 0.0]
+    assert rows[None, "R", 1] == rows["a", None, 1] == 0.0
+    assert "Join" not in items._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_applications_are_made_in_small_partitions(spark, no_broadcast):
+    report = scoring.score_report(rule_findings(spark).where("rule_id IS NOT NULL"))
+    assert {r["app_id"]: r["findings_evaluated"] for r in report.collect()} == {"a": 12}
+    assert report.rdd.getNumPartitions() >= fine_parts(spark)
