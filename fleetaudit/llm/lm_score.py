@@ -22,12 +22,11 @@ is the same token as the border.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +38,12 @@ CLASSES = 64
 TOKENS = CLASSES * CLASSES
 ENDINGS = 512
 BATCH = 8192
-#: Places of one class worked on together when a network learns, and places when it scores.
-CELL, BLOCK = 32, 2048
+#: Places worked on together, so that their arrays stay in the cache of a core.
+BLOCK = 1024
 ROUNDS = 2
 PART = 2048
-#: Spelled words that a task remembers.
-KNOWN = 1 << 18
+#: Different words of slices that a task holds before it adds their counts up.
+HELD = 500_000
 
 Weights = dict[str, np.ndarray]
 
@@ -55,6 +54,8 @@ def shapes(classes: int, embed: int, hidden: int) -> dict[str, tuple[int, ...]]:
             "classes": (hidden, classes), "class_bias": (classes,), "words": (classes, hidden, classes), "word_bias": (classes, classes)}
 
 
+#: Least log-probability of a token.
+LEAST = np.log(1e-30)
 SHAPES = shapes(CLASSES, 16, 32)
 BYTE_SHAPES = shapes(16, 8, 16)
 
@@ -63,25 +64,40 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as `split_words` makes them, one after the other, and their number in each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy()
+    # White space at the ends of a text leaves empty words.
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        words, sizes = words.filter(pa.array(~empty)), sizes - np.bincount(owner[empty], minlength=len(sizes))
+    return words.cast(pa.binary()), sizes.astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        held, rows = [], 0
         for batch in small_slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                total.update(split_words(text))
-            if len(total) > 500_000:
-                yield _counted(total)
-                total = Counter()
-        yield _counted(total)
+            counted = words_of(batch.column("text"))[0].value_counts()
+            held.append(pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["word", "n"]))
+            rows += len(counted)
+            if rows > HELD:
+                yield from _added(held)
+                held, rows = [], 0
+        if held:
+            yield from _added(held)
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(total: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+def _added(counted: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One row for each word of some counts."""
+    table = pa.Table.from_batches(counted).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return table.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
 
 def frequent_words(counts: DataFrame) -> dict[bytes, int]:
@@ -106,9 +122,8 @@ def _bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
 
 
-def shared_tokens(words: list[bytes]) -> np.ndarray:
-    """Tokens of words without an own one, by their last three bytes."""
-    data, sizes = _bytes(words)
+def shared_tokens(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Tokens of words without an own one, by their last three bytes; words as `_bytes` gives them."""
     data = np.append(np.zeros(2, np.int64), data)
     ends = 1 + np.cumsum(sizes)
     tail = data[ends] + 257 * np.where(sizes > 1, data[ends - 1], 0) + 257 * 257 * np.where(sizes > 2, data[ends - 2], 0)
@@ -135,102 +150,125 @@ def windows(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def spelling(w: Weights, words: list[bytes]) -> np.ndarray:
     """Log-probability of the bytes of each word given those beside them."""
-    data, sizes = _bytes(words)
-    return np.bincount(np.repeat(np.arange(len(words)), sizes), log_probs(w, windows(data, sizes), data), len(words))
+    return _spelling(w, *_bytes(words))
+
+
+def _spelling(w: Weights, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    # A byte's probability depends on the bytes beside it alone, so each such group is worked out once.
+    near = windows(data, sizes)
+    groups = data.astype(np.int64)
+    for k in range(2 * SIDE):
+        groups = groups << 8 | near[:, k]
+    groups = pa.array(groups).dictionary_encode()
+    each = groups.dictionary.to_numpy()
+    beside = np.stack([each >> 8 * k & 255 for k in reversed(range(2 * SIDE))], 1)
+    p = log_probs(w, beside, each >> 16 * SIDE)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), p[groups.indices.to_numpy()], len(sizes))
+
+
+def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One entry of each row's logarithmic softmax.  One largest value serves all rows unless that leaves too little of a row."""
+    rows, ones = np.arange(len(x)), np.ones(x.shape[1], x.dtype)
+    x -= x.max()
+    total = np.exp(x) @ ones
+    if total.min() < 1e-12:
+        x -= x.max(1, keepdims=True)
+        total = np.exp(x) @ ones
+    return x[rows, at] - np.log(total)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """By rows.  One largest value serves all rows unless that leaves too little of a row."""
+def _softmax(x: np.ndarray) -> None:
+    """By rows and in place; the largest value as in `_log_softmax`."""
     ones = np.ones(x.shape[1], x.dtype)
-    y = np.exp(x - x.max())
-    total = y @ ones
+    y = x - x.max()
+    total = np.exp(y, out=y) @ ones
     if total.min() < 1e-12:
-        y = np.exp(x - x.max(1, keepdims=True))
-        total = y @ ones
-    y /= total[:, None]
-    return y
+        np.subtract(x, x.max(1, keepdims=True), out=y)
+        total = np.exp(y, out=y) @ ones
+    np.multiply(y, (1 / total)[:, None], out=x)
 
 
-def _linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    x = x @ weight
-    x += bias
-    return x
+def _with_bias(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes, and of the tokens of each class, with the bias as their last row."""
+    return np.append(w["classes"], w["class_bias"][None], 0), np.concatenate([w["words"], w["word_bias"][:, None]], 1)
+
+
+def _hidden(w: Weights, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings beside each place, and its hidden layer with a column of ones for the bias of the next."""
+    seen = w["embed"].take(near, axis=0).reshape(len(near), -1)
+    x = seen @ w["inner"]
+    x += w["inner_bias"]
+    hidden = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    np.maximum(x, 0, out=hidden[:, :-1])
+    return seen, hidden
 
 
-def _forward(w: Weights, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    seen = w["embed"][near].reshape(len(near), -1)
-    hidden = _linear(seen, w["inner"], w["inner_bias"])
-    np.maximum(hidden, 0, out=hidden)
-    return seen, hidden, _softmax(_linear(hidden, w["classes"], w["class_bias"]))
+def _blocks(group: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """Blocks of places in order of their class, with the runs (class, start, end) of each."""
+    order = np.argsort(group, kind="stable")
+    for at in range(0, len(order), BLOCK):
+        places = order[at:at + BLOCK]
+        part = group[places]
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        yield places, [(int(part[i]), i, j) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _inside(words: np.ndarray, hidden: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Each row's values of the tokens of its class."""
+    x = np.empty((len(hidden), words.shape[2]), hidden.dtype)
+    for c, i, j in runs:
+        np.matmul(hidden[i:j], words[c], out=x[i:j])
+    return x
 
 
 def log_probs(w: Weights, near: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Log-probability of each token given its neighbours."""
-    classes = w["class_bias"].size
+    of_class, of_words = _with_bias(w)
+    classes = len(of_words)
     out = np.empty(len(token))
     for at in range(0, len(token), 1 << 17):
-        group = (token[at:at + (1 << 17)] % classes).astype(np.uint8)
-        order = np.argsort(group, kind="stable")
-        for start in range(0, len(order), BLOCK):
-            places = order[start:start + BLOCK]
-            part = group[places]
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            own = token[at + places]
-            _, hidden, p_class = _forward(w, near[at + places])
-            p = p_class[np.arange(len(own)), part]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                inside = _softmax(_linear(hidden[i:j], w["words"][part[i]], w["word_bias"][part[i]]))
-                p[i:j] *= inside[np.arange(j - i), own[i:j] // classes]
-            out[at + places] = np.log(np.maximum(p, 1e-30))
+        for places, runs in _blocks((token[at:at + (1 << 17)] % classes).astype(np.uint8)):
+            places = places + at
+            own = token[places]
+            _, hidden = _hidden(w, near.take(places, axis=0))
+            p = _log_softmax(hidden @ of_class, own % classes)
+            p += _log_softmax(_inside(of_words, hidden, runs), own // classes)
+            out[places] = np.maximum(p, LEAST)
     return out
 
 
-def _cells(group: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in order of their class, the row of each in cells of `CELL` rows of one class, the class of each cell."""
-    sizes = np.bincount(group, minlength=classes)
-    cells = -(-sizes // CELL)
-    shift = (np.cumsum(cells) - cells) * CELL - (np.cumsum(sizes) - sizes)
-    return np.argsort(group, kind="stable"), np.arange(len(group)) + np.repeat(shift, sizes), np.repeat(np.arange(classes), cells)
-
-
 def gradients(w: Weights, near: np.ndarray, token: np.ndarray) -> Weights:
     """Gradients of the mean negative log-probability."""
-    n, classes = len(token), w["class_bias"].size
-    order, row, cell = _cells((token % classes).astype(np.uint8), classes)
-    own, near = token[order], near[order]
-    seen, hidden, d_class = _forward(w, near)
-    d_class[np.arange(n), own % classes] -= 1
-    # All cells at once; rows that fill up a cell are zero and get no gradient.
-    filled = np.zeros((len(cell) * CELL, hidden.shape[1]), hidden.dtype)
-    filled[row] = hidden
-    filled = filled.reshape(len(cell), CELL, -1)
-    own_words = w["words"][cell]
-    d_word = filled @ own_words
-    d_word += w["word_bias"][cell][:, None]
-    d_word = _softmax(d_word.reshape(-1, classes))
-    d_word[row, own // classes] -= 1
-    empty = np.ones(len(d_word), bool)
-    empty[row] = False
-    d_word[empty] = 0
-    d_word = d_word.reshape(len(cell), CELL, classes)
-    ones = np.ones(max(n, CELL), d_word.dtype)
-    grads = {k: np.zeros_like(w[k]) for k in ("embed", "words")}
-    cuts = np.searchsorted(cell, np.arange(classes + 1)).tolist()
-    for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
-        np.matmul(filled[i:j].reshape((j - i) * CELL, hidden.shape[1]).T, d_word[i:j].reshape(-1, classes), out=grads["words"][c])
-    grads["word_bias"] = np.zeros_like(w["word_bias"])
-    np.add.at(grads["word_bias"], cell, ones[:CELL] @ d_word)
-    d_hidden = d_class @ w["classes"].T
-    d_hidden += (d_word @ own_words.transpose(0, 2, 1)).reshape(len(d_word) * CELL, -1)[row]
-    d_hidden *= hidden > 0
-    grads |= {"classes": hidden.T @ d_class, "class_bias": ones[:n] @ d_class, "inner": seen.T @ d_hidden, "inner_bias": ones[:n] @ d_hidden}
-    # Sums by neighbour: sorting 16-bit tokens takes linear time.
-    around = near.ravel()
-    d_seen = (d_hidden @ w["inner"].T).reshape(len(around), -1)
-    by_token = np.argsort(around, kind="stable")
-    around = around[by_token]
-    starts = np.flatnonzero(np.append(True, around[1:] != around[:-1]))
-    grads["embed"][around[starts]] = np.add.reduceat(d_seen[by_token], starts, axis=0)
+    of_class, of_words = _with_bias(w)
+    n, classes = len(token), len(of_words)
+    g_class, g_words, g_inner = np.zeros_like(of_class), np.zeros_like(of_words), np.zeros_like(w["inner"])
+    g_bias, embed = np.zeros_like(w["inner_bias"]), w["embed"].shape[1]
+    # Embeddings by column, as sums by token take one at a time.
+    d_seen, around, done = np.empty((embed, 2 * SIDE, n)), np.empty((2 * SIDE, n), np.int64), 0
+    for places, runs in _blocks((token % classes).astype(np.uint8)):
+        rows, own, beside = np.arange(len(places)), token[places], near.take(places, axis=0)
+        seen, hidden = _hidden(w, beside)
+        d_class = hidden @ of_class
+        _softmax(d_class)
+        d_class[rows, own % classes] -= 1
+        d_word = _inside(of_words, hidden, runs)
+        _softmax(d_word)
+        d_word[rows, own // classes] -= 1
+        d_hidden = d_class @ w["classes"].T
+        for c, i, j in runs:
+            g_words[c] += hidden[i:j].T @ d_word[i:j]
+            d_hidden[i:j] += d_word[i:j] @ w["words"][c].T
+        d_hidden *= hidden[:, :-1] > 0
+        g_class += hidden.T @ d_class
+        g_inner += seen.T @ d_hidden
+        g_bias += hidden[:, -1] @ d_hidden
+        d_seen[:, :, done:done + len(places)] = (w["inner"] @ d_hidden.T).reshape(2 * SIDE, embed, -1).transpose(1, 0, 2)
+        around[:, done:done + len(places)] = beside.T
+        done += len(places)
+    around = around.ravel()
+    g_embed = np.stack([np.bincount(around, d, len(w["embed"])) for d in d_seen.reshape(embed, -1)], 1)
+    grads = {"embed": g_embed.astype(w["embed"].dtype), "inner": g_inner, "inner_bias": g_bias, "classes": g_class[:-1],
+             "class_bias": g_class[-1], "words": g_words[:, :-1], "word_bias": g_words[:, -1]}
     return {k: g / n for k, g in grads.items()}
 
 
@@ -301,24 +339,24 @@ def fit_spelling(counts: DataFrame, tokens: dict[bytes, int], rate: float = 4e-3
 def tokenized(docs: DataFrame, tokens: dict[bytes, int], byte_weights: Weights) -> DataFrame:
     """doc_id, ids (two bytes a word), spelled (log-probability of the bytes of words without an own token)."""
 
+    own = pa.array(list(tokens), pa.binary())
+    numbers = np.fromiter(tokens.values(), np.uint16, len(tokens))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
         for batch in small_slices(batches, "text"):
-            texts = [split_words(t) for t in batch.column("text").to_pylist()]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            words = [w for t in texts for w in t]
-            ids = np.fromiter(map(tokens.get, words, repeat(0)), np.uint16, len(words))
-            other = np.flatnonzero(ids == 0)
-            spelled = np.zeros(len(texts))
+            words, sizes = words_of(batch.column("text"))
+            place = pc.fill_null(pc.index_in(words, value_set=own), -1).to_numpy()
+            ids = np.append(numbers, np.uint16(0))[place]
+            other = np.flatnonzero(place < 0)
+            spelled = np.zeros(len(sizes))
             if len(other):
-                found = [words[i] for i in other]
-                new = list(set(found).difference(known))
-                if len(known) + len(new) > KNOWN:
-                    known, new = {}, list(set(found))
-                known.update(zip(new, spelling(byte_weights, new).tolist() if new else [], strict=True))
-                ids[other] = shared_tokens(found)
-                owner = np.repeat(np.arange(len(texts)), sizes)[other]
-                spelled = np.bincount(owner, np.fromiter(map(known.__getitem__, found), float, len(found)), len(texts))
+                # What a word without an own token gives is worked out once a slice.
+                found = words.take(pa.array(other)).dictionary_encode()
+                which = found.indices.to_numpy()
+                data, lengths = _bytes(found.dictionary.to_pylist())
+                ids[other] = shared_tokens(data, lengths)[which]
+                owner = np.repeat(np.arange(len(sizes)), sizes)[other]
+                spelled = np.bincount(owner, _spelling(byte_weights, data, lengths)[which], len(sizes))
             cuts = np.append(0, np.cumsum(sizes)) * 2
             data = ids.astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays(

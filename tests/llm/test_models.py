@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,24 @@ def test_pseudo_likelihood_equals_the_definition(spark):
         assert got[k]["n_tokens"] == len(words) and np.isclose(got[k]["log_prob"], want, rtol=1e-5)
 
 
+def test_words_are_cut_at_ascii_white_space_alone():
+    texts = ["  The cat\tsat ", None, "", " \n", "a\x1fb\x0bC\x0cd\r\u00a0e\u2003f \u00c9\u0130K", "x"]
+    words, sizes = lm_score.words_of(pa.array(texts))
+    want = [lm_score.split_words(t) for t in texts]
+    assert words.to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+
+
+def test_equal_neighbourhoods_of_bytes_are_worked_out_once(monkeypatch):
+    byte_w = _moved(lm_score.BYTE_SHAPES)
+    words = [b"banana", b"banana", b"bananana", b"\xc3\xa9", b"a", b"\xff\xfe"]
+    want = [sum(_plain_log_prob(byte_w, (line := [0, 0, *x, 0, 0])[i:i + 2] + line[i + 3:i + 5], t) for i, t in enumerate(x)) for x in words]
+    asked = []
+    plain = lm_score.log_probs
+    monkeypatch.setattr(lm_score, "log_probs", lambda w, near, token: asked.append(len(token)) or plain(w, near, token))
+    assert np.allclose(lm_score.spelling(byte_w, words), want, rtol=1e-5)
+    assert sum(asked) == len({(x[max(0, i - 2):i], x[i:i + 3]) for x in words for i in range(len(x))})
+
+
 def test_every_byte_of_a_rare_word_counts(spark):
     byte_w = _moved(lm_score.BYTE_SHAPES)
     docs = spark.createDataFrame([(1, "abcdefgh"), (2, "xbcdefgh"), (3, "abcdXfgh")], "doc_id long, text string")
