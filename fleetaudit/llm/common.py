@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Column with the number of a row.
@@ -48,6 +48,14 @@ def numbered(docs: DataFrame, path: str) -> DataFrame:
     return placed.join(F.broadcast(number), "__file").select(*docs.columns, (F.col("__first") + F.col("__place")).alias(ROW))
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Has Spark hand the session's Arrow batches over at `limit` bytes, as `small_slices` cuts them anyway.
+
+    By rows alone a batch of long texts or of index segments may take tens of MB, several times over on its way.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def small_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with about `limit` bytes of text.
 
@@ -68,3 +76,9 @@ def small_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <<
                 start, used = i, 0
             used += n
         yield batch.slice(start)
+
+
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of few but large rows, one Python row at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]

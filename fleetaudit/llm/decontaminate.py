@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, small_slices, stored
+from .common import ROW, numbered, one_by_one, small_slices, stored
 
 WINDOW = 13
 #: Test windows that a search holds at a time (about 20 MB).
@@ -86,8 +86,8 @@ def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[bytes, int] = {}
         for batch in batches:
-            for words, lengths in zip(batch.column("terms").to_pylist(), batch.column("lengths").to_pylist(), strict=True):
-                for word, n in zip(words.split(), np.frombuffer(lengths, "<i4").tolist(), strict=True):
+            for row in one_by_one(batch):
+                for word, n in zip(row["terms"].split(), np.frombuffer(row["lengths"], "<i4").tolist(), strict=True):
                     if word in terms:
                         total[word] = total.get(word, 0) + n
         yield pa.RecordBatch.from_arrays(
@@ -164,7 +164,7 @@ def _matches(index: DataFrame, phrases: Phrases) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 segment = Segment(row["terms"], row["lengths"], row["positions"], phrases.vocabulary, phrases.longest)
                 window, start = phrases.search(segment)
                 if not len(window):
@@ -221,7 +221,7 @@ def proximity_matches(index: DataFrame, queries: list[tuple[str, list[str]]], wi
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 segment = Segment(row["terms"], row["lengths"], row["positions"], vocabulary, 1)
                 base = np.cumsum([0] + [n + 1 for n in row["n_words"][:-1]])
                 out = []

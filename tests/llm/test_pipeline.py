@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_decontaminate import brute as contaminated
 from test_similar import brute_links
@@ -106,3 +107,19 @@ def test_every_operator_is_registered():
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert work_dir and set(entry_module.oracle_sql()) >= set(queries.ORACLES)
+
+
+def test_stages_take_long_texts_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(k, "word " * 40_000, "en", "x") for k in range(100)], "doc_id long, text string, lang string, source string")
+    try:
+        corpus_pipeline.exact(spark, docs, "")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("text").nbytes])], names=["n"])
+
+        assert max(r["n"] for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()) < 5 << 20
+    finally:
+        spark.conf.set(key, before)
