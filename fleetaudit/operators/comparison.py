@@ -2,7 +2,8 @@
 
 Signatures are (hash, category, normalised name).  Both sides are grouped together
 by the whole signature with map-side combining, so a hash with very many findings
-spreads over all tasks; everything per hash is then a count.
+spreads over all tasks; everything per hash is then a count.  Where membership alone is asked for,
+a hash moves as its bytes and both sides as two bits of one column.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions.text import normalize_name
 from .rows import side_by_side
 
 SAMPLE = 5
+SIGNATURE = ["apk_hash", "finding_category", "normalized_name"]
 
 
 def normalize(rows: DataFrame, hash_col: str, category: str, name: str) -> DataFrame:
@@ -48,6 +50,12 @@ def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
     return _split(a, b, F.col("in_ours") & ~F.col("in_theirs"))
 
 
+def only_in_one(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Signatures of one side alone, each once, behind the name of the side; one grouping tells those of both sides."""
+    side = F.when(F.col("in_ours"), "ours").otherwise("external").alias("side")
+    return matched_signatures(ours, theirs).where(F.col("in_ours") != F.col("in_theirs")).select(side, *SIGNATURE)
+
+
 def _split(ours: DataFrame, theirs: DataFrame, wanted: Column) -> DataFrame:
     return matched_signatures(ours, theirs).where(wanted).drop("in_ours", "in_theirs")
 
@@ -68,10 +76,19 @@ def counted_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def matched_signatures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Distinct signatures with membership flags."""
-    return counted_signatures(ours.where(_named()), theirs.where(_named())).select(
-        "apk_hash", "finding_category", "normalized_name",
-        (F.col("n_ours") > 0).alias("in_ours"), (F.col("n_theirs") > 0).alias("in_theirs"))
+    """Distinct signatures with membership flags.
+
+    A hash in lower-case hex digits moves as the bytes that these stand for; any other text moves as it is.
+    """
+    digest = F.unhex("apk_hash")
+    is_hex = F.lower(F.hex(digest)) == F.col("apk_hash")
+    tag = lambda df, side: df.where(_named()).select(
+        F.when(is_hex, digest).alias("digest"), F.when(is_hex, None).otherwise(F.col("apk_hash")).alias("plain"),
+        *SIGNATURE[1:], F.lit(side).cast("tinyint").alias("side"))
+    sides = tag(ours, 1).union(tag(theirs, 2)).groupBy("digest", "plain", *SIGNATURE[1:]).agg(F.bit_or("side").alias("sides"))
+    return sides.select(
+        F.coalesce(F.lower(F.hex("digest")), "plain").alias("apk_hash"), *SIGNATURE[1:],
+        (F.col("sides") != 2).alias("in_ours"), (F.col("sides") != 1).alias("in_theirs"))
 
 
 def _per_hash(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -226,9 +226,7 @@ def set_1(fx: Fixtures):
 @query("set_2", SIDES + """SELECT 'ours' AS side, * FROM (SELECT * FROM so EXCEPT SELECT * FROM st)
     UNION ALL SELECT 'external', * FROM (SELECT * FROM st EXCEPT SELECT * FROM so)""")
 def set_2(fx: Fixtures):
-    a, b = sides(fx)
-    return cmp.only_in_first(a, b).select(F.lit("ours").alias("side"), "*").union(
-        cmp.only_in_first(b, a).select(F.lit("external"), "*"))
+    return cmp.only_in_one(*sides(fx))
 
 
 @query("set_3", SIDES + "SELECT apk_hash FROM hashes")

@@ -287,6 +287,17 @@ def test_signature_sets_take_one_grouping(spark):
         assert op(a, b)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_signatures_of_both_single_sides_take_one_grouping_of_short_keys(spark, sf_dir):
+    plan = QUERIES["set_2"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1
+    hashes = ["0a1b", "0A1B", "abc", "0a1b\n", "", "é0", "zz", None]
+    rows = [(h, "C", f"n{i % 2}", f"n{i % 2}") for i, h in enumerate(hashes * 2)]
+    schema = "apk_hash string, finding_category string, finding_name string, normalized_name string"
+    ours, theirs = spark.createDataFrame(rows, schema), spark.createDataFrame([("0a1b", "C", "n0", "n0"), (None, "C", "n1", "n1"), ("zz", "D", "n", "n")], schema)
+    expect = [("ours", h, "C", f"n{i % 2}") for i, h in enumerate(hashes) if h not in ("0a1b", None)] + [("external", "zz", "D", "n")]
+    assert sorted(map(tuple, comparison.only_in_one(ours, theirs).collect())) == sorted(expect)
+
+
 def test_user_rules_run_once_and_fail_per_application(spark, tmp_path):
     runs = tmp_path / "runs"
     runs.mkdir()
