@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Column with the number of a row.
 ROW = "__row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bits of a bitmap of keys: at most 2^19 rows of 16 bytes, however many keys there are.
+MARKS = 1 << 25
 
 
 def ascii_lower(text: Column) -> Column:
@@ -26,8 +28,18 @@ def ascii_lower(text: Column) -> Column:
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage."""
-    df.write.mode("overwrite").parquet(path)
+    """Writes a table to the shared folder and reads it back, which cuts the lineage.
+
+    So nothing reads the shuffle files of the writing again, and they go with it; else they stay until the driver collects
+    its garbage.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +60,19 @@ def numbered(docs: DataFrame, path: str) -> DataFrame:
     return placed.join(F.broadcast(number), "__file").select(*docs.columns, (F.col("__first") + F.col("__place")).alias(ROW))
 
 
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the keys by their hash, a row for each 64 bits.  It tells which rows cannot have one of the keys."""
+    return keys.groupBy(F.expr(f"shiftright(pmod(xxhash64({key}), {MARKS}), 6)").alias("__word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, CAST(pmod(xxhash64({key}), 64) AS INT)))").alias("__bits"))
+
+
+def marked(rows: DataFrame, key: str, bitmap: DataFrame, there: bool = True) -> DataFrame:
+    """The rows whose key may be among those of `marks`, without moving them; or all others, which have none of them."""
+    word = F.expr(f"shiftright(pmod(xxhash64({key}), {MARKS}), 6)")
+    bit = F.expr(f"coalesce(shiftright(__bits, CAST(pmod(xxhash64({key}), 64) AS INT)) & 1, 0) = {int(there)}")
+    return rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word", "inner" if there else "left").filter(bit).select(rows.columns)
+
+
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Has Spark hand the session's Arrow batches over at `limit` bytes, as `small_slices` cuts them anyway.
 
