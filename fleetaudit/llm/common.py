@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import freed_shuffles
+
 #: Column with the number of a row.
 ROW = "__row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,18 +30,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage.
-
-    So nothing reads the shuffle files of the writing again, and they go with it; else they stay until the driver collects
-    its garbage.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, None)
-    conf.set(name, "true")
-    try:
+    """Writes a table to the shared folder and reads it back, which cuts the lineage and frees its shuffle files."""
+    with freed_shuffles(df.sparkSession):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Inputs that once gave wrong results or ended an executor."""
 
 import gzip
+import time
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -371,6 +372,24 @@ def test_report_rows_move_before_they_become_lines(spark, tmp_path, sf_dir):
     assert found == sorted(found)
 
 
+def test_a_written_report_leaves_no_shuffle_files(spark, sf_dir):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        names = [found.apply(i).getName() for i in range(found.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = files()
+    lines = QUERIES["snk_7_text"](spark, sf_dir)
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    whole = reports.lines_of(tables._report(views.Fixtures(spark, sf_dir), reports.report_rows))
+    assert lines.count() == whole.count()
+
+
 def lineitem_of(spark, folder, n):
     rows = spark.range(n).selectExpr(
         "id AS l_orderkey", "id % 40 AS l_partkey", "id % 30 AS l_suppkey", "id % 7 + 1 AS l_linenumber", "id % 50 AS l_quantity",
