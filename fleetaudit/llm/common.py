@@ -32,7 +32,7 @@ def ascii_lower(text: Column) -> Column:
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage and frees its shuffle files."""
     with freed_shuffles(df.sparkSession):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
